@@ -1,0 +1,11 @@
+"""Training-data operators. Nothing else in the library imports this subpackage.
+
+Functions that run inside tasks are sent to the executors by value, so a
+cluster needs pyspark, numpy and pyarrow, but no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
