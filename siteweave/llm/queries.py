@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import decontamination, line_dedup, packing, sharding, simhash_dedup, topk_search, warc
+from siteweave.llm import decontamination, line_dedup, lm_scoring, packing, sharding, simhash_dedup, substring_dedup, topk_search, warc
 from siteweave.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -41,8 +45,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shard, op3_topk_search, op4_pack, op6_near_duplicates, op7_line_dedup, op8_decontaminate, op9_warc)
+    f.__name__: f for f in (op1_shard, op3_topk_search, op4_pack, op5_lm_score, op6_near_duplicates, op7_line_dedup, op8_decontaminate, op9_warc, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,5 +121,21 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM s
+""",
+    "op10_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+firsts AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+removed AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows JOIN firsts USING (k)
+    WHERE doc_id <> f.d OR i <> f.i
+),
+kept AS (
+    SELECT p.doc_id, count(r.i) AS n_removed, string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (WHERE r.i IS NULL) AS t
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs) p LEFT JOIN removed r ON p.doc_id = r.doc_id AND p.i = r.i
+    GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
 }
