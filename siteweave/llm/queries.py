@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import decontamination, line_dedup, lm_scoring, packing, sharding, simhash_dedup, substring_dedup, topk_search, warc
+from siteweave.llm import decontamination, language_id, line_dedup, lm_scoring, packing, sharding, simhash_dedup, substring_dedup, topk_search, warc
 from siteweave.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shard, op3_topk_search, op4_pack, op5_lm_score, op6_near_duplicates, op7_line_dedup, op8_decontaminate, op9_warc, op10_substring_dedup)
+    f.__name__: f for f in (op1_shard, op2_language_id, op3_topk_search, op4_pack, op5_lm_score, op6_near_duplicates, op7_line_dedup, op8_decontaminate, op9_warc, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
