@@ -1,0 +1 @@
+"""Renewable siting and grid-integration analytics on Spark DataFrames."""
