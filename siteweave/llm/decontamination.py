@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siteweave.llm.common import checkpointed
+
 WINDOW = 10
 GRAM = 5
 #: Up to so many rows, the test side is broadcast; a larger one is joined by a shuffle.
@@ -102,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     and text each get their row. Empty tables: no documents give no rows, no
     items give documents without hits.
     """
-    found = hits(docs, items, window, gram)
+    found = checkpointed(hits(docs, items, window, gram))  # read twice below
     spans = found.select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop")).groupBy("doc_id", "text_key", "start").agg(F.max("stop").alias("stop"))
     before = Window.partitionBy("doc_id", "text_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.col("start"))))
