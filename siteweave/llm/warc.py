@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import fresh_path
+from siteweave.llm.common import fresh_path, shuffle_partitions
 
 FRAME = 1 << 20
 BUNDLE = 256 << 20
@@ -183,7 +183,7 @@ def read_bundles(index: DataFrame, records: DataFrame | None = None) -> DataFram
                     rows.append((number(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], number(headers["WARC-Refers-To"]) if "WARC-Refers-To" in headers else None))
             yield _batch(rows, schema)
 
-    return frames.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
+    return frames.repartition(shuffle_partitions(index.sparkSession), "bundle").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
 
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
