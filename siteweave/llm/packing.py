@@ -11,7 +11,9 @@ bins without hearing of each other.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,21 +55,48 @@ def cuts(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int
     return out
 
 
+_LATIN = "\u00DF-\u00F6\u00F8-\u012F\u0131-\u017F"
+#: Words of printable ASCII and precomposed Latin letters: normalised by lower() alone, and split by _PARTS as the tokenizer would.
+_PLAIN = re.compile(f"[!-~\u00C0-\u00D6\u00D8-\u00DE{_LATIN}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+#: Characters that stand for bytes: printable ones for themselves, the others in order from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class WordIds:
-    """Ids of texts as little-endian uint32 bytes. White space never joins tokens, so ids are looked up word by word."""
+    """Ids of texts as little-endian uint32 bytes.
+
+    White space never joins tokens, so ids are looked up word by word. A plain
+    word new to the cache is split into parts here and only its parts go to
+    the tokenizer's model; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, cache_words
+        self.tokenizer, self.words, self.parts, self.limit = Tokenizer.from_file(path), {}, {}, cache_words
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            shown = text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode()))
+            found = self.parts[text] = array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return found
+
+    def word(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            return self.part(text) if text.isalpha() else b"".join(map(self.part, _PARTS.findall(text)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         texts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        new = list(set().union(*texts) - self.cache.keys())
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.cache.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(some, add_special_tokens=False))))
-        get = self.cache.__getitem__
+        for held in (self.words, self.parts):
+            if len(held) > self.limit:
+                held.clear()
+        for word in set().union(*texts):
+            if word not in self.words:
+                self.words[word] = self.word(word)
+        get = self.words.__getitem__
         return [b"".join(map(get, x)) for x in texts]
 
 
