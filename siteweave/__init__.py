@@ -1 +1,11 @@
-"""Renewable siting and grid-integration analytics on Spark DataFrames."""
+"""Renewable siting and grid-integration analytics on Spark DataFrames.
+
+Functions that run inside tasks are sent to the executors by value, so a
+cluster needs pyspark, numpy, pandas and pyarrow, but no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteweave.operators.spatial_joins import nearest_by_degrees
+from siteweave.session import checkpointed
 
 
 def filled(df: DataFrame, keys: list[str], capacity: str, request: str, order: list[Column], out: str = "built") -> DataFrame:
@@ -56,16 +57,16 @@ def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame, ro
     distance, bus_distance). Gives (plant, gid, built), and what plants lack:
     (plant, short). State is cut by reliable checkpoints.
     """
-    ranked = candidates.withColumn("turn", F.row_number().over(Window.partitionBy("plant").orderBy("distance", "bus_distance", "gid"))).checkpoint()
+    ranked = checkpointed(candidates.withColumn("turn", F.row_number().over(Window.partitionBy("plant").orderBy("distance", "bus_distance", "gid"))))
     turns = min(rounds, ranked.agg(F.max("turn")).first()[0] or 0)
-    wanted, free, builds = plants.select("plant", F.col("capacity").alias("wanted")).checkpoint(), sites.select("gid", "capacity").checkpoint(), None
+    wanted, free, builds = checkpointed(plants.select("plant", F.col("capacity").alias("wanted"))), checkpointed(sites.select("gid", "capacity")), None
     for turn in range(1, turns + 1):
         asking = ranked.filter(F.col("turn") == turn).join(wanted.filter("wanted > 1e-9"), "plant")
-        built = contention_round(asking, free).checkpoint()
+        built = checkpointed(contention_round(asking, free))
         builds = built if builds is None else builds.unionByName(built)
         taken, got = built.groupBy("gid").agg(F.sum("built").alias("t")), built.groupBy("plant").agg(F.sum("built").alias("g"))
-        free = free.join(taken, "gid", "left").select("gid", (F.col("capacity") - F.coalesce("t", F.lit(0.0))).alias("capacity")).checkpoint()
-        wanted = wanted.join(got, "plant", "left").select("plant", (F.col("wanted") - F.coalesce("g", F.lit(0.0))).alias("wanted")).checkpoint()
+        free = checkpointed(free.join(taken, "gid", "left").select("gid", (F.col("capacity") - F.coalesce("t", F.lit(0.0))).alias("capacity")))
+        wanted = checkpointed(wanted.join(got, "plant", "left").select("plant", (F.col("wanted") - F.coalesce("g", F.lit(0.0))).alias("wanted")))
         if wanted.filter("wanted > 1e-9").isEmpty():
             break
     if builds is None:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from siteweave.functions import costs
 from siteweave.functions.spatial import DIRECTIONS
+from siteweave.session import checkpointed
 
 CELL = ["row", "col"]
 
@@ -214,7 +215,7 @@ def contiguous_patches(cells: DataFrame, queen: bool = True, rounds: int = 10_00
         # A label is a cell; following it to that cell's own label halves the way each round.
         follow = labels.select(F.struct("row", "col").alias("new"), F.col("patch").alias("further"))
         both = labels.join(best, CELL).join(follow, "new", "left").select(*CELL, "patch", F.least("new", F.coalesce("further", "new")).alias("new"))
-        both = both.checkpoint()
+        both = checkpointed(both)
         if both.filter("patch != new").isEmpty():
             return both.select(*CELL, "patch")
         labels = both.select(*CELL, F.col("new").alias("patch"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteweave.functions.spatial import DIRECTIONS
+from siteweave.session import checkpointed
 
 
 def clip_windows(sources: DataFrame, targets: DataFrame, buffer: float = 1.05) -> DataFrame:
@@ -24,7 +25,7 @@ def clip_windows(sources: DataFrame, targets: DataFrame, buffer: float = 1.05) -
 def clipped_cells(cells: DataFrame, windows: DataFrame, tile: int = 64) -> DataFrame:
     """Each window's cells, met through tiles: (source, cells' columns)."""
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius")) / tile), F.floor((F.col(c) + F.col("radius")) / tile)))
-    w = windows.select("source", F.col("row").alias("sr"), F.col("col").alias("sc"), "radius", span("row").alias("tr"), F.col("col"))
+    w = windows.select(F.col("source"), F.col("row").alias("sr"), F.col("col").alias("sc"), "radius", span("row").alias("tr"), F.col("col"))
     w = w.withColumn("tc", span("col")).drop("col")
     placed = cells.withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
     inside = (F.abs(F.col("row") - F.col("sr")) <= F.col("radius")) & (F.abs(F.col("col") - F.col("sc")) <= F.col("radius"))
@@ -89,6 +90,7 @@ def least_cost_paths(cells: DataFrame, sources: DataFrame, targets: DataFrame, b
                     out.append((source, target, step, i // grid.shape[1] + r0, i % grid.shape[1] + c0, float(best[i])))
         return pd.DataFrame(out, columns=["source", "target", "step", "row", "col", "cumulative"]).astype({"step": "Int64", "row": "int64", "col": "int64"})
 
+    ends = ends.select(*[F.col(c).alias(c) for c in ends.columns])  # columns of their own, as both sides stem from the sources
     kinds = {**dict(sources.dtypes), **dict(targets.dtypes)}
     schema = f"source {kinds['source']}, target {kinds['target']}, step long, row long, col long, cumulative double"
     return held.groupBy("source").cogroup(ends.groupBy("source")).applyInPandas(solve, schema)
@@ -120,7 +122,7 @@ def relaxed_costs(cells: DataFrame, sources: DataFrame, cost: str = "routing", r
     open_cells = cells.filter(F.col(cost) > 0).select("row", "col", F.col(cost).cast("double").alias("c"))
     offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(sqrt(r * r + c * c)).alias("l")) for _, r, c in DIRECTIONS])
     start = sources.select("row", "col").distinct().withColumn("b0", F.lit(0.0))
-    state = open_cells.join(start, ["row", "col"], "left").select("row", "col", "c", F.col("b0").alias("best"), F.col("b0").isNotNull().alias("fresh")).checkpoint()
+    state = checkpointed(open_cells.join(start, ["row", "col"], "left").select("row", "col", "c", F.col("b0").alias("best"), F.col("b0").isNotNull().alias("fresh")))
     for n in range(1, rounds + 1):
         sent = state.filter("fresh").select("best", F.col("c").alias("from"), "row", "col", F.explode(offsets).alias("o"))
         offer = sent.select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "best", "from", F.col("o.l").alias("l"))
@@ -129,7 +131,7 @@ def relaxed_costs(cells: DataFrame, sources: DataFrame, cost: str = "routing", r
         better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best") - 1e-12))
         state = state.join(met, ["row", "col"], "left").select("row", "col", "c", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"), better.alias("fresh"))
         if n % every == 0:
-            state = state.checkpoint()
+            state = checkpointed(state)
             if state.filter("fresh").isEmpty():
                 break
     return state.select("row", "col", "best")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteweave.functions.spatial import distance, haversine_km, on_sphere
+from siteweave.session import checkpointed
 
 
 def _cells(point: list[Column], size: float) -> list[Column]:
@@ -51,13 +52,13 @@ def nearest(queries: DataFrame, targets: DataFrame, query_point: list[Column], t
         met = around.join(placed, keys).withColumn("distance", distance([F.col(f"__q{i}") for i in dims], [F.col(f"__t{i}") for i in dims]))
         if within is not None:
             met = met.filter(F.col("distance") <= within)
-        best = met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_id, target_id, "distance", "rank")
+        best = checkpointed(met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_id, target_id, "distance", "rank"))
         if within is not None or size > reach:
             done.append(best)
             break
         settled = best.filter((F.col("rank") == min(k, some[0])) & (F.col("distance") <= size)).select(query_id)
         done.append(best.join(settled, query_id, "left_semi"))
-        left = left.join(settled, query_id, "left_anti")
+        left = checkpointed(left.join(settled, query_id, "left_anti"))
         if left.isEmpty():
             break
         size *= 4
@@ -101,10 +102,10 @@ def radius_candidates(plants: DataFrame, sites: DataFrame, km: float, cost: str
     inside, left, radius = [], plants, km
     while True:
         chord = 2 * sin(min(radius / 6371.0 / 2, 1.5707963))
-        met = nearest(left, sites, at, at, "plant", "gid", k=1 << 30, within=chord)
+        met = nearest(left, sites, at, at, "plant", "gid", k=1 << 30, within=chord)  # checkpointed
         enough = met.groupBy("plant").agg(F.count("*").alias("n")).filter(F.col("n") >= min(wanted, total)).select("plant")
         inside.append(met.join(enough, "plant", "left_semi").select("plant", "gid"))
-        left = left.join(enough, "plant", "left_anti")
+        left = checkpointed(left.join(enough, "plant", "left_anti"))
         if radius > 20_038 or left.isEmpty():
             break
         radius *= growth

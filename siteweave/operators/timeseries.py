@@ -76,9 +76,9 @@ def lag_correlations(pairs: DataFrame, steps: int, lags: range, index: str = "id
         F.try_divide(F.col(a) - F.avg(a).over(sites), F.stddev_pop(a).over(sites)).alias("za"),
         F.try_divide(F.col(b) - F.avg(b).over(sites), spread.over(sites)).alias("zb"),
     )
-    rolled = scored.select("gid", F.col(index).alias("at"), "zb", F.explode(F.array(*[F.lit(m) for m in lags])).alias("lag"))
+    rolled = scored.select(F.col("gid"), F.col(index).alias("at"), "zb", F.explode(F.array(*[F.lit(m) for m in lags])).alias("lag"))
     rolled = rolled.select("gid", "lag", "zb", F.pmod(F.col("at") + F.col("lag"), F.lit(steps)).alias(index))
-    return scored.join(rolled, ["gid", index]).groupBy("gid", "lag").agg((F.sum(F.col("za") * F.col("zb")) / F.lit(steps - 1)).alias("corr"))
+    return scored.drop("zb").join(rolled, ["gid", index]).groupBy("gid", "lag").agg((F.sum(F.col("za") * F.col("zb")) / F.lit(steps - 1)).alias("corr"))
 
 
 def best_lag(lagged: DataFrame) -> DataFrame:
