@@ -28,8 +28,8 @@ from siteweave.llm.common import parts, text_bytes
 from siteweave.llm.words import gram_hashes, mix, pieces, word_hashes, word_spans
 
 WINDOW = 20
-STEP = 4
-SHORT = 8
+STEP = 5
+SHORT = 10
 CROWD = 100_000
 CHUNK = 8 << 20
 #: Text bytes for each group of prefixes.
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, cr
     hash of the text), or earlier in the same one. Null and empty texts have
     no words. Rows that repeat a doc_id and text count as one document and
     each get its row. Texts shorter than a window are kept. An empty table
-    gives no rows. Windows are compared by hashes of 160 bits, those in one
+    gives no rows. Windows are compared by hashes of 128 bits, those in one
     chunk by 64.
     """
     if window % STEP or short % STEP or short > window:
@@ -148,8 +148,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, cr
         return pa.table({"chunk": table["chunk"], "grp": table["grp"], "verdict": pa.array([x.tobytes() for x in back], pa.binary())})
 
     def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"grp": [], "chunk": [], "symbols": [], "rows": [], "starts": [], "doc_ids": [], "keys": []}
-        types = {"grp": pa.int64(), "chunk": pa.int64(), **{k: pa.binary() for k in ("symbols", "rows", "starts", "doc_ids", "keys")}}
+        rows: dict[str, list] = {"grp": [], "chunk": [], "symbols": [], "rows": [], "starts": [], "doc_ids": []}
+        types = {"grp": pa.int64(), "chunk": pa.int64(), **{k: pa.binary() for k in ("symbols", "rows", "starts", "doc_ids")}}
         if len(table) and len(told):
             chunk = Chunk(table, window)
             _, _, prefix_of = chunk.prefixes(short)
@@ -167,14 +167,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, cr
             bounds = np.searchsorted(group[order], np.arange(groups + 1))
             for g in np.flatnonzero(np.diff(bounds)):
                 part = order[bounds[g] : bounds[g + 1]]
-                held, row = np.unique(chunk.row[some[part]], return_inverse=True)
+                row = chunk.row[some[part]]
                 rows["grp"].append(g)
                 rows["chunk"].append(table["chunk"][0].as_py())
                 rows["symbols"].append(symbols[part].tobytes())
                 rows["rows"].append(row.astype("<u4").tobytes())
                 rows["starts"].append(chunk.start[some[part]].astype("<u4").tobytes())
-                rows["doc_ids"].append(chunk.doc_ids[held].tobytes())
-                rows["keys"].append(chunk.keys[held].tobytes())
+                rows["doc_ids"].append(chunk.doc_ids[np.unique(row)].tobytes())
         return _binary(rows, types)
 
     def trees(table: pa.Table) -> pa.Table:
@@ -182,36 +181,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, cr
         sent = table.to_pylist()
         symbols = np.concatenate([array(x["symbols"], "<u4").reshape(-1, window // STEP) for x in sent])
         starts = np.concatenate([array(x["starts"], "<u4") for x in sent])
-        doc = np.concatenate([array(x["doc_ids"], np.int64)[array(x["rows"], "<u4")] for x in sent])
-        key = np.concatenate([array(x["keys"], np.int64)[array(x["rows"], "<u4")] for x in sent])
+        row = np.concatenate([array(x["rows"], "<u4") for x in sent])
+        # Rows of one doc_id share a chunk, where equal windows have been settled, so doc_ids alone tell places in different chunks apart.
+        doc = np.concatenate([array(x["doc_ids"], np.int64)[np.unique(array(x["rows"], "<u4"), return_inverse=True)[1]] for x in sent])
         source = np.repeat(np.arange(len(sent)), [len(x["starts"]) // 4 for x in sent])
-        order, node = tree_nodes(symbols, (doc, key, starts), window // STEP)
+        order, node = tree_nodes(symbols, (doc, starts), window // STEP)
         # Leaves of a node are in order of their places; all but the first are repeats, unless they are the same place.
         new = np.concatenate([[True], node[1:] != node[:-1]])
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))]
-        later = (node >= 0) & ((doc[order] != doc[lead]) | (key[order] != key[lead]) | (starts[order] != starts[lead]))
+        later = (node >= 0) & ((doc[order] != doc[lead]) | (starts[order] != starts[lead]))
         late = order[later]
         late = late[np.argsort(source[late], kind="stable")]
         bounds = np.searchsorted(source[late], np.arange(len(sent) + 1))
-        rows: dict[str, list] = {"chunk": [], "doc_ids": [], "keys": [], "starts": []}
+        rows: dict[str, list] = {"chunk": [], "rows": [], "starts": []}
         for i in np.flatnonzero(np.diff(bounds)):
             part = late[bounds[i] : bounds[i + 1]]
             rows["chunk"].append(sent[i]["chunk"])
-            rows["doc_ids"].append(doc[part].tobytes())
-            rows["keys"].append(key[part].tobytes())
+            rows["rows"].append(row[part].tobytes())
             rows["starts"].append(starts[part].tobytes())
-        return _binary(rows, {"chunk": pa.int64(), **{k: pa.binary() for k in ("doc_ids", "keys", "starts")}})
+        return _binary(rows, {"chunk": pa.int64(), "rows": pa.binary(), "starts": pa.binary()})
 
     def rest(table: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
         repeated = ~chunk.first_places()
-        # Places told by the trees; a window that repeats here has its first place in the trees only.
+        # Places told by the trees, by the same numbering of the chunk's rows.
         of_row = {x: i for i, x in reversed(list(enumerate(zip(chunk.doc_ids.tolist(), chunk.keys.tolist()))))}
         offset = np.searchsorted(chunk.row, np.arange(len(chunk.doc_ids)))
         for x in found.to_pylist():
-            ids, keys = np.frombuffer(x["doc_ids"], np.int64), np.frombuffer(x["keys"], np.int64)
-            rows = np.array([of_row[y] for y in zip(ids.tolist(), keys.tolist())], np.int64)
-            repeated[offset[rows] + np.frombuffer(x["starts"], "<u4")] = True
+            repeated[offset[np.frombuffer(x["rows"], "<u4")] + np.frombuffer(x["starts"], "<u4")] = True
         covered = np.zeros(len(chunk.words) + 1, np.int64)
         np.add.at(covered, chunk.at[repeated], 1)
         np.add.at(covered, chunk.at[repeated] + window, -1)
@@ -236,6 +233,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, cr
 
     counted = chunked.groupBy("chunk").applyInArrow(census, "grp long, chunk long, prefixes binary, counts binary")
     told = counted.groupBy("grp").applyInArrow(verdicts, "chunk long, grp long, verdict binary")
-    sent = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(suffixes, "grp long, chunk long, symbols binary, rows binary, starts binary, doc_ids binary, keys binary")
-    late = sent.groupBy("grp").applyInArrow(trees, "chunk long, doc_ids binary, keys binary, starts binary")
+    sent = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(suffixes, "grp long, chunk long, symbols binary, rows binary, starts binary, doc_ids binary")
+    late = sent.groupBy("grp").applyInArrow(trees, "chunk long, rows binary, starts binary")
     return chunked.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(rest, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
