@@ -196,3 +196,22 @@ def dpv_blend(events):
     daily = events.groupBy("source", "gid", "ts").agg(F.sum("value").alias("value"))
     out = ts.blended_sources(daily, shares)
     return out.select("gid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"), "complete")
+
+
+@query("""
+WITH o AS (SELECT gid, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY gid ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY gid ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM {profiles}),
+s AS (SELECT gid, ts, sum(new) OVER (PARTITION BY gid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT gid, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY gid, k
+""", profiles=PROFILES)
+def session_windows(profiles):
+    out = profiles.groupBy("gid", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
+    return out.select("gid", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("""
+WITH p AS (SELECT gid, value, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM {profiles}), w AS (SELECT gid, value, b AS start FROM p UNION ALL SELECT gid, value, b - INTERVAL 12 HOUR FROM p)
+SELECT gid, CAST(start AS VARCHAR) AS start, round(avg(value), 6) AS mean FROM w GROUP BY gid, start
+""", profiles=PROFILES)
+def sliding_window_means(profiles):
+    out = profiles.groupBy("gid", F.window("ts", "24 hours", "12 hours").alias("w")).agg(F.avg("value").alias("mean"))
+    return out.select("gid", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("mean", 6).alias("mean"))

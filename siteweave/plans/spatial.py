@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siteweave.functions.spatial import haversine_km
+from siteweave.functions.spatial import cell_centre, cell_of, haversine_km, min_max, project_on_segment
 from siteweave.operators import raster
 from siteweave.operators import spatial_joins as sj
 from siteweave.plans.registry import CELLS, ORDERS, PLANTS, SITES, query
+from siteweave.sources.tables import features_in
 
 KM = "2 * 6371e0 * asin(sqrt(least(1e0, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))))"
 APART = KM.format(a="p.lat", b="p.lon", c="s.lat", d="s.lon")
@@ -132,3 +134,34 @@ SELECT gid, direction, CAST(greatest(0, least(gid // 10 + r, 99)) * 10 + greates
 """, sites=SITES)
 def neighbors_8dir(sites):
     return raster.neighbours(sites.select("gid"), "gid", 10, 100)
+
+
+@query("""
+WITH s AS (SELECT plant, lon, lat, -120e0 + nation AS x1, 30e0 AS y1, -100e0 + nation AS x2, 30e0 + nation AS y2 FROM {plants}),
+t AS (SELECT *, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM s)
+SELECT plant, round(x1 + t * (x2 - x1), 6) AS x, round(y1 + t * (y2 - y1), 6) AS y FROM t
+""", plants=PLANTS)
+def nearest_on_line(plants):
+    n = F.col("nation")
+    x, y = project_on_segment(F.col("lon"), F.col("lat"), n - 120.0, F.lit(30.0), n - 100.0, n + 30.0)
+    return plants.select("plant", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("SELECT plant, CAST(floor((lat - 25) / 0.25e0) AS INTEGER) AS row, CAST(floor((lon + 125) / 0.5e0) AS INTEGER) AS col, round(25 + (floor((lat - 25) / 0.25e0) + 0.5e0) * 0.25e0, 6) AS y, round(-125 + (floor((lon + 125) / 0.5e0) + 0.5e0) * 0.5e0, 6) AS x FROM {plants}", plants=PLANTS)
+def pixel_of_point(plants):
+    row, col = cell_of(F.col("lat"), F.col("lon"), -125.0, 0.5, 25.0, 0.25)
+    y, x = cell_centre(row, col, -125.0, 0.5, 25.0, 0.25)
+    return plants.select("plant", row.alias("row"), col.alias("col"), F.round(y, 6).alias("y"), F.round(x, 6).alias("x"))
+
+
+@query("SELECT gid, nation, round(CASE WHEN max(capacity) OVER w > min(capacity) OVER w THEN (capacity - min(capacity) OVER w) / (max(capacity) OVER w - min(capacity) OVER w) ELSE 1 END, 9) AS scaled FROM {sites} WINDOW w AS (PARTITION BY nation)", sites=SITES)
+def min_max_scaling(sites):
+    nation = Window.partitionBy("nation")
+    scaled = min_max(F.col("capacity"), F.min("capacity").over(nation), F.max("capacity").over(nation))
+    return sites.select("gid", "nation", F.round(scaled, 9).alias("scaled"))
+
+
+@query("SELECT gid FROM (SELECT gid, lon - 1 AS minx, lat - 1 AS miny, lon + 1 AS maxx, lat + 1 AS maxy FROM {sites}) WHERE minx <= -95 AND maxx >= -110 AND miny <= 42 AND maxy >= 33", sites=SITES)
+def bbox_scan(sites):
+    features = sites.select("gid", (F.col("lon") - 1).alias("minx"), (F.col("lat") - 1).alias("miny"), (F.col("lon") + 1).alias("maxx"), (F.col("lat") + 1).alias("maxy"))
+    return features_in(features, -110.0, 33.0, -95.0, 42.0).select("gid")

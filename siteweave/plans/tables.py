@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteweave.functions import costs
 from siteweave.functions.text import class_of, json_array, json_map, normalised, zone_of
 from siteweave.operators import allocation, cleaning, transmission
 from siteweave.plans.registry import LINES, NATIONS, ORDERS, PLANTS, REGIONS, SITES, View, query
+from siteweave.sources import tables as sources
 
 PARTS = View("part", {"gid": "p_partkey", "name": "p_name", "brand": "p_brand", "kind": "p_type", "size": "p_size", "price": "p_retailprice"})
 
@@ -178,3 +180,63 @@ def contention_round(plants, sites):
     near = cleaning.keep_first(_candidates(plants, sites), ["plant"], [F.col("distance"), F.col("gid")])
     asked = near.select("plant", "gid", "distance", F.lit(0.0).alias("bus_distance"), (F.col("capacity") / 50).alias("wanted"))
     return allocation.contention_round(asked, sites.select("gid", "capacity")).withColumn("built", F.round("built", 4))
+
+
+@query("""
+WITH t AS (SELECT gid, okey, line, res_gid, actual, coalesce(sum(actual) OVER (PARTITION BY gid ORDER BY actual DESC, okey, line, res_gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM {lines}),
+u AS (SELECT *, least(actual, greatest(0, 777.5e0 - prev)) AS used FROM t)
+SELECT gid, okey, line, res_gid, used, CAST(ceil(used / actual * (line + 3)) AS BIGINT) AS n_used FROM u WHERE used > 0
+""", lines=LINES)
+def drawn_resources(lines):
+    table = lines.withColumnRenamed("actual", "capacity").withColumn("count", F.col("line") + 3).withColumn("wanted", F.lit(777.5))
+    out = allocation.drawn(table, ["gid"], "wanted", [F.desc("capacity"), F.col("okey"), F.col("line"), F.col("res_gid")])
+    return out.select("gid", "okey", "line", "res_gid", "used", "n_used")
+
+
+@query("SELECT gid, 90000 - sum(actual) AS short FROM {lines} GROUP BY gid HAVING 90000 - sum(actual) > 1e-6", lines=LINES)
+def unfilled_requests(lines):
+    return allocation.unfilled(lines.withColumn("wanted", F.lit(90000.0)), ["gid"], "actual", "wanted")
+
+
+@query("""
+SELECT plant, CAST(CASE plant % 6 WHEN 0 THEN 102 WHEN 1 THEN 205 WHEN 2 THEN 400 WHEN 3 THEN 1500 WHEN 4 THEN 3000 END AS INTEGER) AS mw,
+       CAST(CASE plant % 6 WHEN 0 THEN 69 WHEN 1 THEN 138 WHEN 2 THEN 230 WHEN 3 THEN 500 WHEN 4 THEN 500 END AS INTEGER) AS kv
+FROM {plants}
+""", plants=PLANTS)
+def capacity_class_parse(plants):
+    names = F.array(*[F.lit(x) for x in ("100MW", "200", "400MW", "1000", "3000MW", "7MW")])
+    mw = costs.line_megawatts(F.get(names, (F.col("plant") % 6).cast("int")))
+    return plants.select("plant", mw.alias("mw"), costs.line_kilovolts(mw).alias("kv"))
+
+
+@query("""
+SELECT gid, CAST(NULL AS DOUBLE) AS cost, capacity FROM {sites} UNION ALL SELECT plant, capacity * 2, NULL FROM {plants} WHERE name NOT IN ('MACHINERY', 'BUILDING')
+""", sites=SITES, plants=PLANTS)
+def union_result_files(sites, plants):
+    a = sites.select("gid", "capacity", F.lit("site").alias("category"))
+    b = plants.select(F.col("plant").alias("gid"), (F.col("capacity") * 2).alias("cost"), F.col("name").alias("category"))
+    return transmission.merge_results([a, b], ("MACHINERY", "BUILDING")).select("gid", "cost", "capacity")
+
+
+@query("""
+WITH s AS (SELECT nation AS region, gid AS cluster FROM {sites}) SELECT CASE WHEN region < 10 THEN 'low-' ELSE 'high-' END || cluster AS cluster, region FROM s
+""", sites=SITES)
+def prefixed_clusters(sites):
+    table = sites.select(F.col("gid").alias("cluster"), F.col("nation").alias("region"))
+    return cleaning.prefixed_clusters({"low": table.filter("region < 10"), "high": table.filter("region >= 10")})
+
+
+@query("SELECT p.plant, p.capacity FROM {plants} p WHERE nation < 5 UNION ALL SELECT plant, capacity FROM {plants} WHERE capacity > 5000 AND plant NOT IN (SELECT plant FROM {plants} WHERE nation < 5)", plants=PLANTS)
+def added_lines(plants):
+    return cleaning.added_lines(plants.filter("nation < 5").select("plant", "capacity"), plants.filter("capacity > 5000"), "plant")
+
+
+@query("SELECT gid FROM {sites} JOIN (SELECT plant AS gid, lat, lon FROM {plants}) p USING (gid) WHERE abs({sites}.lat - p.lat) > 5 OR abs({sites}.lon - p.lon) > 5".replace("FROM {sites}", "FROM {sites} s").replace("{sites}.", "s."), sites=SITES, plants=PLANTS)
+def coordinate_disagreement(sites, plants):
+    return cleaning.disagreeing(sites, plants.withColumnRenamed("plant", "gid"), "gid", ["lat", "lon"], 5.0)
+
+
+@query("SELECT gid, coalesce(CAST(n AS DOUBLE), capacity) AS capacity FROM {sites} LEFT JOIN (SELECT nation AS gid, count(*) AS n FROM {plants} GROUP BY nation) USING (gid)", sites=SITES, plants=PLANTS)
+def updated_capacities(sites, plants):
+    new = plants.groupBy(F.col("nation").alias("gid")).agg(F.count("*").cast("double").alias("capacity"))
+    return sources.update_columns(sites.select("gid", "capacity"), new, "gid", ["capacity"])
