@@ -24,7 +24,6 @@ GRAM = 5
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_OF_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,14 +76,29 @@ def test_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return words.filter(n > 0).select("item_id", F.inline(F.when(n >= window, long).otherwise(short))).distinct()
 
 
+def candidates(docs: DataFrame, tests: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_key, n_words, near): each distinct document, with its stretches (start, stop) whose fingerprint occurs in the test windows."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    # A document's words are split once: its number of words travels with its stretches, as one that starts before 0.
+    whole = lambda w: F.array(F.struct(F.lit(-1).alias("start"), F.size(w).alias("stop"), F.xxhash64("doc_id", "text_key").alias("fp")))
+    stretches = keyed.select("doc_id", "text_key", F.inline(_let(_words(), lambda w: F.concat(whole(w), _stretches(w, window, gram)))))
+    known = tests.filter(F.col("fp").isNotNull()).select("fp").distinct()
+    told = stretches.join(_sized(known.withColumn("known", F.lit(True)), broadcast_rows), "fp", "left").filter("start < 0 or known")
+    is_whole = F.col("start") < 0
+    return told.groupBy("doc_id", "text_key").agg(F.max(F.when(is_whole, F.col("stop"))).alias("n_words"), F.collect_set(F.when(~is_whole, F.struct("start", "stop"))).alias("near"))
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_key, start, n, item_id): where items' windows occur in documents."""
     tests = test_windows(items, window, gram).persist()
+    return extended(docs, candidates(docs, tests, window, gram, broadcast_rows), tests, window, broadcast_rows)
+
+
+def extended(docs: DataFrame, told: DataFrame, tests: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The hits among the candidates' windows, compared whole, and those of items shorter than a window."""
     full = tests.filter(F.col("fp").isNotNull())
     keyed = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    stretches = keyed.select("doc_id", "text_key", F.inline(_let(_words(), lambda w: _stretches(w, window, gram))))
-    near = stretches.join(_sized(full.select("fp").distinct(), broadcast_rows), "fp", "left_semi")
-    near = near.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("near")).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "near")
+    near = told.filter(F.size("near") > 0).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "near")
     again = keyed.join(near, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "text", "near")
     starts = F.flatten(F.transform("near", lambda r: F.sequence(r["start"], r["stop"] - 1)))
     windows = again.select("doc_id", "text_key", F.inline(_let(_words(), lambda w: F.transform(starts, lambda s: F.struct(s.alias("start"), _content(w, s, window).alias("content"))))))
@@ -104,14 +118,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     and text each get their row. Empty tables: no documents give no rows, no
     items give documents without hits.
     """
-    found = checkpointed(hits(docs, items, window, gram))  # read twice below
+    tests = test_windows(items, window, gram).persist()
+    told = checkpointed(candidates(docs, tests, window, gram))  # this and the next are read twice below
+    found = checkpointed(extended(docs, told, tests, window))
     spans = found.select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop")).groupBy("doc_id", "text_key", "start").agg(F.max("stop").alias("stop"))
     before = Window.partitionBy("doc_id", "text_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.col("start"))))
     n_hit = spans.withColumn("fresh", fresh).groupBy("doc_id", "text_key").agg(F.sum("fresh").alias("n_hit"))
     n_items = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     both = n_hit.alias("h").join(n_items.alias("t"), F.expr("h.doc_id <=> t.doc_id and h.text_key = t.text_key")).select(F.col("h.doc_id").alias("i"), F.col("h.text_key").alias("k"), "n_hit", "items")
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD_OF_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    words_of = told.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("n_words").cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(words_of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).drop("d", "t")
     out = counted.join(both, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left")
     items_of = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
