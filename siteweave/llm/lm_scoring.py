@@ -4,15 +4,14 @@ The filter holds quantised counts of words and word pairs: an n-gram whose
 count falls in level q (2**(q-1) up to 2**q - 1) is entered once for each
 level up to q, and a look-up probes level after level until one is missing.
 N-grams are dealt out to groups by hash; the task that adds up a group's
-counts also writes the group's slice of the filter. The filter has at most
-``MAX_BITS`` bits. Where a slice would need more, all its levels below a floor
-are left to the smoothing, as counts too small to tell from noise; corpus
-counts themselves are always whole.
+counts also writes the group's slice of the filter, whose bits grow with its
+entries, so that every level of every n-gram is kept at any input size.
 
 A word w after v has probability (c(v, w) + WEIGHT p(w)) / (c(v) + WEIGHT),
 with c from the filter and p(w) the add-one probability from exact counts.
-Those come to each chunk of documents for the chunk's own words by a shuffle,
-so no vocabulary is ever broadcast.
+Each chunk of documents asks the groups for its own words and pairs by a
+shuffle and is answered exact word counts and filter levels, so neither
+vocabulary nor filter is ever broadcast or brought to the driver.
 """
 
 from __future__ import annotations
@@ -25,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import parts, text_bytes
+from siteweave.llm.common import checkpointed, parts, text_bytes
 from siteweave.llm.words import mix, pieces, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 7, 2
 WEIGHT = 200.0
-MAX_BITS = 1 << 28
 BITS_PER_ENTRY = 10
 PROBES = 3
 CHUNK = 8 << 20
@@ -91,11 +89,11 @@ def probes(keys: np.ndarray, level: int | np.ndarray, bits: np.ndarray | int) ->
     return np.stack([mix(salted + np.uint64(i * 0x632BE59BD9B4E019 % (1 << 64))) % np.asarray(bits, np.uint64) for i in range(PROBES)])
 
 
-def slice_of_filter(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
-    """(bits, floor): the keys' counts on all levels from the lowest floor on for which the bits suffice."""
+def slice_of_filter(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+    """(bits, floor): the keys' counts on all levels; with a limit, from the lowest floor on for which the bits suffice."""
     top = levels(counts)
     floor = 1
-    while (entries := int(np.maximum(top - floor + 1, 0).sum())) * BITS_PER_ENTRY > most_bits:
+    while (entries := int(np.maximum(top - floor + 1, 0).sum())) * BITS_PER_ENTRY > (most_bits or np.inf):
         floor += 1
     size = max(1, -(-entries * BITS_PER_ENTRY // 8))
     marked = np.zeros(8 * size, bool)
@@ -106,18 +104,22 @@ def slice_of_filter(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tup
 
 @dataclass
 class Filter:
-    """The whole filter: slices end to end, where each begins (bytes), and their floors."""
+    """Slices of the filter end to end, where each begins (bytes), and their floors."""
 
     data: np.ndarray
     begins: np.ndarray
     floors: np.ndarray
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Expected counts by repeated membership probes, so many keys at a time."""
+        """Expected counts by repeated membership probes."""
+        return expected(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Highest levels by repeated membership probes, so many keys at a time; 0 for a key that isn't held."""
         parts_of = np.split(keys, range(PROBE_KEYS, len(keys), PROBE_KEYS))
-        return np.concatenate([self._counts(x) for x in parts_of])
+        return np.concatenate([self._levels(x) for x in parts_of])
 
-    def _counts(self, keys: np.ndarray) -> np.ndarray:
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         groups = group_of(keys, len(self.floors))
         short = keys & np.uint64(0xFFFFFFFF)
         begin, bits = self.begins[groups] * 8, (self.begins[groups + 1] - self.begins[groups]) * 8
@@ -128,19 +130,19 @@ class Filter:
             alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(0)]
             found[alive] = level[alive]
             level[alive] += 1
-        return expected(found)
+        return found
 
 
 @dataclass
 class Model:
-    filter: Filter
+    #: (grp, data, tokens, types): each group's slice of the filter with its totals.
+    slices: DataFrame
     tokens: int
     distinct: int
 
 
-def train(docs: DataFrame, max_bits: int = MAX_BITS, group_bytes: int = GROUP) -> Model:
-    """Counts all words, ends and word pairs of the documents and writes the filter; its slices are all that reaches the driver."""
-    groups = parts(text_bytes(docs), group_bytes)
+def train(docs: DataFrame, groups: int) -> Model:
+    """Counts all words, ends and word pairs of the documents and writes the filter's slices; only totals reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(blocks: list[np.ndarray]) -> pa.RecordBatch:
@@ -171,33 +173,26 @@ def train(docs: DataFrame, max_bits: int = MAX_BITS, group_bytes: int = GROUP) -
         words, word_counts, _ = _totals(read("words", "<u8"), read("word_counts", "<u4"))
         pairs, pair_counts, _ = _totals(read("pairs", "<u4"), read("pair_counts", "<u4"))
         keys = np.concatenate([words & np.uint64(0xFFFFFFFF), pairs.astype(np.uint64)])
-        data, floor = slice_of_filter(keys, np.concatenate([word_counts, pair_counts]), max_bits // groups)
-        return pa.table({"grp": table["grp"][:1], "data": pa.array([data], pa.binary()), "level": pa.array([floor], pa.int64()), "tokens": pa.array([int(word_counts.sum())], pa.int64()), "types": pa.array([len(words)], pa.int64())})
+        data, _ = slice_of_filter(keys, np.concatenate([word_counts, pair_counts]))
+        return pa.table({"grp": table["grp"][:1], "data": pa.array([data], pa.binary()), "tokens": pa.array([int(word_counts.sum())], pa.int64()), "types": pa.array([len(words)], pa.int64())})
 
     counted = docs.select("text").mapInArrow(count, "grp long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    # At most max_bits in all.
-    slices = counted.groupBy("grp").applyInArrow(build, "grp long, data binary, level long, tokens long, types long").toArrow().sort_by("grp").to_pylist()
-    by = {x["grp"]: x for x in slices}
-    none = {"data": b"\0", "level": 1, "tokens": 0, "types": 0}
-    every = [by.get(g, none) for g in range(groups)]
-    data = [np.frombuffer(x["data"], np.uint8) for x in every]
-    begins = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    return Model(Filter(np.concatenate(data), begins, np.array([x["level"] for x in every], np.int64)), sum(x["tokens"] for x in every), sum(x["types"] for x in every))
+    slices = checkpointed(counted.groupBy("grp").applyInArrow(build, "grp long, data binary, tokens long, types long"))
+    totals = slices.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    return Model(slices, totals["tokens"] or 0, totals["types"] or 0)
 
 
-def score(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGHT, chunk_bytes: int = CHUNK, group_bytes: int = GROUP) -> DataFrame:
+def score(docs: DataFrame, weight: float = WEIGHT, chunk_bytes: int = CHUNK, group_bytes: int = GROUP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
     Null and empty texts are one end. Repeated rows each get their row (and
     count as often in training). Without training documents every count is 0.
     An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = train(docs.filter(~held_out()), max_bits, group_bytes)
-    n_train, denominator = model.tokens, float(model.tokens + model.distinct + 1)
-    shared = spark.sparkContext.broadcast((model.filter.data, model.filter.begins, model.filter.floors))  # at most max_bits
     total = text_bytes(docs)
     chunks, groups = parts(total, chunk_bytes), parts(total, group_bytes)
+    model = train(docs.filter(~held_out()), groups)
+    n_train, denominator = model.tokens, float(model.tokens + model.distinct + 1)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     chunked = keyed.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", F.xxhash64("text")), F.lit(chunks))).repartition("chunk")
 
@@ -212,30 +207,39 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGHT, chu
         tokens, first, words = vocabulary(table)
         trained = ~np.asarray(table["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
         counts = np.bincount(np.searchsorted(words, tokens), np.repeat(trained, np.diff(first)), len(words))
-        bounds = _cut(words, groups)
-        some = np.flatnonzero(np.diff(bounds))
-        part = lambda x, kind: pa.array([x[bounds[g] : bounds[g + 1]].astype(kind).tobytes() for g in some], pa.binary())
-        return pa.table({"grp": pa.array(some, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), "words": part(words, "<u8"), "counts": part(counts, "<u4")})
-
-    def answer(table: pa.Table) -> pa.Table:
+        pairs = np.unique(pair_keys(tokens))
+        w, p = _cut(words, groups), _cut(pairs, groups)
+        some = np.flatnonzero(np.diff(w) + np.diff(p))
+        part = lambda x, at, kind: pa.array([x[at[g] : at[g + 1]].astype(kind).tobytes() for g in some], pa.binary())
+        return pa.table({"grp": pa.array(some, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), "words": part(words, w, "<u8"), "counts": part(counts, w, "<u4"), "pairs": part(pairs, p, "<u4")})
+
+    def answer(table: pa.Table, slices: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"chunk": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("totals", "word_levels", "pair_levels")}})
         sent = [np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]
-        _, totals, inverse = _totals(sent, [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
-        back = np.split(totals[inverse].astype("<u8"), np.cumsum([len(x) for x in sent])[:-1])
-        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "totals": pa.array([x.tobytes() for x in back], pa.binary())})
+        asked = [np.frombuffer(x, "<u4") for x in table["pairs"].to_pylist()]
+        words, totals, inverse = _totals(sent, [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+        # A group without training text has no slice.
+        data = np.frombuffer(slices["data"][0].as_py() if len(slices) else b"\0", np.uint8)
+        held = Filter(data, np.array([0, len(data)]), np.array([1]))
+        pairs, pair_inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        back = lambda x, sizes, kind: pa.array([y.astype(kind).tobytes() for y in np.split(x, np.cumsum([len(y) for y in sizes])[:-1])], pa.binary())
+        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "totals": back(totals[inverse], sent, "<u8"), "word_levels": back(held.levels(words)[inverse], sent, "u1"), "pair_levels": back(held.levels(pairs.astype(np.uint64))[pair_inverse], asked, "u1")})
 
     def rate(table: pa.Table, told: pa.Table) -> pa.Table:
         tokens, first, words = vocabulary(table)
-        totals = np.frombuffer(b"".join(told.sort_by("grp")["totals"].to_pylist()), "<u8").astype(np.float64)
+        told = told.sort_by("grp")
+        joined = lambda name, kind: np.frombuffer(b"".join(told[name].to_pylist()), kind)
         of = np.searchsorted(words, tokens)
-        count = totals[of]
+        count = joined("totals", "<u8").astype(np.float64)[of]
         base = (count + 1) / denominator
-        held = Filter(*shared.value)
-        context = held.counts(words)[np.concatenate([np.searchsorted(words, [END]), of[:-1]])]
-        pair = held.counts(pair_keys(tokens))
+        context = expected(joined("word_levels", "u1").astype(np.int64))[np.concatenate([np.searchsorted(words, [END]), of[:-1]])]
+        _, pair_of = np.unique(pair_keys(tokens), return_inverse=True)
+        pair = expected(joined("pair_levels", "u1").astype(np.int64))[pair_of]
         p = (pair + weight * base) / (np.maximum(context, pair) + weight)
         by_row = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
         return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": by_row((count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(table), n_train), pa.int64()), "base_score": by_row(np.log10(base)), "score": by_row(np.log10(p))})
 
-    asked = chunked.groupBy("chunk").applyInArrow(ask, "grp long, chunk long, words binary, counts binary")
-    told = asked.groupBy("grp").applyInArrow(answer, "chunk long, grp long, totals binary")
+    asked = chunked.groupBy("chunk").applyInArrow(ask, "grp long, chunk long, words binary, counts binary, pairs binary")
+    told = asked.groupBy("grp").cogroup(model.slices.groupBy("grp")).applyInArrow(answer, "chunk long, grp long, totals binary, word_levels binary, pair_levels binary")
     return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
