@@ -1,12 +1,13 @@
 """The whole pipeline against brute force on a small corpus."""
 
+import random
 import zlib
 
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siteweave.llm import packing
+from siteweave.llm import near_copies, packing
 from tests.llm.test_llm import brute_fingerprint, brute_lines, components_of, corpus
 
 
@@ -46,3 +47,48 @@ def test_stages_return_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == columns
+
+
+def test_near_dedup_keeps_one_row_of_similar_texts(spark):
+    rng = random.Random(4)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(300)] for _ in range(12)]
+    edited = lambda ws, n: [f"e{rng.randrange(10**6)}" if i in set(range(7, 300, 300 // n)) else w for i, w in enumerate(ws)]
+    rows = [(100 * i + j, " ".join(w)) for i, b in enumerate(base) for j, w in enumerate([b, edited(b, 3), edited(b, 5), edited(b, 6), edited(b, 30)])]
+    rows += [rows[0], rows[0], (7001, "only these"), (7001, "only these"), (None, "no id at all"), (None, "no id at all"), (9000, ""), (9001, " "), (9002, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    groups = {r: sorted((x for x, q in zip(rows, root) if q == r), key=lambda x: (x[0] is None, x[0]))[0][0] for r in set(root)}
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    out = corpus_pipeline.without_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] for r in out), key=str) == sorted(groups.values(), key=str)
+    assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_crowds_of_similar_texts_by_blocks(spark):
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    texts = sorted({" ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base) for _ in range(60)})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    members = docs.selectExpr("xxhash64(text) AS key", "xxhash64(text) AS root", "1L AS crowd")
+    key = {r["key"]: r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS key").collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in map(str.split, texts)]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if near(i, j) and root[i] != root[j]:
+                a = root[i]
+                root = [root[j] if r == a else r for r in root]
+    for block in (256, 7):
+        links = [(key[r["a"]], key[r["b"]]) for r in near_copies.crowd_links(docs, members, block).collect()]
+        assert all(near(i, j) for i, j in links)
+        got = list(range(60))
+        for i, j in links:
+            a = got[i]
+            got = [got[j] if g == a else g for g in got]
+        assert len(set(zip(got, root))) == len(set(got)) == len(set(root)) and 1 < len(set(root)) < 60
