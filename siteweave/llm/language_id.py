@@ -295,9 +295,11 @@ def labelled_runs(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: Network | None = None, least: float = 0.0) -> DataFrame:
-    """The documents with a language whose score is at least ``least``, in one pass without a shuffle; those without any letter go."""
+    """The documents with a language whose score is at least ``least``, in one pass without a shuffle; those without any letter go. If no language can be learned, all with a letter stay."""
     net = net or train(docs)
-    names, letter = docs.columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(net.langs))
+    names, letter = docs.columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not net.langs:
+        return docs.filter(letter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,3 +92,8 @@ def test_crowds_of_similar_texts_by_blocks(spark):
             a = got[i]
             got = [got[j] if g == a else g for g in got]
         assert len(set(zip(got, root))) == len(set(got)) == len(set(root)) and 1 < len(set(root)) < 60
+
+
+def test_texts_stay_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "mehr Worte", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.of_known_language(spark, docs, "").collect()) == [1, 3]
