@@ -64,6 +64,12 @@ def hybrid_kendall(solar, wind):
     return signs.groupBy("gid").agg(F.round(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))), 6).alias("tau"))
 
 
+@query(None, solar=SOLAR, wind=WIND)
+def site_kendall(solar, wind):
+    """Tau-b of all pairs of hours of each site; hybrid_kendall sums pairs at one hour of day only, as its SQL says."""
+    return ts.kendall(hourly_pairs(solar, wind), ["gid"], "ts").withColumn("tau", F.round("tau", 6))
+
+
 def mirrored(vectors: DataFrame) -> DataFrame:
     """Each profile beside its own reversal."""
     back = vectors.select("gid", (63 - F.col("idx")).alias("idx"), F.col("value").alias("wind"))

@@ -153,3 +153,26 @@ def test_streams_match_batches(spark, tmp_path):
     query = streams.resample_stream(stream).writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.table("hours")) == rows(timeseries.resample(profiles, "1 hour"))
+
+
+def test_site_kendall_compares_all_hours(spark):
+    """All pairs of each site against brute force."""
+    import math
+
+    from siteweave.plans import profiles
+    from siteweave.plans.registry import SOLAR, WIND, QUERIES as plans
+
+    where = "/root/testdata/sf0.001"
+    rows: dict = {}
+    for r in profiles.hourly_pairs(SOLAR.df(spark, where), WIND.df(spark, where)).collect():
+        rows.setdefault(r["gid"], []).append((r["solar"], r["wind"]))
+    sign = lambda x: (x > 0) - (x < 0)
+    want = {}
+    for gid, xs in rows.items():
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(xs) for b in xs[:i]]
+        under = math.sqrt(sum(abs(s) for s, _ in pairs) * sum(abs(t) for _, t in pairs))
+        if pairs:
+            want[gid] = round(sum(s * t for s, t in pairs) / under, 6) if under else None
+    got = {r["gid"]: r["tau"] for r in plans["site_kendall"](spark, where).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all(got[g] == want[g] or abs(got[g] - want[g]) < 2e-6 for g in got)
