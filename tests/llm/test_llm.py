@@ -280,11 +280,30 @@ def test_near_duplicates(docs, none):
     out = simhash_dedup.near_duplicates(docs).collect()
     assert len(out) == len(corpus())
     assert all(r["fingerprint"] == f"{values[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]] for r in out)
-    kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs).collect()]
-    assert set(kept) == {want[i] for i in values}
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_pivot_tables_discard_pairs(spark):
+    """The table is the distances to the references, goes with each fingerprint, and discards nearly all pairs of a bucket before any is compared."""
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    fps[200:] = fps[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64))
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").select("fp", *simhash_dedup.pivot_table(F.col("fp"))).collect()
+    table = np.array([[*np.int64(r["t0"]).tobytes(), *np.int64(r["t1"]).tobytes()] for r in rows], np.int16)
+    assert (table == np.bitwise_count(fps[:, None] ^ simhash_dedup.reference_fingerprints()[None, :])).all()
+    pairs = [(a, b) for part in simhash_dedup.pairs_within(np.array([300]), 1000) for a, b in zip(*part)]
+    assert len(pairs) == len(set(pairs)) == 300 * 299 // 2 and all(b < a for a, b in pairs)
+    a, b = np.array(pairs).T
+    left, right = simhash_dedup.survivors(table, a, b, 4)
+    near = set(zip(a[close := np.bitwise_count(fps[a] ^ fps[b]) <= 4], b[close]))
+    assert near <= set(zip(left, right)) and len(near) >= 100 and len(left) < len(near) + 0.002 * len(pairs)
+
+
+def test_segments_are_coarse():
+    assert len(simhash_dedup.segment_masks(10**6)) == 5 and len(simhash_dedup.segment_masks(10**8)) == 15
+    assert list(simhash_dedup.pairs_within(np.array([1, 0, 1]))) == [] or all(len(a) == 0 for a, _ in simhash_dedup.pairs_within(np.array([1, 0, 1])))
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_links_of_crowded_fingerprints(spark, block):
     rng = random.Random(9)

@@ -74,7 +74,8 @@ def test_crowds_of_similar_texts_by_blocks(spark):
     base = [f"v{rng.randrange(5000)}" for _ in range(200)]
     texts = sorted({" ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base) for _ in range(60)})
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    members = docs.selectExpr("xxhash64(text) AS key", "xxhash64(text) AS root", "1L AS crowd")
+    members = docs.selectExpr("xxhash64(text) AS key", "1L AS crowd", "text")
+    large = spark.createDataFrame([(1,)], "crowd long")
     key = {r["key"]: r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS key").collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in map(str.split, texts)]
     near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
@@ -84,8 +85,11 @@ def test_crowds_of_similar_texts_by_blocks(spark):
             if near(i, j) and root[i] != root[j]:
                 a = root[i]
                 root = [root[j] if r == a else r for r in root]
-    for block in (256, 7):
-        links = [(key[r["a"]], key[r["b"]]) for r in near_copies.crowd_links(docs, members, block).collect()]
+    centred = near_copies.centre_links(members, large)
+    assert centred.count() > 0
+    for block, first in ((256, None), (7, None), (7, centred)):
+        found = near_copies.crowd_links(members, first, block=block)
+        links = [(key[r["a"]], key[r["b"]]) for r in (found if first is None else found.union(first)).collect()]
         assert all(near(i, j) for i, j in links)
         got = list(range(60))
         for i, j in links:
@@ -97,3 +101,28 @@ def test_crowds_of_similar_texts_by_blocks(spark):
 def test_texts_stay_where_no_language_can_be_learned(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "mehr Worte", None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.of_known_language(spark, docs, "").collect()) == [1, 3]
+
+
+def test_wide_fingerprints_find_pairs_at_the_least_similarity():
+    """Of pairs of sets at similarity 0.8, the share that meets in a bucket and is within the distance; chance pairs aren't."""
+    rng = np.random.default_rng(3)
+    parts, lanes = near_copies.tables_for(1_000_000)
+    salts = rng.integers(0, 1 << 64, lanes, dtype=np.uint64)
+    masks = np.array(near_copies.segments(parts), np.uint64)
+
+    def meet(a, b):
+        x, y = near_copies.wide_fingerprint(a, salts), near_copies.wide_fingerprint(b, salts)
+        apart = np.bitwise_count(x ^ y).astype(int)
+        lane = np.flatnonzero(((x[:, None] ^ y[:, None]) & masks == 0).any(1))
+        return any(apart[i] + apart[(i + 1) % lanes] + apart[(i + 2) % lanes] <= near_copies.NEAR for i in lane)
+
+    hits, chance = 0, 0
+    for _ in range(400):
+        n = int(rng.integers(9, 300))
+        one = rng.integers(0, 1 << 64, n + n // 9, dtype=np.uint64)
+        a, b = one[: n], one[n // 9 :]
+        assert len(np.intersect1d(a, b)) / len(one) >= 0.79
+        hits += meet(a, b)
+        chance += meet(a, rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    assert hits >= 0.98 * 400 and chance == 0
+    assert near_copies.tables_for(10**10)[1] > near_copies.tables_for(10**8)[1] > lanes
