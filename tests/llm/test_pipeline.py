@@ -85,8 +85,12 @@ def test_crowds_of_similar_texts_by_blocks(spark):
             if near(i, j) and root[i] != root[j]:
                 a = root[i]
                 root = [root[j] if r == a else r for r in root]
-    centred = near_copies.centre_links(members, large)
-    assert centred.count() > 0
+    centred = {(key[r["a"]], key[r["b"]]) for r in near_copies.centre_links(members, large, 0.6).collect()}
+    centre = {b for _, b in centred}
+    assert len(centre) == 1 and centred == {(i, j) for j in centre for i in range(60) if i != j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])} != set()
+    most = max(range(60), key=lambda j: sum(near(i, j) for i in range(60)))
+    back = {i: k for k, i in key.items()}
+    centred = spark.createDataFrame([(back[i], back[most]) for i in range(60) if i != most and near(i, most)], "a long, b long")
     for block, first in ((256, None), (7, None), (7, centred)):
         found = near_copies.crowd_links(members, first, block=block)
         links = [(key[r["a"]], key[r["b"]]) for r in (found if first is None else found.union(first)).collect()]
