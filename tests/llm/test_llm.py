@@ -354,6 +354,25 @@ def test_line_dedup(spark, none):
         assert r["text"] == want[r["doc_id"]] and r["fp"] == "x"
         assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
     assert line_dedup.drop_repeated_lines(none).count() == 0
+    clash = df.withColumns({c: F.lit(5) for c in ("removed", "__id", "row", "key", "n_lines")})
+    out = line_dedup.drop_repeated_lines(clash).collect()
+    assert len(out) == len(rows) + 1 and all(r["text"] == want[r["doc_id"]] and r["removed"] == r["row"] == 5 for r in out)
+    assert all(r["n_lines"] == (len(dict(rows)[r["doc_id"]].split("\n")) if dict(rows)[r["doc_id"]] is not None else 0) for r in out)
+    assert line_dedup.drop_repeated_lines(clash, counts=False).columns == clash.columns
+
+
+def test_winnowing_selects_fewer_lines_than_windows(spark):
+    """One fingerprint for each run of windows with one minimum; equal runs have one in common; extension gives back all windows."""
+    rng = random.Random(1)
+    lines = [f"line {rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[100:104])), (3, "\n".join(lines[7:9]))]
+    found = line_dedup.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), run=4)
+    mine = {i: {(r["fp"], r["at"]) for r in found.collect() if r["doc_id"] == i} for i in (1, 2)}
+    assert len(mine[1]) < 0.6 * 297 and len(mine[2]) == 1 and {(f, at + 100) for f, at in mine[2]} <= mine[1]
+    windows = line_dedup.extended(found, run=4).collect()
+    assert sorted(r["start"] for r in windows if r["doc_id"] == 1) == list(range(297)) and [r["doc_id"] for r in windows if r["doc_id"] == 3] == []
+    same = [r["start"] for r in windows if r["doc_id"] == 1 and r["content"] in [x["content"] for x in windows if x["doc_id"] == 2]]
+    assert same == [100]
 
 
 def test_decontamination(spark, docs, none):
