@@ -4,8 +4,14 @@ Every row descends from the root to a region, a rack and a shard. At each
 level every child draws ``ln(u) / weight`` with u hashed from the row's key and
 the child's own name; the largest draw wins. A child's draw depends on nothing
 but the key, its name and its weight, so a change of weights moves rows only
-into or out of the subtrees whose weights changed. A shard that opens a region
-of its own takes rows only into itself.
+into or out of the subtrees whose weights changed.
+
+Documents are sharded by the number of shards alone. Every region has places
+for the same number of racks and shards and draws with the weight of all its
+places, filled or not. A row tries its regions from the largest draw on, each
+at the one place that the draws inside it choose, and stays at the first place
+that is filled. One more shard fills one more place: the rows that had passed
+it by go there, and no other row moves.
 """
 
 from __future__ import annotations
@@ -19,8 +25,8 @@ from pyspark.sql.window import Window
 SHARDS = 40
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 2
-#: Numbering groups of each shard; slots are counted within these.
-SLOT_GROUPS = 64
+#: Rows of a numbering group; a shard's slots are counted within groups, at least LEAST_GROUPS of them.
+GROUP_ROWS, LEAST_GROUPS = 1_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -38,12 +44,6 @@ def uniform_tree(shards: int = SHARDS, per_rack: int = SHARDS_PER_RACK, racks: i
     return tuple(Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(shards))
 
 
-def with_new_region(tree: tuple[Leaf, ...], weight: float = 1.0) -> tuple[Leaf, ...]:
-    """The tree with one more shard, alone in a new rack of a new region."""
-    top = lambda field: max((getattr(x, field) for x in tree), default=-1) + 1
-    return (*tree, Leaf(top("region"), top("rack"), top("shard"), weight))
-
-
 def _children(tree: tuple[Leaf, ...], parent, child) -> Column:
     """parent id -> array of (child id, weight) as a literal map."""
     weights: dict[int, dict[int, float]] = {}
@@ -78,27 +78,45 @@ def assign(df: DataFrame, key: str, tree: tuple[Leaf, ...], out: str = "shard")
     return df.drop(region, rack)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, groups: int = SLOT_GROUPS) -> DataFrame:
+def _best(key: Column, level: str, first: Column, n: int) -> Column:
+    """The child with the largest draw of n children of weight 1 that are numbered from ``first`` on; equal draws go to the larger number."""
+    draws = [F.struct(F.shiftrightunsigned(F.xxhash64(key, F.lit(level), (first + i).cast("int")), 11).alias("draw"), (first + i).cast("int").alias("id")) for i in range(n)]
+    return F.array_max(F.array(*draws))["id"] if n > 1 else first
+
+
+def place_of(key: Column, shards: int, per_rack: int = SHARDS_PER_RACK, racks: int = RACKS_PER_REGION) -> Column:
+    """The shard of a key among ``shards`` equal ones; key and number decide alone, and one more shard takes rows only into itself."""
+    regions = -(-shards // (per_rack * racks))
+    draws = F.array(*[F.struct(F.shiftrightunsigned(F.xxhash64(key, F.lit("region"), F.lit(r)), 11).alias("draw"), F.lit(r).alias("id")) for r in range(regions)])
+    order = F.transform(F.sort_array(draws, asc=False), lambda x: x["id"])
+    # Only the last region may have places that aren't filled, so two tries are enough.
+    tries = F.transform(F.slice(order, 1, 2), lambda r: _best(key, "shard", _best(key, "rack", r * racks, racks) * per_rack, per_rack))
+    filled = F.filter(tries, lambda s: s < shards)
+    # With one region alone all of its shards draw for rows that find an empty place.
+    return F.coalesce(F.get(filled, F.lit(0)), _best(key, "shard", F.lit(0), min(shards, per_rack * racks))).cast("int")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Shard, slot and size of each document.
 
     Null texts have no bytes; null doc_ids are one key. Repeated rows each get
     a slot of their own in the same shard. An empty table gives no rows.
     Slots follow (group, doc_id, size, text_crc32) in each shard, gapless from
-    0; a shard's rows are numbered in ``groups`` independent parts, whose
-    starts come from counts, so no task gets a whole shard.
+    0; a shard's rows are numbered in independent groups of about
+    ``group_rows`` rows, whose starts come from counts, so no task gets a
+    whole shard.
     """
-    tree = uniform_tree(shards)
+    groups = max(LEAST_GROUPS, -(-docs.count() // (shards * group_rows)))
     sized = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = lambda df: assign(df, "doc_id", tree).withColumn("__group", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(groups)))
-    counts = placed(docs.select("doc_id")).groupBy("shard", "__group").agg(F.count("*").alias("n"))
-    # At most shards * groups rows, whatever the input.
+    placed = sized.withColumn("shard", place_of(F.col("doc_id"), shards)).withColumn("__group", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(groups)))
+    # At most shards * groups rows: one for each group_rows rows of the input or LEAST_GROUPS of a shard.
+    counts = placed.groupBy("shard", "__group").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__group").orderBy("doc_id", "size", "text_crc32")
-    numbered = placed(sized).join(F.broadcast(starts), ["shard", "__group"]).withColumn("slot", F.col("__start") + F.row_number().over(within) - 1)
-    grown = assign(numbered, "doc_id", with_new_region(tree), "grown_shard")
-    return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    numbered = placed.join(starts, ["shard", "__group"]).withColumn("slot", F.col("__start") + F.row_number().over(within) - 1)
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), place_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
