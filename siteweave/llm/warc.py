@@ -31,6 +31,8 @@ BUNDLE = 256 << 20
 LEVEL = 3
 #: Fixed values of the Zstandard formats.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
+#: Rows turned into records at a time, and parts of a very common payload's rows.
+SLICE, SALTS = 256, 32
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, bundle string, frame long, frame_start long, frame_bytes long, offset long, record_bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -134,7 +136,8 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
-            for page_id, url, html, refers_to, is_revisit in zip(*[c.to_pylist() for c in batch.columns]):
+            rows = (x for at in range(0, len(batch), SLICE) for x in zip(*[c.to_pylist() for c in batch.slice(at, SLICE).columns]))
+            for page_id, url, html, refers_to, is_revisit in rows:
                 if bundle is None:
                     where, at = fs.FileSystem.from_uri(f"{folder}/bundles")
                     where.create_dir(at, recursive=True)
@@ -187,14 +190,19 @@ def read_bundles(index: DataFrame, records: DataFrame | None = None) -> DataFram
 
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds refers_to and is_revisit. Of equal payloads of at least ``least_bytes`` the smallest page_id is a response (nulls last)."""
+    """(page_id, url, html, refers_to, is_revisit). Of equal payloads of at least ``least_bytes`` the smallest page_id is a response (nulls last).
+
+    Payloads that occur once have no counterpart in the join; the rows of a
+    very common one are dealt out by a salt.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.withColumn("__digest", F.sha1(payload)).withColumn("__bytes", F.octet_length(payload))
-    same = keyed.filter(F.col("__bytes") >= least_bytes).groupBy("__digest", "__bytes").agg(F.min(F.col("page_id").cast("long")).alias("__first"), F.count("*").alias("__n"))
-    same = same.filter("__n > 1").drop("__n")
-    out = keyed.join(same, ["__digest", "__bytes"], "left")
-    out = out.withColumn("is_revisit", F.col("__first").isNotNull() & ~F.col("page_id").cast("long").eqNullSafe(F.col("__first")))
-    return out.withColumn("refers_to", F.when(F.col("is_revisit"), F.col("__first"))).drop("__digest", "__bytes", "__first")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    same = keyed.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    same = same.filter("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    out = salted.join(same, ["digest", "bytes", "salt"], "left")
+    is_revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return out.select("page_id", "url", "html", F.when(is_revisit, F.col("first")).alias("refers_to"), is_revisit.alias("is_revisit"))
 
 
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
