@@ -11,6 +11,7 @@ bins without hearing of each other.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,9 +31,10 @@ CAPACITY = 2048
 END = 1
 SLACK = 0.02
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
-RANK_GROUPS = 64
+#: Words whose ids a task remembers, and texts that it turns into ids at a time.
+CACHE_WORDS, TEXTS = 120_000, 128
+#: Documents for each rank group of a class, and the fewest groups.
+GROUP_DOCS, LEAST_GROUPS = 1_000_000, 64
 PIECES = "doc_id long, part long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -55,6 +57,10 @@ def cuts(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int
     return out
 
 
+#: The normaliser and pre-tokenizer for which words may be looked up one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _LATIN = "\u00DF-\u00F6\u00F8-\u012F\u0131-\u017F"
 #: Words of printable ASCII and precomposed Latin letters: normalised by lower() alone, and split by _PARTS as the tokenizer would.
 _PLAIN = re.compile(f"[!-~\u00C0-\u00D6\u00D8-\u00DE{_LATIN}]+")
@@ -67,13 +73,17 @@ _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x
 class WordIds:
     """Ids of texts as little-endian uint32 bytes.
 
-    White space never joins tokens, so ids are looked up word by word. A plain
-    word new to the cache is split into parts here and only its parts go to
-    the tokenizer's model; any other word goes through the whole tokenizer.
+    Where the file declares the parts above, white space never joins tokens,
+    so ids are looked up word by word. A plain word new to the cache is split
+    into parts here and only its parts go to the tokenizer's model; any other
+    word goes through the whole tokenizer. With any other tokenizer whole
+    texts do.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.tokenizer, self.words, self.parts, self.limit = Tokenizer.from_file(path), {}, {}, cache_words
+        declared = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_word = declared == [NORMALIZER, {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}]
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
@@ -89,6 +99,8 @@ class WordIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         texts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         for held in (self.words, self.parts):
             if len(held) > self.limit:
@@ -109,8 +121,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
-            for at in range(0, len(ids), 256):
-                for doc_id, found in zip(ids[at : at + 256], ids_of([x or "" for x in texts.slice(at, 256).to_pylist()])):
+            for at in range(0, len(ids), TEXTS):
+                for doc_id, found in zip(ids[at : at + TEXTS], ids_of([x or "" for x in texts.slice(at, TEXTS).to_pylist()])):
                     whole = memoryview(found + end)
                     start, n = 0, len(whole) // 4
                     for part, length in enumerate(cuts(n, capacity)):
@@ -127,7 +139,7 @@ def _best_fit(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
     table = pa.Table.from_batches(list(rows)) if rows else None
     if table is None or not len(table):
         return
-    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("copy", "ascending")])
+    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
     by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
     bins, places, opened = [], [], 0
     for length in table["length"].to_pylist():
@@ -139,39 +151,41 @@ def _best_fit(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
         places.append(held)
         by_room[left].append((b, held + length))
     table = table.append_column("bin", pa.array(bins, pa.int64())).append_column("offset", pa.array(places, pa.int64()))
-    yield from table.select(["doc_id", "start", "copy", "length", "ids_crc32", "doc_tokens", "bin", "offset"]).combine_chunks().to_batches()
+    yield from table.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "offset"]).combine_chunks().to_batches()
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, groups: int = RANK_GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece.
 
     Null and empty texts are one end id. Repeated rows are packed as often as
-    they occur. An empty table gives no rows. Class j's pieces are ranked
-    through counts by (class, group): a bin is rank div j. Less than j pieces
-    of each class stay over, at most a few thousand pieces however large the
-    input; one task packs those by best fit.
+    they occur; null doc_ids are ids like others. An empty table gives no
+    rows. Class j's pieces are ranked through counts by (class, group): a bin
+    is rank div j. Less than j pieces of each class stay over, 9,882 in all at
+    most for a capacity of 2048, however large the input; one task packs those
+    by best fit.
     """
-    found = token_pieces(docs, tokenizer, capacity)
+    groups = max(LEAST_GROUPS, -(-docs.count() // group_docs))
     spark = docs.sparkSession
-    same = Window.partitionBy("doc_id", "start").orderBy("ids_crc32", "doc_tokens")
-    found = found.withColumn("copy", F.row_number().over(same)).drop("part")
-    found = checkpointed(found.withColumn("class", F.expr(f"{capacity} div length")).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(groups))))
+    # Pieces of repeated rows are the same but for their partition, which parts them; the checkpoint fixes it.
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups))
+    found = token_pieces(docs, tokenizer, capacity).drop("part")
+    found = checkpointed(found.withColumn("class", F.expr(f"{capacity} div length")).withColumn("group", group))
     counts = found.groupBy("class", "group").agg(F.count("*").alias("n"))
-    # At most capacity * groups rows, and capacity rows, whatever the input.
     before = Window.partitionBy("class").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    totals = counts.groupBy("class").agg(F.expr("sum(n) div class").alias("bins")).collect()
+    totals = counts.groupBy("class").agg(F.expr("sum(n) div class").alias("bins")).collect()  # at most one row for each length
     base, at = [], 0
     for row in sorted(totals, key=lambda r: r["class"]):
         base.append((row["class"], row["bins"], at))
         at += row["bins"]
     bases = spark.createDataFrame(base or [(0, 0, 0)], "class long, bins long, base long")
-    rank = F.col("first") + F.row_number().over(Window.partitionBy("class", "group").orderBy("doc_id", "start", "copy")) - 1
-    ranked = found.join(F.broadcast(starts), ["class", "group"]).withColumn("rank", rank).join(F.broadcast(bases), "class").withColumn("bin", F.expr("rank div class"))
+    # Equal pieces may change places: nothing that is returned tells them apart.
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("class", "group").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")) - 1
+    ranked = found.join(starts, ["class", "group"]).withColumn("rank", rank).join(F.broadcast(bases), "class").withColumn("bin", F.expr("rank div class"))
     full = ranked.filter("bin < bins").withColumn("sequence_id", F.col("base") + F.col("bin"))
     above = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     full = full.withColumn("offset", F.coalesce(F.sum("length").over(above), F.lit(0)))
-    over = ranked.filter("bin >= bins").select("doc_id", "start", "copy", "length", "ids_crc32", "doc_tokens").repartition(1)
-    over = over.mapInArrow(lambda rows: _best_fit(rows, capacity), "doc_id long, start long, copy int, length long, ids_crc32 long, doc_tokens long, bin long, offset long")
+    over = ranked.filter("bin >= bins").select("doc_id", "start", "length", "ids_crc32", "doc_tokens").repartition(1)
+    over = over.mapInArrow(lambda rows: _best_fit(rows, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return full.select(*columns).unionByName(over.withColumn("sequence_id", F.col("bin") + F.lit(at)).select(*columns))
