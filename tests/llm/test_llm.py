@@ -468,12 +468,32 @@ def test_substring_dedup(docs, none, size, crowd):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_suffix_tree_nodes():
-    symbols = np.array([[1, 2], [3, 4], [1, 2], [1, 5], [3, 4], [1, 2]], np.uint32)
-    order, node = substring_dedup.tree_nodes(symbols, (np.arange(6),), 2)
-    assert [order[node == n].tolist() for n in sorted(set(node) - {-1})] == [[0, 2, 5], [1, 4]]
-    order, node = substring_dedup.tree_nodes(symbols, (np.arange(6),), 1)
-    assert [order[node == n].tolist() for n in sorted(set(node) - {-1})] == [[0, 2, 5, 3], [1, 4]]
+def test_suffix_tree_gives_maximal_repeats():
+    """Depths of inner nodes, and of the deepest one with an earlier suffix, against all pairs."""
+    rng = np.random.default_rng(0)
+    symbols = rng.integers(1, 3, (60, 8)).astype(np.uint32)
+    symbols[50:] = symbols[:10]
+    for i in range(0, 60, 7):
+        symbols[i, 5:] = 0  # suffixes that end earlier
+    order, depths = substring_dedup.suffix_tree(symbols)
+    common = lambda a, b: next((k for k in range(8) if symbols[a, k] != symbols[b, k] or symbols[a, k] == 0), 8)
+    assert sorted(order) == list(range(60)) and all(tuple(symbols[a]) <= tuple(symbols[b]) for a, b in zip(order, order[1:]))
+    assert [common(a, b) for a, b in zip(order, order[1:])] == depths.tolist()
+    place = rng.permutation(60)
+    want = [max([d for j in range(60) if place[j] < place[i] and (d := common(i, j)) >= 2], default=0) for i in range(60)]
+    got = substring_dedup.repeats(symbols, place, 2)
+    assert got.tolist() == want and {2, 3, 8} <= set(want)
+    assert substring_dedup.prefix_symbols(np.array([1, 100, 101, 900, 10**9]), 100).tolist() == [2, 2, 3, 4, 4]
+
+
+def test_repeats_of_passages_across_chunks(spark):
+    """Chunks so small that nearly all repeats lie in different ones; a tree that found none would keep every word."""
+    rng = random.Random(2)
+    shared = [" ".join(f"s{k}x{i}" for i in range(n)) for k, n in enumerate((20, 33, 39, 40, 41, 75, 200))]
+    rows = [(i if i % 9 else None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + shared[i % 7] + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(70)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=600, group_bytes=600).collect()
+    assert sum(r["n_removed"] for r in out) == sum(9 * len(x.split()) for x in shared)
+    assert sorted(r["n_removed"] for r in out).count(0) == 7
 
 
 def test_packing_leaves_little_padding(spark):
