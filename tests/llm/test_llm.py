@@ -155,18 +155,41 @@ def brute_top(vectors, every, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard_rows,query_rows", [(8192, 1024), (20, 2)])
-def test_topk_search(spark, shard_rows, query_rows):
+@pytest.mark.parametrize("shard_rows,block_bytes", [(8192, 32 << 20), (20, 200)])
+def test_topk_search(spark, shard_rows, block_bytes):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) if rng.random() < 0.7 else 0.0 for _ in range(8)]) for i in range(120)]
     rows += [(200 + i, rows[50][1]) for i in range(9)] + [(300, None), (350, [1.0] * 7 + [None]), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (None, rows[0][1]), (500, [0.5] * 5), (3, [9.0] * 8), (3, rows[3][1])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, score int, shard string")
-    found = topk_search.search(df, shard_rows=shard_rows, query_rows=query_rows)
+    found = topk_search.search(df, shard_rows=shard_rows, block_bytes=block_bytes)
     assert collected(found, "query_id", "rank", "vec_id", "score") == brute_top(rows, 50, 5)
     assert topk_search.search(df.limit(0)).count() == 0
     assert topk_search.search(df.filter("vec_id = 50")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["sparse", "clustered", "random", "negative"])
+def test_max_score_reads_parts_of_lists(kind):
+    """The same results as all products; where vectors are sparse or clustered, a small part of the postings and components is read."""
+    rng = np.random.default_rng(6)
+    docs = np.floor(rng.normal(0, 40, (3000, 32)))
+    if kind == "sparse":
+        docs = np.maximum(docs, 0) * (rng.random(docs.shape) < 0.1)
+    elif kind == "clustered":
+        docs = np.floor(docs / 8) + 60 * rng.integers(-2, 3, (30, 32))[rng.integers(0, 30, 3000)]
+    elif kind == "negative":
+        docs = -np.abs(docs) - 1
+        docs[0] *= -1
+    ids, lists, work = np.arange(3000) * 3, topk_search.posting_lists(docs), {}
+    for q in range(0, 3000, 150):
+        got = topk_search.max_score(docs[q], ids[q], docs, ids, lists, 5, work)
+        scores = docs @ docs[q]
+        scores[q] = -np.inf
+        want = np.lexsort((ids, -scores))[:5]
+        assert got == [(d, scores[d]) for d in want]
+    if kind in ("sparse", "clustered"):
+        assert work["postings"] < 0.5 * 20 * docs.size and work["components"] < 0.35 * 20 * docs.size
+
+
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
     want = Counter()
