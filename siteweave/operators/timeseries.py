@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,25 +62,74 @@ def spearman(pairs: DataFrame, keys: list[str], a: str = "solar", b: str = "wind
     return ranked.groupBy(*keys).agg(safe_corr(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
-def kendall(pairs: DataFrame, keys: list[str], order: str, a: str = "solar", b: str = "wind") -> DataFrame:
-    """Kendall's tau-b of each group, from the pairs of its rows; for groups of limited size such as one day or site and month."""
-    left, right = pairs.select(*keys, F.col(order).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1")), pairs.select(*keys, F.col(order).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    both = left.join(right, keys).filter("i < j").select(*keys, F.signum(F.col("a1") - F.col("a2")).alias("sa"), F.signum(F.col("b1") - F.col("b2")).alias("sb"))
-    return both.groupBy(*keys).agg(F.try_divide(F.sum(F.col("sa") * F.col("sb")), F.sqrt(F.sum(F.abs("sa")) * F.sum(F.abs("sb")))).alias("tau"))
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs in which a larger whole number stands before a smaller one: of the two that first differ in a bit, the one with it comes first."""
+    total, order = 0, ranks
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        order = order[np.argsort(order >> (bit + 1), kind="stable")]
+        group, one = order >> (bit + 1), (order >> bit) & 1
+        before = np.cumsum(one) - one
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        before -= np.repeat(before[begins], np.diff(np.append(begins, len(group))))
+        total += int(before[one == 0].sum())
+        # The order of the input inside a group is what counts on the next bit.
+        order = order[np.argsort(order >> bit, kind="stable")]
+    return total
+
+
+def tau_b(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Kendall's tau-b of all pairs of two columns, in n log n steps; null without variance."""
+    n = len(a)
+    tied = lambda *columns: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(columns), axis=1, return_counts=True)[1]) if n else 0
+    order = np.lexsort((b, a))
+    discordant = inversions(np.unique(b, return_inverse=True)[1][order]) if n else 0
+    pairs, in_a, in_b, in_both = n * (n - 1) // 2, tied(a), tied(b), tied(a, b)
+    if pairs == in_a or pairs == in_b:
+        return None
+    return (pairs - in_a - in_b + in_both - 2 * discordant) / (float(pairs - in_a) ** 0.5 * float(pairs - in_b) ** 0.5)
+
+
+def kendall(pairs: DataFrame, keys: list[str], a: str = "solar", b: str = "wind") -> DataFrame:
+    """Kendall's tau-b of each group over all pairs of its rows; a task sorts one group, the times of a site. Rows with a null count for nothing; groups of one row, or without variance, have a null."""
+    rows = pairs.select(*keys, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(subset=["a", "b"])
+
+    def run(table: pa.Table) -> pa.Table:
+        tau = tau_b(table["a"].to_numpy(), table["b"].to_numpy())
+        return table.select(keys).slice(0, 1).append_column("tau", pa.array([tau], pa.float64()))
+
+    return rows.groupBy(*keys).applyInArrow(run, ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys) + ", tau double")
 
 
 def lag_correlations(pairs: DataFrame, steps: int, lags: range, index: str = "idx", a: str = "solar", b: str = "wind", compat: bool = False) -> DataFrame:
-    """(gid, lag, corr): b rolled by each lag round a profile of ``steps`` values. compat divides b by its mean, not its deviation."""
+    """(gid, lag, corr): b rolled by each lag round a profile of ``steps`` values. compat divides b by its mean, not its deviation.
+
+    A site's profile is one row of arrays and all its lags come from one
+    Fourier transform, so profiles are shuffled once, however many lags.
+    """
     sites = Window.partitionBy("gid")
     spread = F.avg(b) if compat else F.stddev_pop(b)
     scored = pairs.select(
-        "gid", index,
+        "gid", F.col(index).cast("int").alias("at"),
         F.try_divide(F.col(a) - F.avg(a).over(sites), F.stddev_pop(a).over(sites)).alias("za"),
         F.try_divide(F.col(b) - F.avg(b).over(sites), spread.over(sites)).alias("zb"),
     )
-    rolled = scored.select(F.col("gid"), F.col(index).alias("at"), "zb", F.explode(F.array(*[F.lit(m) for m in lags])).alias("lag"))
-    rolled = rolled.select("gid", "lag", "zb", F.pmod(F.col("at") + F.col("lag"), F.lit(steps)).alias(index))
-    return scored.drop("zb").join(rolled, ["gid", index]).groupBy("gid", "lag").agg((F.sum(F.col("za") * F.col("zb")) / F.lit(steps - 1)).alias("corr"))
+    rows = scored.groupBy("gid").agg(F.collect_list(F.struct("at", F.coalesce("za", F.lit(float("nan"))).alias("za"), F.coalesce("zb", F.lit(float("nan"))).alias("zb"))).alias("p")).select("gid", "p.at", "p.za", "p.zb")
+    kind, wanted = dict(pairs.dtypes)["gid"], np.array(list(lags))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(1).value_lengths())
+            row, at = np.repeat(np.arange(len(batch)), sizes), np.asarray(batch.column(1).flatten()) % steps
+            both = np.full((2, len(batch), steps), np.nan)
+            for i in (0, 1):
+                both[i, row, at] = np.asarray(batch.column(2 + i).flatten())
+            empty = np.isnan(both).all(2).any(0)
+            fa, fb = np.fft.rfft(np.nan_to_num(both))
+            corr = np.fft.irfft(fa * np.conj(fb), steps)[:, wanted % steps] / (steps - 1)
+            gids = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), len(wanted))))
+            yield pa.RecordBatch.from_arrays([gids, pa.array(np.tile(wanted, len(batch)), pa.int32()), pa.array(corr.ravel(), mask=np.repeat(empty, len(wanted)))], names=["gid", "lag", "corr"])
+
+    return rows.mapInArrow(run, f"gid {kind}, lag int, corr double")
 
 
 def best_lag(lagged: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.operators import clustering
 from siteweave.operators import timeseries as ts
 from siteweave.plans.registry import LINES, PROFILES, SITES, SOLAR, VECTORS, WIND, View, query
+from siteweave.streaming import streams
 
 PAIRS = """
 pairs AS (
@@ -50,24 +52,26 @@ def hybrid_spearman(solar, wind):
     return ts.spearman(hourly_pairs(solar, wind), ["gid"]).withColumn("spearman", F.round("spearman", 6))
 
 
+TAU = "round(sum(a * b) / nullif(sqrt(sum(abs(a))) * sqrt(sum(abs(b))), 0), 6)"
+SIGNS = "sign(x.solar - y.solar) AS a, sign(x.wind - y.wind) AS b"
+
+
 @query(f"""
-WITH {PAIRS}, s AS (
-    SELECT x.gid, sign(x.solar - y.solar) AS a, sign(x.wind - y.wind) AS b FROM pairs x JOIN pairs y ON x.gid = y.gid AND hour(x.ts) = hour(y.ts) AND x.ts < y.ts
-    )
-SELECT gid, round(sum(a * b) / nullif(sqrt(sum(abs(a)) * sum(abs(b))), 0), 6) AS tau FROM s GROUP BY gid
+WITH {PAIRS}, s AS (SELECT x.gid, {SIGNS} FROM pairs x JOIN pairs y ON x.gid = y.gid AND x.ts < y.ts)
+SELECT p.gid, {TAU} AS tau FROM (SELECT DISTINCT gid FROM pairs) p LEFT JOIN s ON p.gid = s.gid GROUP BY p.gid
 """, solar=SOLAR, wind=WIND)
 def hybrid_kendall(solar, wind):
-    pairs = hourly_pairs(solar, wind).withColumn("hour", F.hour("ts"))
-    left = pairs.select("gid", "hour", F.col("ts").alias("i"), F.col("solar").alias("a1"), F.col("wind").alias("b1"))
-    right = pairs.select("gid", "hour", F.col("ts").alias("j"), F.col("solar").alias("a2"), F.col("wind").alias("b2"))
-    signs = left.join(right, ["gid", "hour"]).filter("i < j").select("gid", F.signum(F.col("a1") - F.col("a2")).alias("a"), F.signum(F.col("b1") - F.col("b2")).alias("b"))
-    return signs.groupBy("gid").agg(F.round(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))), 6).alias("tau"))
+    """Tau-b of all pairs of hours of each site."""
+    return ts.kendall(hourly_pairs(solar, wind), ["gid"]).withColumn("tau", F.round("tau", 6))
 
 
-@query(None, solar=SOLAR, wind=WIND)
+@query(f"""
+WITH {PAIRS}, h AS (SELECT *, CAST(hour(ts) AS INTEGER) AS hour FROM pairs), s AS (SELECT x.gid, x.hour, {SIGNS} FROM h x JOIN h y ON x.gid = y.gid AND x.hour = y.hour AND x.ts < y.ts)
+SELECT p.gid, p.hour, {TAU} AS tau FROM (SELECT DISTINCT gid, hour FROM h) p LEFT JOIN s ON p.gid = s.gid AND p.hour = s.hour GROUP BY p.gid, p.hour
+""", solar=SOLAR, wind=WIND)
 def site_kendall(solar, wind):
-    """Tau-b of all pairs of hours of each site; hybrid_kendall sums pairs at one hour of day only, as its SQL says."""
-    return ts.kendall(hourly_pairs(solar, wind), ["gid"], "ts").withColumn("tau", F.round("tau", 6))
+    """Tau-b of the times of each site at each hour of day."""
+    return ts.kendall(hourly_pairs(solar, wind).withColumn("hour", F.hour("ts")), ["gid", "hour"]).withColumn("tau", F.round("tau", 6))
 
 
 def mirrored(vectors: DataFrame) -> DataFrame:
@@ -82,18 +86,18 @@ z AS (
     SELECT gid, idx, (solar - avg(solar) OVER w) / nullif(stddev_pop(solar) OVER w, 0) AS za, (wind - avg(wind) OVER w) / nullif(stddev_pop(wind) OVER w, 0) AS zb
     FROM p WINDOW w AS (PARTITION BY gid)
 ), lags AS (
-    SELECT a.gid, m AS lag, sum(a.za * b.zb) / 63 AS corr FROM z a, (SELECT unnest(range(-3, 4)) AS m) JOIN z b ON a.gid = b.gid AND (b.idx + m + 64) % 64 = a.idx GROUP BY a.gid, m
+    SELECT a.gid, m AS lag, sum(a.za * b.zb) / 63 AS corr FROM z a, (SELECT unnest(range(-50, 51)) AS m) JOIN z b ON a.gid = b.gid AND (b.idx + m + 128) % 64 = a.idx GROUP BY a.gid, m
 )"""
 
 
 @query(LAGGED + "SELECT gid, CAST(lag AS INTEGER) AS lag, round(corr, 6) AS corr FROM lags", vectors=VECTORS)
 def lag_cross_correlation(vectors):
-    return ts.lag_correlations(mirrored(vectors), 64, range(-3, 4)).withColumn("corr", F.round("corr", 6))
+    return ts.lag_correlations(mirrored(vectors), 64, range(-50, 51)).withColumn("corr", F.round("corr", 6))
 
 
 @query(LAGGED + "SELECT gid, CAST(arg_max(lag, struct_pack(a := round(corr, 9), b := -lag)) AS INTEGER) AS optimal_lag, round(max(round(corr, 9)), 6) AS corr FROM lags GROUP BY gid", vectors=VECTORS)
 def optimal_lag(vectors):
-    lagged = ts.lag_correlations(mirrored(vectors), 64, range(-3, 4)).withColumn("corr", F.round("corr", 9))
+    lagged = ts.lag_correlations(mirrored(vectors), 64, range(-50, 51)).withColumn("corr", F.round("corr", 9))
     return ts.best_lag(lagged).withColumn("corr", F.round("corr", 6))
 
 
@@ -210,8 +214,8 @@ s AS (SELECT gid, ts, sum(new) OVER (PARTITION BY gid ORDER BY ts ROWS UNBOUNDED
 SELECT gid, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY gid, k
 """, profiles=PROFILES)
 def session_windows(profiles):
-    out = profiles.groupBy("gid", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
-    return out.select("gid", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    out = streams.sessions(profiles, "6 hours")
+    return out.select("gid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query("""
@@ -219,5 +223,16 @@ WITH p AS (SELECT gid, value, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM {profi
 SELECT gid, CAST(start AS VARCHAR) AS start, round(avg(value), 6) AS mean FROM w GROUP BY gid, start
 """, profiles=PROFILES)
 def sliding_window_means(profiles):
-    out = profiles.groupBy("gid", F.window("ts", "24 hours", "12 hours").alias("w")).agg(F.avg("value").alias("mean"))
-    return out.select("gid", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("mean", 6).alias("mean"))
+    out = streams.sliding_means(profiles, "24 hours", "12 hours")
+    return out.select("gid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT user_id AS gid, round(min(value), 6) AS low, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id", profiles=PROFILES)
+def user_statistics(profiles):
+    out = ts.with_statistics(profiles.withColumn("other", F.col("value")), ["gid"], {"low": lambda a, b: F.min(a), "spread": lambda a, b: F.max(a) - F.min(b)}, "value", "other")
+    return out.select("gid", F.round("low", 6).alias("low"), F.round("spread", 6).alias("spread"))
+
+
+@query("SELECT gid, CAST(idx // 8 AS BIGINT) AS idx, CAST(3 AS INTEGER) AS level, round(sum(value), 6) AS value FROM {vectors} GROUP BY gid, idx // 8 UNION ALL SELECT gid, CAST(idx // 4 AS BIGINT), 2, round(sum(value), 6) FROM {vectors} GROUP BY gid, idx // 4 UNION ALL SELECT gid, CAST(idx // 2 AS BIGINT), 1, round(sum(value), 6) FROM {vectors} GROUP BY gid, idx // 2", vectors=VECTORS)
+def block_sums_by_level(vectors):
+    return clustering.sums_by_level(vectors, 3).withColumn("value", F.round("value", 6))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,24 +156,16 @@ def test_streams_match_batches(spark, tmp_path):
     assert rows(spark.table("hours")) == rows(timeseries.resample(profiles, "1 hour"))
 
 
-def test_site_kendall_compares_all_hours(spark):
-    """All pairs of each site against brute force."""
-    import math
-
-    from siteweave.plans import profiles
-    from siteweave.plans.registry import SOLAR, WIND, QUERIES as plans
-
-    where = "/root/testdata/sf0.001"
-    rows: dict = {}
-    for r in profiles.hourly_pairs(SOLAR.df(spark, where), WIND.df(spark, where)).collect():
-        rows.setdefault(r["gid"], []).append((r["solar"], r["wind"]))
+def test_tau_b_by_sorting():
+    """All pairs against brute force, with ties."""
+    rng = random.Random(1)
     sign = lambda x: (x > 0) - (x < 0)
-    want = {}
-    for gid, xs in rows.items():
-        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(xs) for b in xs[:i]]
-        under = math.sqrt(sum(abs(s) for s, _ in pairs) * sum(abs(t) for _, t in pairs))
-        if pairs:
-            want[gid] = round(sum(s * t for s, t in pairs) / under, 6) if under else None
-    got = {r["gid"]: r["tau"] for r in plans["site_kendall"](spark, where).collect()}
-    assert got.keys() == want.keys() and len(got) > 0
-    assert all(got[g] == want[g] or abs(got[g] - want[g]) < 2e-6 for g in got)
+    for n in (0, 1, 2, 3, 40, 101):
+        a, b = ([float(rng.randrange(9)) for _ in range(n)] for _ in "ab")
+        signs = [(sign(a[i] - a[j]), sign(b[i] - b[j])) for i in range(n) for j in range(i)]
+        under = math.sqrt(sum(abs(x) for x, _ in signs)) * math.sqrt(sum(abs(y) for _, y in signs))
+        want = sum(x * y for x, y in signs) / under if under else None
+        got = timeseries.tau_b(np.array(a), np.array(b))
+        assert got == want or got == pytest.approx(want)
+    ranks = np.array([rng.randrange(50) for _ in range(300)])
+    assert timeseries.inversions(ranks) == sum(int(ranks[i] > ranks[j]) for j in range(300) for i in range(j))
