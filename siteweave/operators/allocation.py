@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteweave.operators.spatial_joins import nearest_by_degrees
+from siteweave.operators.spatial_joins import nearest, nearest_by_degrees
 from siteweave.session import checkpointed
 
 
@@ -50,7 +50,7 @@ def contention_round(proposals: DataFrame, sites: DataFrame) -> DataFrame:
     return asked.select("plant", "gid", F.least("wanted", F.greatest(F.lit(0.0), F.col("capacity") - before)).alias("built")).filter("built > 0")
 
 
-def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plants ask for their candidates in order of distance, one each round, until all is built or no candidate is left.
 
     plants: (plant, capacity); sites: (gid, capacity); candidates: (plant, gid,
@@ -58,7 +58,7 @@ def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame, ro
     (plant, short). State is cut by reliable checkpoints.
     """
     ranked = checkpointed(candidates.withColumn("turn", F.row_number().over(Window.partitionBy("plant").orderBy("distance", "bus_distance", "gid"))))
-    turns = min(rounds, ranked.agg(F.max("turn")).first()[0] or 0)
+    turns = ranked.agg(F.max("turn")).first()[0] or 0
     wanted, free, builds = checkpointed(plants.select("plant", F.col("capacity").alias("wanted"))), checkpointed(sites.select("gid", "capacity")), None
     for turn in range(1, turns + 1):
         asking = ranked.filter(F.col("turn") == turn).join(wanted.filter("wanted > 1e-9"), "plant")
@@ -74,33 +74,57 @@ def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame, ro
     return builds, wanted.filter("wanted > 1e-9").select("plant", F.col("wanted").alias("short"))
 
 
-def sequential_builds(plants: DataFrame, candidates: DataFrame, group: str = "market", share: bool = True) -> DataFrame:
-    """(plant, gid, built): in each independent group, plants in order of ``place`` fill their nearest sites, larger sites first of equals.
+def served_in_order(plants: DataFrame, candidates: DataFrame, share: bool = True) -> DataFrame:
+    """(plant, gid, built) as if plants came one after the other in order of ``place`` and each filled its candidates in order of ``turn``.
 
-    plants: (group, plant, place, wanted); candidates: (group, plant, gid,
-    distance, capacity). Order makes a group sequential; groups run apart.
-    Without ``share`` a site serves one plant only.
+    plants: (plant, place, wanted), places distinct; candidates: (plant, gid,
+    turn, capacity). Every plant starts as if it were alone; then, round after
+    round, each site says what the plants before a plant leave it and each
+    plant fills its candidates anew, until nothing changes. The first plants
+    in order are right after one round, and every round settles the next ones
+    at least. Sites and plants are windows of their own, so no task holds a
+    market. Without ``share`` a site serves one plant only.
     """
-    kinds = dict(plants.dtypes)
-    schema = f"{group} {kinds[group]}, plant {kinds['plant']}, gid long, built double"
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        free: dict[int, float] = {}
-        out = []
-        for (_, plant), mine in rows.groupby(["place", "plant"], sort=True):
-            left = float(mine["wanted"].iloc[0])
-            for gid, capacity in mine.sort_values(["distance", "capacity", "gid"], ascending=[True, False, True])[["gid", "capacity"]].itertuples(index=False):
-                room = free.get(gid, float(capacity))
-                built = min(left, room)
-                if built > 0:
-                    out.append((rows[group].iloc[0], plant, int(gid), built))
-                    free[gid] = room - built if share else 0.0
-                    left -= built
-                if left <= 1e-12:
-                    break
-        return pd.DataFrame(out, columns=[group, "plant", "gid", "built"])
-
-    return plants.join(candidates, [group, "plant"]).groupBy(group).applyInPandas(fill, schema)
+    state = candidates.join(plants.select("plant", "place", "wanted"), "plant").withColumn("built", F.lit(0.0))
+    before = Window.partitionBy("gid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("plant").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum("built").over(before), F.lit(0.0))
+    free = F.greatest(F.lit(0.0), F.col("capacity") - taken) if share else F.when(taken > 0, 0.0).otherwise(F.col("capacity"))
+    state = checkpointed(state.select("plant", "gid", "turn", "capacity", "place", "wanted", "built"))
+    while True:
+        offered = state.withColumn("free", free)
+        left = F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce(F.sum("free").over(earlier), F.lit(0.0)))
+        now = checkpointed(offered.withColumn("new", F.least(left, F.col("free"))))
+        if now.filter(F.abs(F.col("new") - F.col("built")) > 1e-9).isEmpty():
+            return now.filter("built > 0").select("plant", "gid", "built")
+        state = now.withColumn("built", F.col("new")).drop("free", "new")
+
+
+def sequential_builds(plants: DataFrame, sites: DataFrame, market: str = "market", share: bool = True, k: int = 8) -> DataFrame:
+    """(plant, gid, built): in each market plants in order of ``place`` fill their nearest sites, larger sites first of equals.
+
+    plants: (market, plant, place, lat, lon, wanted); sites: (market, gid, lat,
+    lon, capacity). A plant knows its ``k`` nearest sites; while some plants
+    are short and have sites that they don't know, k doubles and all is served
+    anew, so that no plant meets all sites of a market unless it needs them.
+    """
+    here = [F.col("lat"), F.col("lon")]
+    most = sites.groupBy(market).agg(F.count("*").alias("most"))
+    order = Window.partitionBy("plant").orderBy("distance", F.desc("capacity"), "gid")
+    while True:
+        # One more than needed, so that sites at the distance of the last one are told from it.
+        near = nearest(plants, sites, here, here, "plant", "gid", k + 1, by=market).join(sites.select("gid", "capacity"), "gid")
+        last = near.filter(F.col("rank") == k + 1).select("plant", F.col("distance").alias("last"))
+        known = near.join(last, "plant", "left").filter(F.col("last").isNull() | (F.col("distance") < F.col("last")))
+        known = checkpointed(known.withColumn("turn", F.row_number().over(order)).select("plant", "gid", "turn", "capacity"))
+        built = served_in_order(plants.select("plant", "place", "wanted"), known, share)
+        got = built.groupBy("plant").agg(F.sum("built").alias("got"))
+        knows = known.groupBy("plant").agg(F.count("*").alias("knows"))
+        short = plants.join(most, market).join(got, "plant", "left").join(knows, "plant", "left")
+        short = short.filter((F.col("wanted") - F.coalesce("got", F.lit(0.0)) > 1e-9) & (F.coalesce("knows", F.lit(0)) < F.col("most")))
+        if short.isEmpty():
+            return built
+        k *= 2
 
 
 def shared_sites(builds: DataFrame) -> DataFrame:

@@ -204,22 +204,23 @@ def hottest_capacity(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*CELL).agg(F.max("capacity").alias("capacity"))
 
 
-def contiguous_patches(cells: DataFrame, queen: bool = True, rounds: int = 10_000) -> DataFrame:
-    """(row, col, patch): connected cells get their smallest (row, col) as patch, by rounds of labels handed to neighbours and reliable checkpoints."""
+def contiguous_patches(cells: DataFrame, queen: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(row, col, by, patch): connected cells, of one value of the columns ``by``, get their smallest (row, col) as patch, by rounds of labels handed to neighbours and reliable checkpoints."""
     steps = [(r, c) for _, r, c in DIRECTIONS if queen or 0 in (r, c)]
     offsets = F.array(F.struct(F.lit(0).alias("r"), F.lit(0).alias("c")), *[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps])
-    labels = cells.select(*CELL, F.struct("row", "col").alias("patch"))
-    for _ in range(rounds):
-        sent = labels.select("row", "col", "patch", F.explode(offsets).alias("o")).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "patch")
-        best = sent.groupBy(*CELL).agg(F.min("patch").alias("new"))
+    at = [*CELL, *by]
+    labels = cells.select(*at, F.struct("row", "col").alias("patch"))
+    while True:
+        sent = labels.select(*at, "patch", F.explode(offsets).alias("o")).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), *by, "patch")
+        best = sent.groupBy(*at).agg(F.min("patch").alias("new"))
         # A label is a cell; following it to that cell's own label halves the way each round.
-        follow = labels.select(F.struct("row", "col").alias("new"), F.col("patch").alias("further"))
-        both = labels.join(best, CELL).join(follow, "new", "left").select(*CELL, "patch", F.least("new", F.coalesce("further", "new")).alias("new"))
+        follow = labels.select(F.struct("row", "col").alias("new"), *by, F.col("patch").alias("further"))
+        both = labels.join(best, at).join(follow, ["new", *by], "left").select(*at, "patch", F.least("new", F.coalesce("further", "new")).alias("new"))
         both = checkpointed(both)
+        # Labels only fall, so the rounds end.
         if both.filter("patch != new").isEmpty():
-            return both.select(*CELL, "patch")
-        labels = both.select(*CELL, F.col("new").alias("patch"))
-    raise RuntimeError("labels did not settle")
+            return both.select(*at, "patch")
+        labels = both.select(*at, F.col("new").alias("patch"))
 
 
 def large_patches(cells: DataFrame, least_cells: int, queen: bool = True) -> DataFrame:

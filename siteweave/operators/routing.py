@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,40 +33,55 @@ def clipped_cells(cells: DataFrame, windows: DataFrame, tile: int = 64) -> DataF
     return w.join(placed, ["tr", "tc"]).filter(inside).drop("tr", "tc", "sr", "sc", "radius")
 
 
-def _shortest(cost: np.ndarray, start: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Least cumulative costs from the start, and each cell's predecessor; an edge costs the mean of its cells times its length."""
+STEPS = [(r, c, sqrt(r * r + c * c)) for _, r, c in DIRECTIONS]
+
+
+def least_costs(cost: np.ndarray, start: tuple[int, int]) -> np.ndarray:
+    """Least cumulative costs from the start; an edge costs the mean of its cells times its length, cells of cost 0 or less are closed.
+
+    All cells that improved hand their costs on at once, those within a
+    band above the cheapest of them first, so few cells are handed on twice.
+    """
     height, width = cost.shape
-    best = np.full(height * width, np.inf)
-    back = np.full(height * width, -1)
-    flat = cost.ravel()
-    at = start[0] * width + start[1]
-    if flat[at] <= 0:
-        return best, back
-    best[at] = 0.0
-    queue = [(0.0, at)]
-    steps = [(r, c, sqrt(r * r + c * c)) for _, r, c in DIRECTIONS]
-    while queue:
-        d, i = heapq.heappop(queue)
-        if d > best[i]:
-            continue
-        row, col = divmod(i, width)
-        for r, c, length in steps:
-            y, x = row + r, col + c
-            if 0 <= y < height and 0 <= x < width and flat[j := y * width + x] > 0:
-                new = d + (flat[i] + flat[j]) / 2 * length
-                if new < best[j]:
-                    best[j], back[j] = new, i
-                    heapq.heappush(queue, (new, j))
-    return best, back
-
-
-def least_cost_paths(cells: DataFrame, sources: DataFrame, targets: DataFrame, buffer: float = 1.05, cost: str = "routing") -> DataFrame:
+    edge = np.full((height + 2, width + 2), -1.0)  # a closed margin
+    edge[1:-1, 1:-1] = cost
+    flat, best = edge.ravel(), np.full(edge.size, np.inf)
+    at = (start[0] + 1) * (width + 2) + start[1] + 1
+    if flat[at] > 0:
+        best[at] = 0.0
+        waiting = np.array([at])
+        band = 2 * float(flat[flat > 0].mean())
+        while len(waiting):
+            now = best[waiting] <= best[waiting].min() + band
+            active, later = waiting[now], [waiting[~now]]
+            for r, c, length in STEPS:
+                to = active + r * (width + 2) + c
+                new = best[active] + (flat[active] + flat[to]) / 2 * length
+                better = (flat[to] > 0) & (new < best[to])
+                np.minimum.at(best, to[better], new[better])
+                later.append(to[better])
+            waiting = np.unique(np.concatenate(later))
+    return best.reshape(edge.shape)[1:-1, 1:-1]
+
+
+def traced(cost: np.ndarray, best: np.ndarray, end: tuple[int, int]) -> list[tuple[int, int]]:
+    """The cells of a cheapest path from the start to the end."""
+    path, (height, width) = [end], cost.shape
+    while best[path[-1]] > 0:
+        y, x = path[-1]
+        around = [((y + r, x + c), length) for r, c, length in STEPS if 0 <= y + r < height and 0 <= x + c < width and cost[y + r, x + c] > 0]
+        path.append(min(around, key=lambda n: best[n[0]] + (cost[n[0]] + cost[y, x]) / 2 * n[1])[0])
+    return path[::-1]
+
+
+def least_cost_paths(cells: DataFrame, sources: DataFrame, targets: DataFrame, buffer: float = 1.05, cost: str = "routing", windows: DataFrame | None = None) -> DataFrame:
     """(source, target, step, row, col, cumulative): the path to each target, from the source on; unreachable targets have one row without a step.
 
-    A task holds one source's window, whose size follows the distance of its
-    targets and not the raster.
+    A target of several cells, such as a line, is reached at the cheapest of
+    them. A task holds one source's window, whose size follows the distance of
+    its targets (or ``windows``: source, row, col, radius) and not the raster.
     """
-    windows = clip_windows(sources, targets, buffer)
+    windows = clip_windows(sources, targets, buffer) if windows is None else windows
     held = clipped_cells(cells.select("row", "col", F.col(cost).cast("double").alias("cost")), windows)
     ends = targets.join(sources.select("source", F.col("row").alias("sr"), F.col("col").alias("sc")), "source")
 
@@ -77,17 +93,17 @@ def least_cost_paths(cells: DataFrame, sources: DataFrame, targets: DataFrame, b
             grid[area["row"] - r0, area["col"] - c0] = area["cost"].fillna(-1.0)
             sr, sc = int(goals["sr"].iloc[0]) - r0, int(goals["sc"].iloc[0]) - c0
             inside = lambda y, x: 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1]
-            best, back = _shortest(grid, (sr, sc)) if inside(sr, sc) else (np.full(grid.size, np.inf), None)
-            for source, target, y, x in goals[["source", "target", "row", "col"]].itertuples(index=False):
-                at = (y - r0) * grid.shape[1] + x - c0 if inside(y - r0, x - c0) else -1
-                if at < 0 or not np.isfinite(best[at]):
+            best = least_costs(grid, (sr, sc)) if inside(sr, sc) else np.full(grid.shape, np.inf)
+            for target, own in goals.groupby("target", sort=True):
+                source = own["source"].iloc[0]
+                places = sorted(zip(own["row"], own["col"]))
+                reach = [(best[y - r0, x - c0] if inside(y - r0, x - c0) else np.inf, (y, x)) for y, x in places]
+                least, (y, x) = min(reach)
+                if not np.isfinite(least):
                     out.append((source, target, None, y, x, None))
                     continue
-                path = [at]
-                while back[path[-1]] >= 0:
-                    path.append(back[path[-1]])
-                for step, i in enumerate(reversed(path)):
-                    out.append((source, target, step, i // grid.shape[1] + r0, i % grid.shape[1] + c0, float(best[i])))
+                for step, (i, j) in enumerate(traced(grid, best, (y - r0, x - c0))):
+                    out.append((source, target, step, i + r0, j + c0, float(best[i, j])))
         return pd.DataFrame(out, columns=["source", "target", "step", "row", "col", "cumulative"]).astype({"step": "Int64", "row": "int64", "col": "int64"})
 
     ends = ends.select(*[F.col(c).alias(c) for c in ends.columns])  # columns of their own, as both sides stem from the sources
@@ -112,33 +128,88 @@ def path_totals(paths: DataFrame, cells: DataFrame, layers: list[str], invariant
     return out.withColumn("cost", total)
 
 
-def relaxed_costs(cells: DataFrame, sources: DataFrame, cost: str = "routing", rounds: int = 100_000, every: int = 4) -> DataFrame:
-    """(row, col, best): least cumulative cost from the nearest source over a whole raster.
+def relaxed_costs(cells: DataFrame, sources: DataFrame, cost: str = "routing", tile: int = 128) -> DataFrame:
+    """(row, col, best): least cumulative cost from the nearest source over a whole raster; null where none leads.
 
-    Each round only cells that improved hand their cost to their neighbours;
-    costs are cut by reliable checkpoints, so any part of the raster can be on
-    any executor. sources: (row, col).
+    The raster is held in square tiles, each relaxed inside by one task. Then
+    only the borders of tiles whose borders improved travel to the tiles next
+    to them, until none improves; tiles are cut by reliable checkpoints, so
+    any part of the raster can be on any executor. sources: (row, col).
     """
-    open_cells = cells.filter(F.col(cost) > 0).select("row", "col", F.col(cost).cast("double").alias("c"))
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(sqrt(r * r + c * c)).alias("l")) for _, r, c in DIRECTIONS])
-    start = sources.select("row", "col").distinct().withColumn("b0", F.lit(0.0))
-    state = checkpointed(open_cells.join(start, ["row", "col"], "left").select("row", "col", "c", F.col("b0").alias("best"), F.col("b0").isNotNull().alias("fresh")))
-    for n in range(1, rounds + 1):
-        sent = state.filter("fresh").select("best", F.col("c").alias("from"), "row", "col", F.explode(offsets).alias("o"))
-        offer = sent.select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "best", "from", F.col("o.l").alias("l"))
-        # The cost of an edge depends on its far cell too: the least offers by length and source cost are settled there.
-        met = offer.join(state.select("row", "col", "c"), ["row", "col"]).groupBy("row", "col").agg(F.min(F.col("best") + (F.col("from") + F.col("c")) / 2 * F.col("l")).alias("new"))
-        better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best") - 1e-12))
-        state = state.join(met, ["row", "col"], "left").select("row", "col", "c", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"), better.alias("fresh"))
-        if n % every == 0:
-            state = checkpointed(state)
-            if state.filter("fresh").isEmpty():
-                break
-    return state.select("row", "col", "best")
+    start = sources.select("row", "col").distinct().withColumn("__s", F.lit(True))
+    placed = cells.select("row", "col", F.col(cost).cast("double").alias("c")).join(start, ["row", "col"], "left")
+    tiles = placed.select(F.floor(F.col("row") / tile).cast("int").alias("ty"), F.floor(F.col("col") / tile).cast("int").alias("tx"), "row", "col", "c", F.when(F.col("__s") & (F.col("c") > 0), 0.0).otherwise(float("inf")).alias("best"))
+    kinds = "ty int, tx int, costs binary, best binary, moved boolean"
+
+    def settle(costs: np.ndarray, best: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+        """Relaxes a tile with a margin of one cell, whose costs and values are the neighbours'."""
+        flat, values, width = costs.ravel(), best.ravel(), costs.shape[1]
+        waiting = np.flatnonzero(np.isfinite(values)) if given is None else given
+        while len(waiting):
+            later = []
+            for r, c, length in STEPS:
+                to = waiting + r * width + c
+                ok = (to >= 0) & (to < len(flat)) & (np.abs(to % width - waiting % width) <= 1)
+                i, j = waiting[ok], to[ok]
+                new = values[i] + (flat[i] + flat[j]) / 2 * length
+                better = (flat[i] > 0) & (flat[j] > 0) & (new < values[j] - 1e-12)
+                np.minimum.at(values, j[better], new[better])
+                later.append(j[better])
+            waiting = np.unique(np.concatenate(later))
+        return values.reshape(costs.shape)
+
+    def first(key: tuple, rows: pa.Table) -> pa.Table:
+        costs, best = np.full((tile, tile), -1.0), np.full((tile, tile), np.inf)
+        y, x = np.asarray(rows["row"]) - key[0].as_py() * tile, np.asarray(rows["col"]) - key[1].as_py() * tile
+        costs[y, x] = np.nan_to_num(np.asarray(rows["c"]), nan=-1.0)
+        best[y, x] = np.asarray(rows["best"])
+        best = settle(costs, best, None)
+        return pa.table({"ty": pa.array([key[0].as_py()], pa.int32()), "tx": pa.array([key[1].as_py()], pa.int32()), "costs": [costs.tobytes()], "best": [best.tobytes()], "moved": [bool(np.isfinite(best).any())]})
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each tile's edge rows, columns and corners for the tile that they lie next to."""
+        cut = {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}
+        for batch in batches:
+            out = []
+            for ty, tx, costs, best in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                c, b = (np.frombuffer(v).reshape(tile, tile) for v in (costs, best))
+                for r, k, _ in STEPS:
+                    out.append((ty + r, tx + k, -r, -k, c[cut[r], cut[k]].tobytes(), b[cut[r], cut[k]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 6, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["ty", "tx", "r", "k", "costs", "best"])
+
+    def exchange(own: pa.Table, given: pa.Table) -> pa.Table:
+        if not len(own) or not len(given):
+            return own.set_column(4, "moved", pa.array([False] * len(own), pa.bool_()))
+        costs, best = np.full((tile + 2, tile + 2), -1.0), np.full((tile + 2, tile + 2), np.inf)
+        held, before = (np.frombuffer(own[n][0].as_py()).reshape(tile, tile) for n in ("costs", "best"))
+        costs[1:-1, 1:-1], best[1:-1, 1:-1] = held, before
+        side = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+        for r, k, c, b in zip(*[given[n].to_pylist() for n in ("r", "k", "costs", "best")]):
+            shape = best[side[r], side[k]].shape
+            costs[side[r], side[k]], best[side[r], side[k]] = np.frombuffer(c).reshape(shape), np.frombuffer(b).reshape(shape)
+        margin = np.ones(best.shape, bool)
+        margin[1:-1, 1:-1] = False
+        best = settle(costs, best, np.flatnonzero((margin & np.isfinite(best)).ravel()))[1:-1, 1:-1]
+        moved = bool((best < before).any())
+        return own.set_column(3, "best", pa.array([np.ascontiguousarray(best).tobytes()], pa.binary())).set_column(4, "moved", pa.array([moved], pa.bool_()))
+
+    state = checkpointed(tiles.groupBy("ty", "tx").applyInArrow(first, kinds))
+    while not state.filter("moved").isEmpty():
+        sent = state.filter("moved").drop("moved").mapInArrow(borders, "ty int, tx int, r int, k int, costs binary, best binary")
+        state = checkpointed(state.groupBy("ty", "tx").cogroup(sent.groupBy("ty", "tx")).applyInArrow(exchange, kinds))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ty, tx, costs, best in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                c, b = np.frombuffer(costs), np.frombuffer(best)
+                some = np.flatnonzero(c > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(some // tile + ty * tile, pa.int32()), pa.array(some % tile + tx * tile, pa.int32()), pa.array(b[some], mask=~np.isfinite(b[some]))], names=["row", "col", "best"])
+
+    return state.drop("moved").mapInArrow(unpacked, "row int, col int, best double")
 
 
 def port_distances(ocean: DataFrame, ports: DataFrame, cell_cost: float = 90.0) -> DataFrame:
-    """(row, col, km): distance by sea to the nearest port, plus its distance to its cell; -1 on land. ocean: (row, col, depth_km > 0 at sea); ports: (row, col, snap_km)."""
+    """(row, col, km): distance by sea to the nearest port's cell; -1 on land, null where no port leads to. ocean: (row, col, dist_to_coast > 0 at sea); ports: (row, col)."""
     costs = ocean.withColumn("routing", F.when(F.col("dist_to_coast") > 0, cell_cost).otherwise(-1.0))
     best = relaxed_costs(costs, ports)
     return ocean.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.coalesce(F.col("best") / 1000, F.lit(-1.0)).alias("km"))
@@ -147,3 +218,20 @@ def port_distances(ocean: DataFrame, ports: DataFrame, cell_cost: float = 90.0)
 def routed_targets(nodes: DataFrame, substations: DataFrame) -> DataFrame:
     """(source, target, row, col): each network node's targets are the substations of its region."""
     return nodes.select(F.col("gid").alias("source"), "region").join(substations.select(F.col("gid").alias("target"), "row", "col", "region"), "region").select("source", "target", "row", "col")
+
+
+def in_raster(features: DataFrame, height: int, width: int, lines: bool = False) -> DataFrame:
+    """The features inside the raster; transmission lines outside of it are moved to its edge if ``lines``. features: (row, col, category, ...)."""
+    inside = F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
+    if not lines:
+        return features.filter(inside)
+    cut = lambda c, n: F.greatest(F.lit(0), F.least(F.col(c), F.lit(n - 1)))
+    line = F.col("category") == "TransLine"
+    return features.filter(inside | line).withColumns({"row": cut("row", height), "col": cut("col", width)})
+
+
+def all_pairs(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources and targets of the paths from each feature to all others of its set; features: (set, gid, row, col), sets of bounded size. A path is as good as its reverse, so each pair is routed once."""
+    sources = features.select(F.col("gid").alias("source"), "row", "col")
+    to = features.select("set", F.col("gid").alias("target"), "row", "col")
+    return sources, features.select("set", F.col("gid").alias("source")).join(to, "set").filter("source < target").drop("set")

@@ -23,41 +23,49 @@ def _cells(point: list[Column], size: float) -> list[Column]:
     return [F.floor(c / size).cast("long").alias(f"__c{i}") for i, c in enumerate(point)]
 
 
-def nearest(queries: DataFrame, targets: DataFrame, query_point: list[Column], target_point: list[Column], query_id: str, target_id: str, k: int = 1, cell: float | None = None, within: float | None = None) -> DataFrame:
-    """(query_id, target_id, distance, rank) of each query's k nearest targets, the smaller id first of equals; ``within`` limits the distance.
+def nearest(queries: DataFrame, targets: DataFrame, query_point: list[Column], target_point: list[Column], query_id: str, target_id: str, k: int = 1, cell: float | None = None, within: float | None = None, by: str | None = None) -> DataFrame:
+    """(query_id, target_id, distance, rank) of each query's k nearest targets, the smaller id first of equals; ``within`` limits the distance, ``by`` names a column that both must share.
 
     Coordinates that are null take no part. Exact: a query's neighbours count
     once no unseen target can be nearer.
     """
     dims = range(len(query_point))
-    q = queries.select(F.col(query_id), *[c.alias(f"__q{i}") for i, c in enumerate(query_point)]).dropna()
-    t = targets.select(F.col(target_id), *[c.alias(f"__t{i}") for i, c in enumerate(target_point)]).dropna()
+    of = [F.col(by).alias("__by")] if by else [F.lit(0).alias("__by")]
+    q = queries.select(F.col(query_id), *of, *[c.alias(f"__q{i}") for i, c in enumerate(query_point)]).dropna()
+    t = targets.select(F.col(target_id), *of, *[c.alias(f"__t{i}") for i, c in enumerate(target_point)]).dropna()
+    whole = t.groupBy("__by").agg(F.count("*").alias("__all"))
     ends = [x for i in dims for x in (F.min(f"__t{i}"), F.max(f"__t{i}"))]
     some = t.agg(F.count("*"), *ends).first()
     asked = q.agg(*[x for i in dims for x in (F.min(f"__q{i}"), F.max(f"__q{i}"))]).first()
-    keys = [f"__c{i}" for i in dims]
+    cells = [f"__c{i}" for i in dims]
+    keys = ["__by", *cells]
     columns = f"{query_id} {dict(queries.dtypes)[query_id]}, {target_id} {dict(targets.dtypes)[target_id]}, distance double, rank int"
     if not some[0] or asked[0] is None:
         return queries.sparkSession.createDataFrame([], columns)
     reach = max(max(some[2 + 2 * i], asked[1 + 2 * i]) - min(some[1 + 2 * i], asked[2 * i]) for i in dims) or 1.0
     spread = max(some[2 + 2 * i] - some[1 + 2 * i] for i in dims) or reach
-    size = within or cell or spread * (max(k, 2) / some[0]) ** (1 / len(query_point))
+    groups = whole.count() if by else 1
+    size = within or cell or spread * min(1.0, max(k, 2) * groups / some[0]) ** (1 / len(query_point))
+    if by:
+        q = q.join(whole, "__by")
+    else:
+        q = q.withColumn("__all", F.lit(some[0]))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", target_id))
     done, left = [], q
     while True:
         placed = t.select("*", *_cells([F.col(f"__t{i}") for i in dims], size))
         around = left.select("*", *_cells([F.col(f"__q{i}") for i in dims], size))
-        for c in keys:
+        for c in cells:
             around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
         met = around.join(placed, keys).withColumn("distance", distance([F.col(f"__q{i}") for i in dims], [F.col(f"__t{i}") for i in dims]))
         if within is not None:
             met = met.filter(F.col("distance") <= within)
-        best = checkpointed(met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_id, target_id, "distance", "rank"))
+        best = checkpointed(met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_id, target_id, "distance", "rank", "__all"))
         if within is not None or size > reach:
-            done.append(best)
+            done.append(best.drop("__all"))
             break
-        settled = best.filter((F.col("rank") == min(k, some[0])) & (F.col("distance") <= size)).select(query_id)
-        done.append(best.join(settled, query_id, "left_semi"))
+        settled = best.filter((F.col("rank") == F.least(F.lit(k), F.col("__all"))) & (F.col("distance") <= size)).select(query_id)
+        done.append(best.drop("__all").join(settled, query_id, "left_semi"))
         left = checkpointed(left.join(settled, query_id, "left_anti"))
         if left.isEmpty():
             break

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions import costs
-from siteweave.operators import clustering, routing, transmission
-from siteweave.plans.registry import CELLS, LINES, ORDERS, SITES, VECTORS, View, query
+from siteweave.operators import clustering, routing, spur_lines, transmission
+from siteweave.plans.registry import CELLS, LINES, NATIONS, ORDERS, PLANTS, SITES, VECTORS, View, query
 
 FEATURES = View("orders", {
     "gid": "o_orderkey", "region": "CAST(1 + o_orderkey % 4 AS INT)", "dist_km": "(o_orderkey * 37 % 3000) / 1e2",
@@ -119,15 +119,160 @@ def port_distance_min(cells):
     return routing.port_distances(ocean, ports).withColumn("km", F.round("km", 6))
 
 
-@query(None, cells=CELLS, sites=SITES)
+def _placed(df: DataFrame, gid: str, height: int, name: str = "source") -> DataFrame:
+    """Rows spread over the raster by their number."""
+    return df.withColumn("row", (F.col(gid) * 17 % height).cast("int")).withColumn("col", (F.col(gid) * 29 % 50).cast("int")).withColumnRenamed(gid, name)
+
+
+def _height(cells: DataFrame) -> int:
+    return (cells.agg(F.max("row")).first()[0] or 0) + 1
+
+
+def _varied(cells: DataFrame) -> DataFrame:
+    """A surface on which hardly two ways cost the same."""
+    return cells.select("row", "col", "land", F.when(F.col("size") > 3, F.col("slope") + 1 + F.col("price") / 7919).otherwise(-1.0).alias("cost")).withColumn("routing", F.col("cost"))
+
+
+def _targets(placed: DataFrame, height: int) -> DataFrame:
+    each = placed.withColumn("target", F.explode(F.array(F.lit(5), F.lit(11))))
+    return each.select("source", "target", F.least(F.col("row") + F.col("target"), F.lit(height - 1)).alias("row"), F.least(F.col("col") + 6, F.lit(49)).alias("col"))
+
+
+#: From tables s (source, row, col) and w (source, row, col, radius): the least costs inside each source's window, with the length and charge of the way.
+WAYS = """
+c AS (SELECT row, col, land, CASE WHEN size > 3 THEN slope + 1 + price / 7919e0 ELSE -1 END AS cost FROM {{cells}}), h AS (SELECT max(row) + 1 AS n FROM c),
+{places},
+g AS (SELECT w.source, c.row, c.col, c.row * 50 + c.col AS id, {routing} AS cost, {charge} AS charge FROM c JOIN w ON abs(c.row - w.row) <= radius AND abs(c.col - w.col) <= radius WHERE cost > 0),
+e AS (
+    SELECT a.source, a.id AS a, b.id AS b, l, (a.cost + b.cost) / 2 * l AS w, (a.charge + b.charge) / 2 * l AS f
+    FROM (SELECT a.*, r, k, sqrt(r * r + k * k) AS l FROM g a, (SELECT unnest([-1, 0, 1]) AS r), (SELECT unnest([-1, 0, 1]) AS k) WHERE r <> 0 OR k <> 0) a JOIN g b ON a.source = b.source AND b.row = a.row + r AND b.col = a.col + k
+),
+d(source, id, best, len, charged) USING KEY (source, id) AS (
+    SELECT g.source, id, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM g JOIN s ON g.source = s.source AND g.row = s.row AND g.col = s.col
+    UNION
+    SELECT e.source, e.b, min(d.best + e.w), arg_min(d.len + e.l, d.best + e.w), arg_min(d.charged + e.f, d.best + e.w) FROM d JOIN e ON d.source = e.source AND d.id = e.a LEFT JOIN recurring.d AS r ON r.source = e.source AND r.id = e.b
+    WHERE r.best IS NULL OR d.best + e.w < r.best - 1e-12 GROUP BY e.source, e.b
+)"""
+SITE_PLACES = """s AS (SELECT gid AS source, gid * 17 % n AS row, gid * 29 % 50 AS col FROM {sites}, h),
+t AS (SELECT source, CAST(k AS INTEGER) AS target, least(row + k, n - 1) AS row, least(col + 6, 49) AS col FROM s, h, (SELECT unnest([5, 11]) AS k)),
+w AS (SELECT s.source, s.row, s.col, ceil(max(greatest(abs(t.row - s.row), abs(t.col - s.col))) * 1.3e0) AS radius FROM s JOIN t ON s.source = t.source GROUP BY s.source, s.row, s.col)"""
+
+
+@query("WITH RECURSIVE " + WAYS.format(places=SITE_PLACES, routing="cost", charge="cost").replace("{{", "{").replace("}}", "}") + """
+SELECT t.source, t.target, round(len * 0.09e0, 6) AS dist_km, round(best, 6) AS cost, round(best, 6) AS cost_cost, round(len * 0.09e0, 6) AS cost_km FROM t JOIN d ON d.source = t.source AND d.id = t.row * 50 + t.col
+""", cells=CELLS, sites=SITES)
 def least_cost_path_totals(cells, sites):
-    """Each site's paths to two neighbours on the raster, with length and cost."""
-    placed = sites.select(F.col("gid").alias("source"), (F.col("gid") * 17 % 40).cast("int").alias("row"), (F.col("gid") * 29 % 50).cast("int").alias("col"))
-    step = F.explode(F.array(F.lit(3), F.lit(5)))
-    targets = placed.withColumn("d", step).select("source", F.col("d").alias("target"), F.least(F.col("row") + F.col("d"), F.lit(39)).alias("row"), F.least(F.col("col") + 2, F.lit(49)).alias("col"))
-    surface = _surface(cells)
-    paths = routing.least_cost_paths(surface, placed, targets, buffer=2.0)
-    return routing.path_totals(paths, surface, ["routing"])
+    """Each site's paths to two places on the raster, with length and cost."""
+    height, surface = _height(cells), _varied(cells)
+    placed = _placed(sites.select("gid"), "gid", height)
+    paths = routing.least_cost_paths(surface, placed, _targets(placed, height), buffer=1.3)
+    out = routing.path_totals(paths, surface, ["cost"])
+    return out.select("source", "target", *[F.round(c, 6).alias(c) for c in ("dist_km", "cost", "cost_cost", "cost_km")])
+
+
+POINTS = """s AS (SELECT gid AS source, gid * 17 % n AS row, gid * 29 % 50 AS col FROM {sites}, h), w AS (SELECT *, 5 AS radius FROM s),
+q AS (
+    SELECT plant AS gid, plant * 17 % n AS row, plant * 29 % 50 AS col, CAST(1 + plant % 4 AS INTEGER) AS region,
+           CASE plant % 4 WHEN 0 THEN 'TransLine' WHEN 1 THEN 'Substation' WHEN 2 THEN 'LoadCen' ELSE 'PCALoadCen' END AS category,
+           CASE plant % 3 WHEN 0 THEN 69 WHEN 1 THEN 138 ELSE 345 END AS min_volts, CASE plant % 5 WHEN 0 THEN 69 WHEN 1 THEN 230 ELSE 500 END AS max_volts FROM {plants}, h
+),
+features AS (
+    SELECT s.source, q.gid, q.region, q.category, q.min_volts, q.max_volts, q.row * 50 + q.col AS id FROM s JOIN q ON pow(q.row - s.row, 2) + pow(q.col - s.col, 2) <= 16
+)"""
+
+
+def _features(plants: DataFrame, height: int) -> DataFrame:
+    number = F.col("plant")
+    kinds = plants.select(
+        "plant", (1 + number % 4).cast("int").alias("region"), F.get(F.array(*[F.lit(x) for x in ("TransLine", "Substation", "LoadCen", "PCALoadCen")]), (number % 4).cast("int")).alias("category"),
+        F.get(F.array(F.lit(69), F.lit(138), F.lit(345)), (number % 3).cast("int")).alias("min_volts"), F.get(F.array(F.lit(69), F.lit(230), F.lit(500), F.lit(500), F.lit(500)), (number % 5).cast("int")).alias("max_volts"),
+    )
+    return _placed(kinds, "plant", height, "gid")
+
+
+@query("WITH RECURSIVE " + WAYS.format(places=POINTS, routing="cost", charge="cost").replace("{{", "{").replace("}}", "}") + "," + CONNECTED.replace("{features}", "ways").replace("c AS (\n    SELECT f.*", "cc AS (\n    SELECT f.*").replace("FROM c)", "FROM cc)").replace("\nx AS", "\nways AS (SELECT f.*, coalesce(len * 9e-1, 0) AS dist_km, best AS raw_line_cost FROM features f LEFT JOIN d ON d.source = f.source AND d.id = f.id),\nx AS") + f""", r AS (
+    SELECT *, CASE WHEN dist_km < 5.76e0 THEN raw_line_cost * CASE WHEN dist_km > 1e-9 THEN 5.76e0 / dist_km ELSE 1 END ELSE raw_line_cost END AS raw, greatest(dist_km, 5.76e0) AS km FROM k
+), u AS (SELECT *, CASE WHEN category = 'TransLine' AND (raw IS NULL OR max_volts < 230) THEN 1e12 ELSE raw * {LINEAR.format(d='km')} END AS tie FROM r)
+SELECT source, gid, round(km, 6) AS dist_km, round(tie, 3) AS tie_line_cost, round(tie + connection, 2) AS trans_cap_cost FROM u WHERE tie IS NOT NULL
+""", cells=CELLS, sites=SITES, plants=PLANTS)
+def supply_point_costs(cells, sites, plants):
+    """Every site's ways to all features within four cells, with tie-line, connection and total costs."""
+    height, surface = _height(cells), _varied(cells)
+    points = _placed(sites.select("gid"), "gid", height)
+    out = spur_lines.supply_point_costs(surface, points, _features(plants, height), "400MW", radius=4, buffer=1.25, cell_km=0.9)
+    return out.select("source", "gid", F.round("dist_km", 6).alias("dist_km"), F.round("tie_line_cost", 3).alias("tie_line_cost"), F.round("trans_cap_cost", 2).alias("trans_cap_cost"))
+
+
+@query(None, cells=CELLS, sites=SITES, plants=PLANTS)
+def nearest_sink_costs(cells, sites, plants):
+    """Every site's ways to the features within the reach of its two nearest sinks."""
+    height, surface = _height(cells), _varied(cells)
+    out = spur_lines.supply_point_costs(surface, _placed(sites.select("gid"), "gid", height), _features(plants, height), "400MW", cell_km=0.9)
+    return out.select("source", "gid", "dist_km", "tie_line_cost", "trans_cap_cost")
+
+
+NODES = """s AS (SELECT gid AS source, gid * 17 % n AS row, gid * 29 % 50 AS col FROM {nations}, h),
+t AS (SELECT nation AS source, gid AS target, gid * 13 % n AS row, gid * 31 % 50 AS col FROM {sites}, h),
+w AS (SELECT s.source, s.row, s.col, ceil(max(greatest(abs(t.row - s.row), abs(t.col - s.col))) * 1.05e0) AS radius FROM s JOIN t ON s.source = t.source GROUP BY s.source, s.row, s.col)"""
+
+
+@query("WITH RECURSIVE " + WAYS.format(places=NODES, routing="CASE WHEN land > 7 THEN cost * 1e-9 ELSE cost END", charge="CASE WHEN land > 7 THEN cost / 400 ELSE cost / 1500 END * 0.5e0").replace("{{", "{").replace("}}", "}") + """
+SELECT t.source AS gid, t.target AS poi, round(len * 0.09e0, 6) AS dist_km, round(charged, 9) AS reinforcement_cost FROM t JOIN d ON d.source = t.source AND d.id = t.row * 50 + t.col
+QUALIFY row_number() OVER (PARTITION BY t.source ORDER BY charged, t.target) = 1
+""", cells=CELLS, nations=NATIONS, sites=SITES)
+def reinforcement_paths(cells, nations, sites):
+    """The cheapest way from each nation's node to a site of the nation."""
+    height = _height(cells)
+    surface = _varied(cells).withColumn("line_capacity", F.when(F.col("land") > 7, 400.0)).filter("cost > 0")
+    nodes = _placed(nations.select("gid", F.col("gid").alias("region")).withColumnRenamed("gid", "g"), "g", height, "gid")
+    substations = sites.select("gid", (F.col("gid") * 13 % height).cast("int").alias("row"), (F.col("gid") * 31 % 50).cast("int").alias("col"), F.col("nation").alias("region"))
+    out = spur_lines.reinforcement(surface, nodes, substations, 1500.0)
+    return out.select("gid", "poi", F.round("dist_km", 6).alias("dist_km"), F.round("reinforcement_cost", 9).alias("reinforcement_cost"))
+
+
+@query("SELECT s.gid, CAST(greatest(0, least(s.gid * 7 - 50, 399)) AS INTEGER) AS row, CAST(s.gid % 50 AS INTEGER) AS col FROM {sites} s WHERE s.gid % 2 = 0 OR s.gid * 7 - 50 BETWEEN 0 AND 399", sites=SITES)
+def features_in_raster(sites):
+    placed = sites.select("gid", (F.col("gid") * 7 - 50).cast("int").alias("row"), (F.col("gid") % 50).cast("int").alias("col"), F.when(F.col("gid") % 2 == 0, "TransLine").otherwise("Substation").alias("category"))
+    return routing.in_raster(placed, 400, 50, lines=True).select("gid", "row", "col")
+
+
+@query("SELECT a.gid AS source, b.gid AS target FROM {sites} a JOIN {sites} b ON a.nation = b.nation AND a.gid < b.gid", sites=SITES)
+def all_pairs_of_set(sites):
+    placed = sites.select(F.col("nation").alias("set"), "gid", F.col("gid").cast("int").alias("row"), F.col("gid").cast("int").alias("col"))
+    return routing.all_pairs(placed)[1].select("source", "target")
+
+
+@query("SELECT gid, CAST(gid * 17 % 20 AS INTEGER) AS row, CAST(gid * 29 % 50 AS INTEGER) AS col, c.price AS start_cost FROM {sites} s LEFT JOIN {cells} c ON s.gid * 17 % 20 = c.row AND s.gid * 29 % 50 = c.col", sites=SITES, cells=CELLS)
+def starting_costs(sites, cells):
+    out = spur_lines.starting_costs(_placed(sites.select("gid"), "gid", 20), cells, "price")
+    return out.select(F.col("source").alias("gid"), "row", "col", "start_cost")
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT CAST(row * 50 + col AS BIGINT) AS gid, row, col, region AS cluster FROM {cells}),
+e AS (SELECT a.gid AS a, b.gid AS b FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.gid <> b.gid AND a.cluster = b.cluster),
+l(id, label) USING KEY (id) AS (
+    SELECT gid, gid FROM m
+    UNION
+    SELECT e.a, min(l.label) FROM l JOIN e ON l.id = e.b JOIN recurring.l AS r ON r.id = e.a WHERE l.label < r.label GROUP BY e.a
+), p AS (SELECT gid, row, col, cluster, label FROM m JOIN l ON m.gid = l.id),
+k AS (SELECT cluster, label FROM p GROUP BY cluster, label QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) = 1),
+stay AS (SELECT p.* FROM p JOIN k ON p.cluster = k.cluster AND p.label = k.label),
+moved AS (
+    SELECT p.gid, s.cluster FROM p JOIN stay s ON abs(p.row - s.row) <= 50 WHERE p.gid NOT IN (SELECT gid FROM stay)
+    QUALIFY row_number() OVER (PARTITION BY p.gid ORDER BY sqrt(pow(p.row - s.row, 2) + pow(p.col - s.col, 2)), s.gid) = 1
+)
+SELECT gid, cluster FROM stay UNION ALL SELECT gid, cluster FROM moved
+""", cells=View("part", {"row": "CAST(floor(p_partkey / 5e1) AS INT)", "col": "CAST(p_partkey % 50 AS INT)", "region": "CAST(p_size % 3 AS INT)"}))
+def contiguous_clusters(cells):
+    sites = cells.select((F.col("row") * 50 + F.col("col")).cast("long").alias("gid"), "row", "col", F.col("region").alias("cluster"))
+    return clustering.contiguous_clusters(sites, drop_islands=False)
+
+
+@query(None, vectors=VECTORS, sites=View("embeddings", {"gid": "vec_id", "lat": "(vec_id * 37 % 100) / 1e1", "lon": "(vec_id * 91 % 70) / 1e1", "row": "CAST(floor(vec_id / 2e1) AS INT)", "col": "CAST(vec_id % 20 AS INT)", "region": "CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END"}))
+def clustering_pipeline(vectors, sites):
+    """Both regions clustered, settled, made contiguous and ranked."""
+    return clustering.clustered_regions(sites, vectors, {"even": 3, "odd": 4})
 
 
 RANKED = """

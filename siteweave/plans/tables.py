@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteweave.functions import costs
 from siteweave.functions.text import class_of, json_array, json_map, normalised, zone_of
-from siteweave.operators import allocation, cleaning, transmission
+from siteweave.operators import allocation, cleaning, spatial_joins, transmission
 from siteweave.plans.registry import LINES, NATIONS, ORDERS, PLANTS, REGIONS, SITES, View, query
 from siteweave.sources import tables as sources
 
@@ -157,31 +157,39 @@ def merge_small_nodes(plants):
     return out.select("node", F.round("capacity", 4).alias("capacity"), F.size("members").cast("long").alias("n"))
 
 
-def _candidates(plants, sites):
-    pairs = plants.join(sites.select("gid", "nation", "lat", "lon", F.col("capacity").alias("site_capacity")).withColumnsRenamed({"lat": "slat", "lon": "slon"}), "nation")
-    return pairs.withColumn("distance", F.round(F.sqrt(F.pow(F.col("lat") - F.col("slat"), 2) + F.pow(F.col("lon") - F.col("slon"), 2)), 6))
-
-
 @query(None, plants=PLANTS, sites=SITES)
 def sequential_builder(plants, sites):
-    wanted = plants.select(F.col("nation").alias("market"), "plant", F.col("plant").alias("place"), (F.col("capacity") / 50).alias("wanted"))
-    near = _candidates(plants, sites).select(F.col("nation").alias("market"), "plant", "gid", "distance", F.col("site_capacity").alias("capacity"))
+    """In each nation plants in order of their number fill their nearest sites."""
+    wanted = plants.select(F.col("nation").alias("market"), "plant", F.col("plant").alias("place"), "lat", "lon", (F.col("capacity") / 50).alias("wanted"))
+    near = sites.select(F.col("nation").alias("market"), "gid", "lat", "lon", "capacity")
     return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 6))
 
 
+def _nearest_of_nation(plants, sites, k):
+    here = [F.col("lat"), F.col("lon")]
+    near = spatial_joins.nearest(plants, sites, here, here, "plant", "gid", k, by="nation")
+    return near.select("plant", "gid", F.round("distance", 6).alias("distance"), F.lit(0.0).alias("bus_distance"))
+
+
 @query("""
 WITH a AS (
     SELECT p.plant, s.gid, p.capacity / 50 AS wanted, s.capacity AS free, round(sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), 6) AS distance
-    FROM {plants} p JOIN {sites} s USING (nation) QUALIFY row_number() OVER (PARTITION BY p.plant ORDER BY distance, s.gid) = 1
+    FROM {plants} p JOIN {sites} s USING (nation) QUALIFY row_number() OVER (PARTITION BY p.plant ORDER BY sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), s.gid) = 1
 ), b AS (SELECT *, coalesce(sum(wanted) OVER (PARTITION BY gid ORDER BY distance, plant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM a)
 SELECT plant, gid, round(least(wanted, greatest(0, free - prev)), 4) AS built FROM b WHERE least(wanted, greatest(0, free - prev)) > 0
 """, plants=PLANTS, sites=SITES)
 def contention_round(plants, sites):
-    near = cleaning.keep_first(_candidates(plants, sites), ["plant"], [F.col("distance"), F.col("gid")])
-    asked = near.select("plant", "gid", "distance", F.lit(0.0).alias("bus_distance"), (F.col("capacity") / 50).alias("wanted"))
+    asked = _nearest_of_nation(plants, sites, 1).join(plants.select("plant", (F.col("capacity") / 50).alias("wanted")), "plant")
     return allocation.contention_round(asked, sites.select("gid", "capacity")).withColumn("built", F.round("built", 4))
 
 
+@query(None, plants=PLANTS, sites=SITES)
+def greedy_round_allocation(plants, sites):
+    """Each plant asks its four nearest sites of its nation in turn until all that it wants is built."""
+    builds, _ = allocation.greedy_rounds(plants.select("plant", (F.col("capacity") / 50).alias("capacity")), sites.select("gid", "capacity"), _nearest_of_nation(plants, sites, 4))
+    return builds.withColumn("built", F.round("built", 6))
+
+
 @query("""
 WITH t AS (SELECT gid, okey, line, res_gid, actual, coalesce(sum(actual) OVER (PARTITION BY gid ORDER BY actual DESC, okey, line, res_gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM {lines}),
 u AS (SELECT *, least(actual, greatest(0, 777.5e0 - prev)) AS used FROM t)

@@ -27,6 +27,16 @@ def rename_absent(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select(*picked)
 
 
+def rename_prefixes(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Renames the one column that starts with each prefix; it is an error if several do."""
+    for prefix, new in names.items():
+        found = [c for c in df.columns if c.lower().startswith(prefix)]
+        if len(found) > 1:
+            raise ValueError(f"several columns start with {prefix}: {', '.join(found)}")
+        df = df.withColumnsRenamed({c: new for c in found})
+    return df
+
+
 def select_present(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The columns that exist, in the order asked for."""
     return df.select(*[c for c in columns if c in df.columns])

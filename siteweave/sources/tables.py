@@ -113,6 +113,17 @@ def read_layers(spark: SparkSession, path: str, layers: list[str]) -> DataFrame:
     return out
 
 
+def layers_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of a stack's layers, from its folders alone."""
+    return sorted(r["layer"] for r in spark.read.parquet(path).select("layer").distinct().collect())
+
+
+def files_of_year(spark: SparkSession, folder: str, year: int) -> DataFrame:
+    """(path, modificationTime, length) of the files under a folder whose path holds the year; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.filter(F.col("path").contains(str(year))).select("path", "modificationTime", "length")
+
+
 def same_profile(a: dict, b: dict, tolerance: float = 0.01, ignore: tuple[str, ...] = ("no_defs",)) -> list[str]:
     """What differs between two raster profiles: shape, coordinate system or transform."""
     said = [k for k in ("height", "width", "count") if a.get(k) != b.get(k)]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siteweave.functions import costs
 from siteweave.functions.spatial import project_on_segment
-from siteweave.operators import allocation, cleaning, clustering, raster, routing, spatial_joins, timeseries, transmission
-from siteweave.schema import coordinate_columns, rename_absent, require, select_present
+from siteweave.operators import allocation, cleaning, clustering, exclusion_rules, nodes, offshore, raster, routing, spatial_joins, spur_lines, timeseries, transmission
+from siteweave.schema import coordinate_columns, rename_absent, rename_prefixes, require, select_present
 from siteweave.sources import tables
 from siteweave.streaming import streams
 
@@ -98,11 +98,171 @@ def test_greedy_rounds(spark):
     assert rows(short) == [(2, 1.0)]
 
 
-def test_sequential_builds(spark):
-    plants = spark.createDataFrame([("m", 1, 0, 5.0), ("m", 2, 1, 5.0)], "market string, plant long, place int, wanted double")
-    near = spark.createDataFrame([("m", p, g, float(g), 6.0) for p in (1, 2) for g in (1, 2)], "market string, plant long, gid long, distance double, capacity double")
-    assert rows(allocation.sequential_builds(plants, near), "plant", "gid", "built") == [(1, 1, 5.0), (2, 1, 1.0), (2, 2, 4.0)]
-    assert rows(allocation.sequential_builds(plants, near, share=False), "plant", "gid", "built") == [(1, 1, 5.0), (2, 2, 5.0)]
+@pytest.mark.parametrize("share", [True, False])
+def test_sequential_builds(spark, share):
+    """In order of place, each plant fills its nearest sites with what those before it left; against brute force."""
+    rng = random.Random(5)
+    plants = [(rng.choice("mn"), p, 100 - p, rng.uniform(0, 5), rng.uniform(0, 5), rng.choice([1.0, 4.0, 9.0])) for p in range(40)]
+    sites = [(rng.choice("mn"), g, float(rng.randrange(5)), float(rng.randrange(5)), rng.choice([2.0, 6.0])) for g in range(30)]
+    free, want = {s[1]: s[4] for s in sites}, {}
+    for m, p, _, y, x, wanted in sorted(plants, key=lambda r: r[2]):
+        for _, g, v, u, c in sorted((s for s in sites if s[0] == m), key=lambda s: (math.sqrt((y - s[2]) ** 2 + (x - s[3]) ** 2), -s[4], s[1])):
+            built = min(wanted, free[g])
+            if built > 1e-12:
+                want[p, g] = built
+                free[g] = free[g] - built if share else 0.0
+                wanted -= built
+    of = spark.createDataFrame(plants, "market string, plant long, place int, lat double, lon double, wanted double")
+    out = allocation.sequential_builds(of, spark.createDataFrame(sites, "market string, gid long, lat double, lon double, capacity double"), share=share, k=2)
+    assert {(r["plant"], r["gid"]): round(r["built"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_greedy_round_query_against_brute_force(spark):
+    from siteweave.plans.registry import PLANTS, QUERIES, SITES
+
+    where = "/root/testdata/sf0.001"
+    plants, sites = PLANTS.df(spark, where).collect(), SITES.df(spark, where).collect()
+    turns = {}
+    for p in plants:
+        near = sorted((math.sqrt((p["lat"] - s["lat"]) ** 2 + (p["lon"] - s["lon"]) ** 2), s["gid"]) for s in sites if s["nation"] == p["nation"])[:4]
+        turns[p["plant"]] = sorted((round(d, 6), g) for d, g in near)
+    wanted, free, want = {p["plant"]: p["capacity"] / 50 for p in plants}, {s["gid"]: s["capacity"] for s in sites}, {}
+    for turn in range(4):
+        asking = {}
+        for p, near in turns.items():
+            if turn < len(near) and wanted[p] > 1e-9:
+                asking.setdefault(near[turn][1], []).append((near[turn][0], p))
+        for g, who in asking.items():
+            for _, p in sorted(who):
+                built = min(wanted[p], free[g])
+                if built > 0:
+                    want[p, g] = round(built, 6)
+                    free[g] -= built
+                    wanted[p] -= built
+    got = {(r["plant"], r["gid"]): r["built"] for r in QUERIES["greedy_round_allocation"](spark, where).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got) and got
+
+
+def test_tiles_of_any_size_give_the_same_costs(spark):
+    """Borders travel between tiles until no cell improves; against one window that holds all."""
+    rng = np.random.default_rng(4)
+    cost = np.where(rng.random((23, 31)) < 0.25, -1.0, rng.integers(1, 9, (23, 31)).astype(float))
+    cost[3, 4] = 2.0
+    cells = spark.createDataFrame([(r, c, float(cost[r, c])) for r in range(23) for c in range(31)], "row int, col int, routing double")
+    want = routing.least_costs(cost, (3, 4))
+    # Edge by edge: no neighbour offers less than a cell has.
+    for r in range(23):
+        for c in range(31):
+            if cost[r, c] > 0 and (r, c) != (3, 4):
+                offers = [want[r + y, c + x] + (cost[r, c] + cost[r + y, c + x]) / 2 * n for y, x, n in routing.STEPS if 0 <= r + y < 23 and 0 <= c + x < 31 and cost[r + y, c + x] > 0]
+                assert want[r, c] == pytest.approx(min(offers, default=np.inf))
+    for tile in (5, 64):
+        got = {(r["row"], r["col"]): r["best"] for r in routing.relaxed_costs(cells, spark.createDataFrame([(3, 4)], "row int, col int"), tile=tile).collect()}
+        assert len(got) == (cost > 0).sum() and all(want[k] == pytest.approx(v) if v is not None else np.isinf(want[k]) for k, v in got.items())
+
+
+def test_a_line_is_reached_at_its_cheapest_cell(spark):
+    cells = spark.createDataFrame([(0, c, 1.0 + c) for c in range(6)], "row int, col int, routing double")
+    source = spark.createDataFrame([("s", 0, 2)], "source string, row int, col int")
+    line = spark.createDataFrame([("s", "line", 0, 0), ("s", "line", 0, 4), ("s", "line", 0, 5)], "source string, target string, row int, col int")
+    assert rows(routing.least_cost_paths(cells, source, line, 2.0), "step", "row", "col") == [(0, 0, 2), (1, 0, 1), (2, 0, 0)]
+
+
+def test_features_within_growing_circles(spark):
+    windows = spark.createDataFrame([(1, 0, 0, 1), (2, 50, 50, 3)], "source int, row int, col int, radius int")
+    features = spark.createDataFrame([(7, 0, 1), (8, 50, 40), (9, 0, 30)], "gid int, row int, col int")
+    wide, met = spur_lines.features_within(windows, features)
+    assert rows(met, "source", "gid") == [(1, 7), (2, 8)] and wide.filter("source = 2").first()["radius"] >= 10
+
+
+def test_regional_costs_stay_in_the_zone(spark):
+    cells = spark.createDataFrame([(r, c, 1.0, 1.0) for r in range(6) for c in range(6)], "row int, col int, routing double, cost double")
+    points = spark.createDataFrame([(1, 0, 0, "a"), (2, 5, 5, "b")], "source int, row int, col int, zone string")
+    features = spark.createDataFrame([(7, 0, 3, "a", "Substation", 2, 500, 500), (8, 5, 1, "b", "Substation", 2, 500, 500), (9, 1, 1, "a", None, 2, 69, 69)], "gid int, row int, col int, zone string, category string, region int, min_volts int, max_volts int")
+    out = spur_lines.regional_costs(cells, points, features, "400MW", cell_km=10.0)
+    assert rows(out, "source", "gid", "dist_km", "xformer_cost") == [(1, 7, 30.0, 0.0), (2, 8, 40.0, 0.0)]
+    assert all(r["trans_cap_cost"] == pytest.approx(r["tie_line_cost"] + 3975000) for r in out.collect())
+
+
+def test_substations_and_totals(spark):
+    substations = spark.createDataFrame([(1, 1.0, 1.0, [5, 6]), (2, 9.0, 9.0, [5])], "gid int, lat double, lon double, trans_gids array<int>")
+    lines = spark.createDataFrame([(5, 50), (6, 230)], "gid int, voltage int")
+    regions = spark.createDataFrame([("r", 0.0, 0.0, 2.0, 2.0)], "region string, minx double, miny double, maxx double, maxy double")
+    assert rows(spur_lines.substations_in_regions(substations, lines, regions), "gid", "region", "max_volts") == [(1, "r", 230)]
+    totals = spark.createDataFrame([(1, 3.0, 1.0, 2.0), (2, 3.0, 1.0, 1.0)], "source int, cost double, a_cost double, b_cost double")
+    assert rows(spur_lines.disagreeing_totals(totals, ["a", "b"]), "source") == [(2,)]
+
+
+def test_clustering_pipeline_gives_touching_ranked_clusters(spark):
+    from siteweave.plans.registry import QUERIES
+
+    out = QUERIES["clustering_pipeline"](spark, "/root/testdata/sf0.001").collect()
+    gids = [r["gid"] for r in out]
+    assert len(gids) == len(set(gids)) and {r["cluster"].split("-")[0] for r in out} == {"even", "odd"}
+    for c in {r["cluster"] for r in out}:
+        mine = sorted((r["rank"], r["rmse"]) for r in out if r["cluster"] == c)
+        assert [k for k, _ in mine] == list(range(len(mine))) and all(a[1] <= b[1] + 1e-9 for a, b in zip(mine, mine[1:]))
+
+
+def test_settled_assignment_ends(spark):
+    sites = spark.createDataFrame([(i, float(i % 7), float(i // 7)) for i in range(30)], "gid long, lat double, lon double")
+    coefficients = spark.createDataFrame([(i, k, float((i * (k + 3)) % 5)) for i in range(30) for k in range(4)], "gid long, idx int, value double")
+    out = clustering.settled_assignment(sites, coefficients, spark.createDataFrame([(i, i % 3) for i in range(30)], "gid long, cluster int"))
+    again = clustering.reassigned(sites, coefficients, out)
+    assert out.count() == 30 and again.count() == 30
+
+
+def test_nodes_and_offshore_helpers(spark):
+    with pytest.raises(ValueError, match="lost"):
+        nodes.reassigned_capacity(spark.createDataFrame([(1, 1.0, 1.0, 5.0)], "sc_gid int, lat double, lon double, capacity double"), spark.createDataFrame([(1,)], "sc_gid int"))
+    with pytest.raises(ValueError, match="repeats"):
+        nodes.one_to_one(spark.createDataFrame([(1,), (1,)], "k int"), spark.createDataFrame([(1,)], "k int"), "k")
+    with pytest.raises(ValueError, match="a_1"):
+        offshore.port_names(spark.createDataFrame([("a", 1), ("a", 1)], "n string, s int"), ["n", "s"])
+    df = spark.createDataFrame([(-5.0, 1500.0, 0.0), (3.0, 10.0, 1.5), (2.0, 0.0, 0.5)], "d double, m double, t double")
+    assert rows(offshore.clamped(df, "d", ("m",), "t")) == [(2.0, 0.0, 0.5), (3.0, 0.01, 0.99), (5.0, 1.5, 0.01)]
+    places = spark.createDataFrame([(1, 0.0, 0.0)], "gid int, lat double, lon double")
+    points = spark.createDataFrame([(4, 1.0, 0.0, 0.9), (5, 3.0, 0.0, 0.8)], "point int, lat double, lon double, aeff double")
+    assert rows(offshore.array_efficiency(places, points)) == [(1, 0.9)]
+
+
+def test_rules_as_data(spark):
+    assert exclusion_rules.validated_multipliers(["a", "b"], {"a": "high", "b": 2.0}) == {"a": 3.0, "b": 2.0}
+    assert exclusion_rules.validated_multipliers(["a"], "moderate") == {"a": 1.1}
+    with pytest.raises(ValueError, match="without"):
+        exclusion_rules.validated_multipliers(["a"], {"b": 1.0})
+    box = spark.createDataFrame([(0, 0, 4, 4)], "r1 int, c1 int, r2 int, c2 int")
+    assert exclusion_rules.inner_ring(box, 1).count() == 16 and exclusion_rules.inner_ring(box, 9).count() == 25 and exclusion_rules.grown(box, 1).count() == 49
+    mask = spark.createDataFrame([(0,), (1,)], "v int")
+    assert exclusion_rules.checked_mask(mask, "v").count() == 2
+    with pytest.raises(ValueError, match="not a mask"):
+        exclusion_rules.checked_mask(mask.filter("v = 1"), "v")
+    kinds = spark.createDataFrame([("Shadow-Flicker", 1), ("Roads", 2)], "k string, i int")
+    assert rows(kinds.filter(exclusion_rules.flicker_mask(F.col("k"))), "i") == [(1,)]
+
+
+def test_writers_and_discovery(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 2.0)], "gid int, scenario string, value double").withColumn("ts", F.lit("2012-01-01").cast("timestamp"))
+    tables.write_profiles(df, str(tmp_path / "p"), ["scenario"])
+    assert rows(spark.read.parquet(str(tmp_path / "p")), "gid", "scenario") == [(1, "a")]
+    tables.write_statistics(df.drop("ts"), str(tmp_path / "year_2012.csv"))
+    assert [r[0] for r in tables.files_of_year(spark, str(tmp_path), 2012).select("path").collect()] != []
+    with pytest.raises(ValueError):
+        tables.write_statistics(df, str(tmp_path / "x"), "xls")
+    tables.write_layer(tables.dense_grid(spark, 2, 2).withColumn("v", F.lit(1)), "v", str(tmp_path / "stack"))
+    assert tables.layers_of(spark, str(tmp_path / "stack")) == ["v"]
+    stream = streams.profile_stream(spark, str(tmp_path / "p" / "scenario=a"), "gid int, value double, ts timestamp")
+    streams.write_parquet(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert rename_prefixes(spark.createDataFrame([(1, 2, 3)], "capacity int, mean_cf int, gid int"), {"cap": "pv_cap", "mean": "pv_res_gid"}).columns == ["pv_cap", "pv_res_gid", "gid"]
+
+
+def test_remaining_capacity_of_streams(spark, tmp_path):
+    spark.createDataFrame([(1, 4.0), (1, 4.0), (2, 1.0), (3, 1.0)], "gid long, wanted double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    requests = spark.readStream.schema("gid long, wanted double").parquet(str(tmp_path / "in"))
+    query = allocation.stateful_remaining(requests, {1: 6.0, 2: 5.0}).writeStream.outputMode("append").format("memory").queryName("built").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert rows(spark.table("built").groupBy("gid").agg(F.sum("built"))) == [(1, 6.0), (2, 1.0), (3, 0.0)]
 
 
 def test_drawn_counts_are_rounded_up(spark):
