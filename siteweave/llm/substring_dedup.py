@@ -133,6 +133,15 @@ def _by_group(values: np.ndarray, groups: int) -> np.ndarray:
     return np.append(np.searchsorted(values, np.array(edges, np.uint64)), len(values))
 
 
+def _ascending(values: np.ndarray) -> bytes:
+    """Ascending whole numbers as differences, lowest bytes of all first, so that what is zero lies together and compresses."""
+    return np.diff(values.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _ascended(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
 def _table(rows: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(v, types[k]) for k, v in rows.items()})
 
@@ -204,20 +213,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, re
                 rows["grp"].append(g)
                 rows["chunk"].append(table["chunk"][0].as_py())
                 rows["symbols"].append(symbols[part].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WIDTH].tobytes())
-                rows["at"].append(chunk.at[some[part]].astype("<u4").tobytes())
-                rows["doc_ids"].append(chunk.doc_ids[row].tobytes())
+                rows["at"].append(_ascending(chunk.at[some[part]]))
+                rows["doc_ids"].append(_ascending(chunk.doc_ids[row]))
                 # Texts tell documents apart only where ids don't.
                 rows["keys"].append(chunk.keys[row].tobytes() if table["doc_id"].null_count else b"")
         return _table(rows, {"grp": pa.int64(), "chunk": pa.int64(), **{k: pa.binary() for k in ("symbols", "at", "doc_ids", "keys")}})
 
     def trees(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
-        joined = lambda name, kind: np.concatenate([np.frombuffer(x[name], kind) for x in sent])
-        at, doc = joined("at", "<u4"), joined("doc_ids", np.int64)
-        own = [len(x["at"]) // 4 for x in sent]
+        at, doc = (np.concatenate([_ascended(x[name]) for x in sent]) for name in ("at", "doc_ids"))
+        own = [len(x["at"]) // 8 for x in sent]
         key = np.concatenate([np.frombuffer(x["keys"], np.int64) if x["keys"] else np.zeros(n, np.int64) for x, n in zip(sent, own)])
         wide = np.zeros((len(at) * (reach // STEP), 4), np.uint8)
-        wide[:, :WIDTH] = joined("symbols", np.uint8).reshape(-1, WIDTH)
+        wide[:, :WIDTH] = np.frombuffer(b"".join(x["symbols"] for x in sent), np.uint8).reshape(-1, WIDTH)
         place = np.empty(len(at), np.int64)
         place[np.lexsort((at, key, doc))] = np.arange(len(at))
         depth = repeats(wide.view("<u4").reshape(len(at), -1), place, window // STEP)
@@ -227,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, re
             part = bounds[i] + np.flatnonzero(depth[bounds[i] : bounds[i + 1]])
             if len(part):
                 rows["chunk"].append(x["chunk"])
-                rows["at"].append(at[part].tobytes())
+                rows["at"].append(at[part].astype("<u4").tobytes())
                 rows["depth"].append(depth[part].tobytes())
         return _table(rows, {"chunk": pa.int64(), "at": pa.binary(), "depth": pa.binary()})
 

@@ -509,6 +509,11 @@ def test_suffix_tree_gives_maximal_repeats():
     assert substring_dedup.prefix_symbols(np.array([1, 100, 101, 900, 10**9]), 100).tolist() == [2, 2, 3, 4, 4]
 
 
+def test_packed_numbers_come_back():
+    for values in (np.zeros(0, np.int64), np.array([np.iinfo(np.int64).min, -3, 5, 5, 10**12, np.iinfo(np.int64).max]), np.arange(1000) * 7):
+        assert (substring_dedup._ascended(substring_dedup._ascending(values)) == values).all()
+
+
 def test_repeats_of_passages_across_chunks(spark):
     """Chunks so small that nearly all repeats lie in different ones; a tree that found none would keep every word."""
     rng = random.Random(2)
