@@ -90,7 +90,7 @@ def candidates(docs: DataFrame, tests: DataFrame, window: int = WINDOW, gram: in
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_key, start, n, item_id): where items' windows occur in documents."""
-    tests = test_windows(items, window, gram).persist()
+    tests = checkpointed(test_windows(items, window, gram))
     return extended(docs, candidates(docs, tests, window, gram, broadcast_rows), tests, window, broadcast_rows)
 
 
@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     and text each get their row. Empty tables: no documents give no rows, no
     items give documents without hits.
     """
-    tests = test_windows(items, window, gram).persist()
+    tests = checkpointed(test_windows(items, window, gram))
     told = checkpointed(candidates(docs, tests, window, gram))  # this and the next are read twice below
     found = checkpointed(extended(docs, told, tests, window))
     spans = found.select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("stop")).groupBy("doc_id", "text_key", "start").agg(F.max("stop").alias("stop"))

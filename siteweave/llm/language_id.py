@@ -25,8 +25,8 @@ UNKNOWN = "und"
 FOLDS = 5
 WINDOW = 128
 HIDDEN = 8
-#: Bounds of the training sample: languages (the most frequent ones), documents of each, pieces of each document and characters of each piece.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_CHARS = 64, 600, 3, 96
+#: Bounds of the training sample: documents of all languages (many languages have fewer each, one at least), documents of a language, pieces of a document and characters of a piece.
+SAMPLE_TOTAL, SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_CHARS = 38_400, 600, 3, 96
 TRAIN_BYTES = 96
 EPOCHS, BATCH, RATE = 6, 256, 0.02
 SEED = 7
@@ -233,9 +233,10 @@ def position_labels(net: Network, column) -> list[np.ndarray]:
 def training_sample(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """(language, bytes) of a bounded number of labelled pieces outside the held-out fold, drawn by hash from whole texts."""
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
+    docs_of_each = max(1, min(docs_of_each, SAMPLE_TOTAL // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.3 * docs_of_each / r["count"]) * (1 << 40))))])
     begin = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
@@ -294,10 +295,27 @@ def labelled_runs(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<struct<start:long,length:long,lang:string>>")
 
 
-def keep_identified(docs: DataFrame, net: Network | None = None, least: float = 0.0) -> DataFrame:
-    """The documents with a language whose score is at least ``least``, in one pass without a shuffle; those without any letter go. If no language can be learned, all with a letter stay."""
-    net = net or train(docs)
-    names, letter = docs.columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+def least_certain(net: Network, samples: list[tuple[str, bytes]]) -> float:
+    """A score between that of guessing and the lowest one of the labelled pieces: a text below it is less like any language than all that was learned from."""
+    if len(net.langs) < 2:
+        return 0.0
+    lowest = document_probabilities(net, pa.array([x.decode(errors="replace") for _, x in samples])).max(1).min()
+    return float(1 / len(net.langs) + lowest) / 2
+
+
+def keep_identified(docs: DataFrame, net: Network | None = None, least: float | None = None) -> DataFrame:
+    """The documents with a language whose score is at least ``least``, in one pass without a shuffle.
+
+    Without a network one is trained, and ``least`` follows from its training
+    pieces. Null and empty texts and those without any letter go. If no
+    language can be learned, all with a letter stay. Repeated rows stay or go
+    together; columns pass through under any name. An empty table gives no rows.
+    """
+    if net is None:
+        samples = training_sample(docs)
+        net = fit(samples)
+        least = least_certain(net, samples) if least is None else least
+    names, letter, least = docs.columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), least or 0.0
     if not net.langs:
         return docs.filter(letter)
 
@@ -307,4 +325,4 @@ def keep_identified(docs: DataFrame, net: Network | None = None, least: float =
             keep = np.asarray(batch.column(len(names)).cast(pa.int8())).astype(bool) & (best >= least)
             yield batch.select(list(range(len(names)))).filter(pa.array(keep))
 
-    return docs.withColumn("__letter", letter).mapInArrow(run, docs.schema)
+    return docs.select(*docs.columns, letter.alias("__letter")).mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ END = 1
 SLACK = 0.02
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a task remembers, and texts that it turns into ids at a time.
-CACHE_WORDS, TEXTS = 120_000, 128
+CACHE_WORDS, TEXTS = 200_000, 128
 #: Documents for each rank group of a class, and the fewest groups.
 GROUP_DOCS, LEAST_GROUPS = 1_000_000, 64
 PIECES = "doc_id long, part long, start long, length long, ids_crc32 long, doc_tokens long"

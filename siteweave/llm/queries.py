@@ -12,44 +12,54 @@ from siteweave.llm.common import table
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards by doc_id and number of shards; nulls, ties and repeated rows as shard_documents says."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; null and letterless texts are und."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50; null and non-finite vectors take no part."""
     return topk_search.search(table(spark, sf_dir, "embeddings"))
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; null texts are empty and keep their end id."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text; null texts are one end."""
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null texts have fingerprint zero and are linked like others."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those removed and a digest of the rest; null texts have no lines."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document; null texts have no words."""
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to bundles and read back; null pages are empty payloads."""
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed and a digest of the rest; null texts have no words."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -134,11 +134,51 @@ def test_gradients_of_the_network():
             assert g[at] == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=2e-4)
 
 
-def test_inference_equals_training_states():
-    net = language_id.fit([("a", b"abab" * 20), ("b", b"xyxz" * 20)] * 10, epochs=2)
-    one = language_id.document_probabilities(net, pa.array(["abab", "", "xy", None]))
-    long = language_id.document_probabilities(net, pa.array(["abab" * 5000]))
-    assert one.shape == (4, 2) and one[1].sum() == 0 and one[0].sum() == pytest.approx(1, abs=1e-5) and long[0].argmax() == 0
+def test_probabilities_against_brute_force():
+    """The network step by step, byte by byte, in windows of 128 bytes, for short, long and empty texts."""
+    net = language_id.new_network(["a", "b", "c"], 5, seed=3)
+    sigmoid, rng = lambda x: 1 / (1 + np.exp(-x)), random.Random(1)
+
+    def states(window, d):
+        h, out = np.zeros(5), {}
+        for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+            a, u = net.table[d][window[t]], h @ net.inner[d]
+            z, r = sigmoid(a[:5] + u[:5]), sigmoid(a[5:10] + u[5:10])
+            h = (1 - z) * np.tanh(a[10:] + r * u[10:]) + z * h
+            out[t] = h
+        return out
+
+    texts = ["x", "", "Ünïcode and more", "".join(rng.choice("abcdé \n") for _ in range(700)), None]
+    got, labels = language_id.document_probabilities(net, pa.array(texts)), language_id.position_labels(net, pa.array(texts))
+    for i, text in enumerate(texts):
+        data, p = (text or "").encode(), []
+        for at in range(0, len(data), 128):
+            window = data[at : at + 128]
+            ahead, back = states(window, 0), states(window, 1)
+            logits = np.array([np.concatenate([ahead[t], back[t]]) @ net.out + net.shift for t in range(len(window))])
+            p += list(np.exp(logits) / np.exp(logits).sum(1, keepdims=True))
+        assert np.allclose(got[i], np.mean(p, 0) if p else 0, atol=1e-5)
+        assert [int(x) for x in labels[i]] == [int(np.argmax(x)) for x in p]
+
+
+def test_uncertain_texts_are_rejected(spark):
+    """The network decides, not only the letters; repeated rows and clashing columns."""
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
+    samples = language_id.training_sample(docs)
+    net = language_id.fit(samples)
+    least = language_id.least_certain(net, samples)
+    assert 1 / len(net.langs) < least < 0.5
+    kept = language_id.keep_identified(docs, net, least)
+    scores = language_id.identify(docs, net)
+    assert kept.count() == scores.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).count() > 0.99 * docs.filter("text rlike '[a-z]'").count()
+    flat = language_id.new_network(net.langs)
+    for x in flat.parameters():
+        x[:] = 0  # every language is as likely
+    twice = docs.limit(20).withColumns({"letter": F.lit(1), "score": F.lit("x")})
+    assert language_id.keep_identified(twice, flat, least).count() == 0
+    assert language_id.keep_identified(twice.union(twice), net, least).columns == twice.columns
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text here").alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    assert len({x for x, _ in language_id.training_sample(many)}) > 200
 
 
 def brute_top(vectors, every, k):
