@@ -9,16 +9,16 @@ from siteweave.operators import allocation, cleaning, exclusion_rules, nodes, of
 from siteweave.plans.registry import CELLS, LINES, NATIONS, ORDERS, PLANTS, SITES, View, query
 from siteweave.sources import tables as sources
 
-BUILDS = View("orders", {"sc_gid": "CAST(o_custkey % 1200 AS BIGINT)", "year": "CAST(year(o_orderdate) AS INT)", "built": "o_totalprice / 1e5"})
+BUILDS = View("orders", {"sc_gid": "CAST(o_custkey % 1200 AS BIGINT)", "year": "CAST(year(o_orderdate) AS INT)", "built": "o_totalprice"})
 BUSES = View("customer", {"bus": "c_custkey", "lat": "CASE WHEN c_custkey % 37 = 5 THEN 95e0 ELSE 25e0 + c_custkey % 40 END", "lon": "-100e0 + c_nationkey", "capacity": "c_acctbal"})
 BOXES = View("supplier", {"gid": "s_suppkey", "r1": "CAST(s_suppkey * 17 % 400 AS INT)", "c1": "CAST(s_suppkey * 29 % 40 AS INT)", "r2": "CAST(s_suppkey * 17 % 400 + 3 + s_suppkey % 5 AS INT)", "c2": "CAST(s_suppkey * 29 % 40 + 4 AS INT)", "fips": "CAST(floor((s_suppkey * 17 % 400) / 1e1) AS INT)"})
 CURVE = PLANTS
 
 
-@query("SELECT plant AS sc_gid, capacity, round(sum(built), 6) AS built FROM {curve} c JOIN {builds} b ON c.plant = b.sc_gid WHERE year = 1997 GROUP BY plant, capacity", curve=CURVE, builds=BUILDS)
+@query("SELECT plant AS sc_gid, capacity, round(sum(built), 2) AS built FROM {curve} c JOIN {builds} b ON c.plant = b.sc_gid WHERE year = 1997 GROUP BY plant, capacity", curve=CURVE, builds=BUILDS)
 def built_points(curve, builds):
     out = nodes.built_points(curve.select(F.col("plant").alias("sc_gid"), "capacity"), builds, 1997)
-    return out.withColumn("built", F.round("built", 6))
+    return out.withColumn("built", F.round("built", 2))
 
 
 @query("SELECT DISTINCT sc_gid FROM {builds} WHERE year = 1998 AND sc_gid NOT IN (SELECT plant FROM {curve})", curve=CURVE, builds=BUILDS)
@@ -59,12 +59,12 @@ def bus_table(buses):
 WITH good AS (SELECT * FROM {buses} WHERE lat BETWEEN -90 AND 90 AND capacity > 0),
 b AS (SELECT bus, min(bus) OVER w AS plant, capacity / sum(capacity) OVER w AS share FROM good WINDOW w AS (PARTITION BY lat, lon)),
 u AS (SELECT sc_gid AS plant, sc_gid % 100 AS gid, sum(built) AS built FROM {builds} GROUP BY sc_gid)
-SELECT b.bus, u.gid, s.lcoe, round(u.built * b.share, 6) AS capacity FROM b JOIN u USING (plant) LEFT JOIN {sites} s ON s.gid = u.gid
+SELECT b.bus, u.gid, s.lcoe, round(u.built * b.share, 3) AS capacity FROM b JOIN u USING (plant) LEFT JOIN {sites} s ON s.gid = u.gid
 """, buses=BUSES, builds=BUILDS, sites=SITES)
 def bus_builds(buses, builds, sites):
     made = builds.groupBy(F.col("sc_gid").alias("plant")).agg(F.sum("built").alias("built")).withColumn("gid", F.col("plant") % 100)
     out = nodes.bus_builds(nodes.bus_table(buses), made, sites.select("gid", "lcoe"))
-    return out.select("bus", "gid", "lcoe", F.round("capacity", 6).alias("capacity"))
+    return out.select("bus", "gid", "lcoe", F.round("capacity", 3).alias("capacity"))
 
 
 @query("SELECT nation, round(quantile_cont(capacity * 1.6e0, 0.9), 6) AS capacity FROM {plants} GROUP BY nation", plants=PLANTS)
