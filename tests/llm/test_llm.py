@@ -455,7 +455,7 @@ def test_winnowing_selects_fewer_lines_than_windows(spark):
 def test_decontamination(spark, docs, none):
     import re
 
-    items = [(1, " ".join(corpus()[43][1].split()[12:40])), (2, "alpha BETA gamma"), (3, None), (4, ""), (5, "zzz"), (6, "alpha " * 14), (6, "extra"), (7, "中文字 x"), (None, "alpha")]
+    items = [(1, " ".join(corpus()[43][1].split()[12:40])), (2, "alpha BETA gamma"), (3, None), (4, ""), (5, "zzz"), (6, "alpha " * 14), (6, "extra"), (7, "中文字 x"), (None, "alpha"), (8, " ".join(corpus()[43][1].split()[12:40])), (9, "alpha beta"), (10, "Alpha Beta")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, fp string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = {}
