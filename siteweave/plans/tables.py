@@ -157,12 +157,27 @@ def merge_small_nodes(plants):
     return out.select("node", F.round("capacity", 4).alias("capacity"), F.size("members").cast("long").alias("n"))
 
 
-@query(None, plants=PLANTS, sites=SITES)
+@query("""
+WITH RECURSIVE line AS (SELECT plant, nation, lat, lon, capacity / 50 AS wanted, row_number() OVER (PARTITION BY nation ORDER BY plant) AS place FROM {plants}),
+state AS (
+    SELECT nation, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS plant, gid, lat, lon, capacity, capacity AS free, CAST(0 AS DOUBLE) AS built FROM {sites}
+    UNION ALL
+    SELECT nation, place, plant, gid, lat, lon, capacity, free, least(free, greatest(0, wanted - coalesce(nearer, 0))) AS built
+    FROM (
+        SELECT *, sum(free) OVER (PARTITION BY nation ORDER BY distance, capacity DESC, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearer
+        FROM (
+            SELECT s.nation, p.place, p.plant, s.gid, s.lat, s.lon, s.capacity, s.free - s.built AS free, p.wanted, sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)) AS distance
+            FROM state s JOIN line p ON s.nation = p.nation AND p.place = s.place + 1
+        )
+    )
+)
+SELECT plant, gid, round(built, 4) AS built FROM state WHERE round(built, 4) > 0
+""", plants=PLANTS, sites=SITES)
 def sequential_builder(plants, sites):
     """In each nation plants in order of their number fill their nearest sites."""
     wanted = plants.select(F.col("nation").alias("market"), "plant", F.col("plant").alias("place"), "lat", "lon", (F.col("capacity") / 50).alias("wanted"))
     near = sites.select(F.col("nation").alias("market"), "gid", "lat", "lon", "capacity")
-    return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 6))
+    return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 4)).filter("built > 0")
 
 
 def _nearest_of_nation(plants, sites, k):
@@ -183,11 +198,32 @@ def contention_round(plants, sites):
     return allocation.contention_round(asked, sites.select("gid", "capacity")).withColumn("built", F.round("built", 4))
 
 
-@query(None, plants=PLANTS, sites=SITES)
+#: One round in SQL: what plants still want and sites still have follows from the builds of the rounds before.
+_ROUND = """
+w{n} AS MATERIALIZED (SELECT plant, capacity / 50 - coalesce((SELECT sum(built) FROM b{p} b WHERE b.plant = q.plant), 0) AS wanted FROM plant_rows q),
+f{n} AS MATERIALIZED (SELECT gid, capacity - coalesce((SELECT sum(built) FROM b{p} b WHERE b.gid = t.gid), 0) AS free FROM site_rows t),
+a{n} AS (
+    SELECT plant, gid, wanted, free, coalesce(sum(wanted) OVER (PARTITION BY gid ORDER BY distance, plant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+    FROM ranked JOIN w{n} USING (plant) JOIN f{n} USING (gid) WHERE turn = {n} AND wanted > 1e-9
+),
+b{n} AS MATERIALIZED (SELECT plant, gid, built FROM b{p} UNION ALL SELECT plant, gid, least(wanted, greatest(0, free - prev)) FROM a{n})"""
+
+
+@query("""
+WITH plant_rows AS (SELECT * FROM {plants}), site_rows AS (SELECT * FROM {sites}),
+ranked AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY plant ORDER BY distance, gid) AS turn FROM (
+        SELECT p.plant, s.gid, round(sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), 6) AS distance FROM plant_rows p JOIN site_rows s USING (nation)
+        QUALIFY row_number() OVER (PARTITION BY p.plant ORDER BY sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), s.gid) <= 4
+    )
+),
+b0 AS (SELECT plant, gid, CAST(0 AS DOUBLE) AS built FROM ranked WHERE turn = 0),""" + ",".join(_ROUND.format(n=n, p=n - 1) for n in range(1, 5)) + """
+SELECT plant, gid, round(built, 4) AS built FROM b4 WHERE round(built, 4) > 0
+""", plants=PLANTS, sites=SITES)
 def greedy_round_allocation(plants, sites):
     """Each plant asks its four nearest sites of its nation in turn until all that it wants is built."""
     builds, _ = allocation.greedy_rounds(plants.select("plant", (F.col("capacity") / 50).alias("capacity")), sites.select("gid", "capacity"), _nearest_of_nation(plants, sites, 4))
-    return builds.withColumn("built", F.round("built", 6))
+    return builds.withColumn("built", F.round("built", 4)).filter("built > 0")
 
 
 @query("""
