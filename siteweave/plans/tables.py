@@ -171,13 +171,13 @@ state AS (
         )
     )
 )
-SELECT plant, gid, round(built, 4) AS built FROM state WHERE round(built, 4) > 0
+SELECT plant, gid, round(built, 6) AS built FROM state WHERE round(built, 6) > 0
 """, plants=PLANTS, sites=SITES)
 def sequential_builder(plants, sites):
     """In each nation plants in order of their number fill their nearest sites."""
     wanted = plants.select(F.col("nation").alias("market"), "plant", F.col("plant").alias("place"), "lat", "lon", (F.col("capacity") / 50).alias("wanted"))
     near = sites.select(F.col("nation").alias("market"), "gid", "lat", "lon", "capacity")
-    return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 4)).filter("built > 0")
+    return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 6)).filter("built > 0")
 
 
 def _nearest_of_nation(plants, sites, k):
@@ -218,12 +218,12 @@ ranked AS MATERIALIZED (
     )
 ),
 b0 AS (SELECT plant, gid, CAST(0 AS DOUBLE) AS built FROM ranked WHERE turn = 0),""" + ",".join(_ROUND.format(n=n, p=n - 1) for n in range(1, 5)) + """
-SELECT plant, gid, round(built, 4) AS built FROM b4 WHERE round(built, 4) > 0
+SELECT plant, gid, round(built, 6) AS built FROM b4 WHERE round(built, 6) > 0
 """, plants=PLANTS, sites=SITES)
 def greedy_round_allocation(plants, sites):
     """Each plant asks its four nearest sites of its nation in turn until all that it wants is built."""
     builds, _ = allocation.greedy_rounds(plants.select("plant", (F.col("capacity") / 50).alias("capacity")), sites.select("gid", "capacity"), _nearest_of_nation(plants, sites, 4))
-    return builds.withColumn("built", F.round("built", 4)).filter("built > 0")
+    return builds.withColumn("built", F.round("built", 6)).filter("built > 0")
 
 
 @query("""
