@@ -60,11 +60,38 @@ def pair_keys(tokens: np.ndarray) -> np.ndarray:
 
 def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
     """The range of equal size that each hash falls into."""
-    return np.searchsorted(np.array([(g << 64) // groups for g in range(1, groups)], np.uint64), keys, side="right")
+    return ((keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
 def _cut(keys: np.ndarray, groups: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.array([(g << 64) // groups for g in range(groups)], np.uint64)), len(keys))
+    return np.append(np.searchsorted(keys, np.array([-(-(g << 32) // groups) << 32 for g in range(groups)], np.uint64)), len(keys))
+
+
+def shorts(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each hash, before its low 32 bits."""
+    return group_of(keys, groups).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
+def _cut_shorts(keys: np.ndarray, groups: int) -> np.ndarray:
+    return np.searchsorted(keys, np.arange(groups + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """The lowest bytes of all values, then the next ones; high bytes, mostly 0, lie together and compress well."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), -1 if len(values) else 1).T.tobytes()
+
+
+def unplaned(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray, kind: str) -> bytes:
+    """Sorted keys as the differences from one to the next."""
+    return planes(np.diff(keys, prepend=keys[:0].sum(dtype=keys.dtype)), kind)
+
+
+def unstepped(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unplaned(data, kind), dtype=kind)
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,14 +175,14 @@ def train(docs: DataFrame, groups: int) -> Model:
         def packed(blocks: list[np.ndarray]) -> pa.RecordBatch:
             rows: dict[str, list] = {"grp": [], "words": [], "word_counts": [], "pairs": [], "pair_counts": []}
             words, word_counts = np.unique(np.concatenate(blocks), return_counts=True)
-            pairs, pair_counts = np.unique(np.concatenate([pair_keys(x) for x in blocks]), return_counts=True)
-            w, p = _cut(words, groups), _cut(pairs, groups)
+            pairs, pair_counts = np.unique(np.concatenate([shorts(pair_keys(x), groups) for x in blocks]), return_counts=True)
+            w, p = _cut(words, groups), _cut_shorts(pairs, groups)
             for g in range(groups):
                 rows["grp"].append(g)
-                rows["words"].append(words[w[g] : w[g + 1]].astype("<u8").tobytes())
-                rows["word_counts"].append(word_counts[w[g] : w[g + 1]].astype("<u4").tobytes())
-                rows["pairs"].append(pairs[p[g] : p[g + 1]].astype("<u4").tobytes())
-                rows["pair_counts"].append(pair_counts[p[g] : p[g + 1]].astype("<u4").tobytes())
+                rows["words"].append(steps(words[w[g] : w[g + 1]], "<u8"))
+                rows["word_counts"].append(planes(word_counts[w[g] : w[g + 1]], "<u4"))
+                rows["pairs"].append(steps(pairs[p[g] : p[g + 1]] & np.uint64(0xFFFFFFFF), "<u4"))
+                rows["pair_counts"].append(planes(pair_counts[p[g] : p[g + 1]], "<u4"))
             return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("grp", pa.int64()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")]]))
 
         held: list[np.ndarray] = []
@@ -169,9 +196,9 @@ def train(docs: DataFrame, groups: int) -> Model:
             yield packed(held)
 
     def build(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        words, word_counts, _ = _totals(read("words", "<u8"), read("word_counts", "<u4"))
-        pairs, pair_counts, _ = _totals(read("pairs", "<u4"), read("pair_counts", "<u4"))
+        read = lambda name, kind, of: [of(x, kind) for x in table[name].to_pylist()]
+        words, word_counts, _ = _totals(read("words", "<u8", unstepped), read("word_counts", "<u4", unplaned))
+        pairs, pair_counts, _ = _totals(read("pairs", "<u4", unstepped), read("pair_counts", "<u4", unplaned))
         keys = np.concatenate([words & np.uint64(0xFFFFFFFF), pairs.astype(np.uint64)])
         data, _ = slice_of_filter(keys, np.concatenate([word_counts, pair_counts]))
         return pa.table({"grp": table["grp"][:1], "data": pa.array([data], pa.binary()), "tokens": pa.array([int(word_counts.sum())], pa.int64()), "types": pa.array([len(words)], pa.int64())})
@@ -207,34 +234,34 @@ def score(docs: DataFrame, weight: float = WEIGHT, chunk_bytes: int = CHUNK, gro
         tokens, first, words = vocabulary(table)
         trained = ~np.asarray(table["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
         counts = np.bincount(np.searchsorted(words, tokens), np.repeat(trained, np.diff(first)), len(words))
-        pairs = np.unique(pair_keys(tokens))
-        w, p = _cut(words, groups), _cut(pairs, groups)
+        pairs = np.unique(shorts(pair_keys(tokens), groups))
+        w, p = _cut(words, groups), _cut_shorts(pairs, groups)
         some = np.flatnonzero(np.diff(w) + np.diff(p))
-        part = lambda x, at, kind: pa.array([x[at[g] : at[g + 1]].astype(kind).tobytes() for g in some], pa.binary())
-        return pa.table({"grp": pa.array(some, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), "words": part(words, w, "<u8"), "counts": part(counts, w, "<u4"), "pairs": part(pairs, p, "<u4")})
+        part = lambda x, at, kind, to: pa.array([to(x[at[g] : at[g + 1]], kind) for g in some], pa.binary())
+        return pa.table({"grp": pa.array(some, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), "words": part(words, w, "<u8", steps), "counts": part(counts, w, "<u4", planes), "pairs": part(pairs & np.uint64(0xFFFFFFFF), p, "<u4", steps)})
 
     def answer(table: pa.Table, slices: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({"chunk": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("totals", "word_levels", "pair_levels")}})
-        sent = [np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]
-        asked = [np.frombuffer(x, "<u4") for x in table["pairs"].to_pylist()]
-        words, totals, inverse = _totals(sent, [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+        sent = [unstepped(x, "<u8") for x in table["words"].to_pylist()]
+        asked = [unstepped(x, "<u4") for x in table["pairs"].to_pylist()]
+        words, totals, inverse = _totals(sent, [unplaned(x, "<u4") for x in table["counts"].to_pylist()])
         # A group without training text has no slice.
         data = np.frombuffer(slices["data"][0].as_py() if len(slices) else b"\0", np.uint8)
         held = Filter(data, np.array([0, len(data)]), np.array([1]))
         pairs, pair_inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        back = lambda x, sizes, kind: pa.array([y.astype(kind).tobytes() for y in np.split(x, np.cumsum([len(y) for y in sizes])[:-1])], pa.binary())
+        back = lambda x, sizes, kind: pa.array([planes(y, kind) for y in np.split(x, np.cumsum([len(y) for y in sizes])[:-1])], pa.binary())
         return pa.table({"chunk": table["chunk"], "grp": table["grp"], "totals": back(totals[inverse], sent, "<u8"), "word_levels": back(held.levels(words)[inverse], sent, "u1"), "pair_levels": back(held.levels(pairs.astype(np.uint64))[pair_inverse], asked, "u1")})
 
     def rate(table: pa.Table, told: pa.Table) -> pa.Table:
         tokens, first, words = vocabulary(table)
         told = told.sort_by("grp")
-        joined = lambda name, kind: np.frombuffer(b"".join(told[name].to_pylist()), kind)
+        joined = lambda name, kind: np.concatenate([unplaned(x, kind) for x in told[name].to_pylist()])
         of = np.searchsorted(words, tokens)
         count = joined("totals", "<u8").astype(np.float64)[of]
         base = (count + 1) / denominator
         context = expected(joined("word_levels", "u1").astype(np.int64))[np.concatenate([np.searchsorted(words, [END]), of[:-1]])]
-        _, pair_of = np.unique(pair_keys(tokens), return_inverse=True)
+        _, pair_of = np.unique(shorts(pair_keys(tokens), groups), return_inverse=True)
         pair = expected(joined("pair_levels", "u1").astype(np.int64))[pair_of]
         p = (pair + weight * base) / (np.maximum(context, pair) + weight)
         by_row = lambda x: pa.array(np.add.reduceat(x, first[:-1]))

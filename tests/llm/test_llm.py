@@ -308,6 +308,23 @@ def test_filter_returns_levels():
     assert floor > 1 and len(small) * 8 <= 40_008
 
 
+@pytest.mark.parametrize("groups", [1, 2, 3, 64, 1000])
+def test_lm_keys_travel_whole(groups):
+    """Sorted keys as differences and bytes by place come back as they were; cuts follow the groups."""
+    keys = np.sort(np.random.default_rng(groups).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    keys = np.concatenate([[np.uint64(0)], keys, [np.uint64((1 << 64) - 1)]])
+    of, short = lm_scoring.group_of(keys, groups), np.unique(lm_scoring.shorts(keys, groups))
+    begins, p = lm_scoring._cut(keys, groups), lm_scoring._cut_shorts(short, groups)
+    for g in range(groups):
+        assert (of[begins[g] : begins[g + 1]] == g).all()
+        mine = short[p[g] : p[g + 1]] & np.uint64(0xFFFFFFFF)
+        assert mine.tolist() == sorted({int(k) & 0xFFFFFFFF for k in keys[of == g]})
+        assert (lm_scoring.unstepped(lm_scoring.steps(mine, "<u4"), "<u4") == mine).all()
+    for x in (keys, keys[:0], keys[:1]):
+        assert (lm_scoring.unstepped(lm_scoring.steps(x, "<u8"), "<u8") == x).all()
+        assert (lm_scoring.unplaned(lm_scoring.planes(x, "<u8"), "<u8") == x).all()
+
+
 @pytest.mark.parametrize("size", [8 << 20, 3000])
 def test_lm_scores_lose_no_level(spark, size):
     """Every score against brute force on levels; score can't be told to leave low levels out."""
