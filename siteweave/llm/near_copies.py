@@ -108,7 +108,7 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
             for a, b in pairs_within(np.asarray(batch.column(0).value_lengths())):
                 apart = np.zeros(len(a), np.uint8)
                 for w in words:
-                    apart += np.bitwise_count(w[a] ^ w[b])
+                    apart += np.bitwise_count((w[a] ^ w[b]).view(np.uint64))  # of signed values it would count the magnitude's bits
                     stay = apart <= near
                     a, b, apart = a[stay], b[stay], apart[stay]
                 ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -120,7 +120,7 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
     return bucket_blocks(keyed, ["key", "x", "y", "z"], block).mapInArrow(run, "a long, b long").distinct()
 
 
-def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST) -> DataFrame:
+def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST, words: int = SHINGLE) -> DataFrame:
     """(a, b): the texts of large crowds that are similar to their crowd's centre b. texts: (key, crowd, text); large: (crowd)."""
     inside = texts.join(large, "crowd", "left_semi")
     drawn = inside.groupBy("crowd").agg(F.min(F.struct(F.xxhash64(F.lit("centre"), "key").alias("draw"), "key")).alias("c")).select("crowd", F.col("c.key").alias("b"))
@@ -130,9 +130,9 @@ def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST) -> Da
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             near = []
-            for i, (b, x) in enumerate(zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2)))):
+            for i, (b, x) in enumerate(zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), words))):
                 if b not in held:
-                    held = {b: next(shingle_sets(batch.column(3).slice(i, 1)))}
+                    held = {b: next(shingle_sets(batch.column(3).slice(i, 1), words))}
                 near.append(similarity(x, held[b]) >= least)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
@@ -165,7 +165,7 @@ def links_among(sets: list[np.ndarray], roots: np.ndarray, least: float = LEAST)
     return out
 
 
-def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float = LEAST, block: int = BLOCK, words: int = SHINGLE) -> DataFrame:
     """(a, b): links that, with those to centres, join the similar texts of each crowd. texts: (key, crowd, text); centred: (a, b) as from centre_links."""
     if centred is None:
         members = texts.withColumn("root", F.col("key")).withColumn("near", F.lit(False))
@@ -185,7 +185,7 @@ def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float
 
     def run(table: pa.Table) -> pa.Table:
         keys, roots = table["key"].to_numpy(), table["root"].to_numpy()
-        found = np.array(links_among(list(shingle_sets(table["text"])), roots, least), np.int64).reshape(-1, 2)
+        found = np.array(links_among(list(shingle_sets(table["text"], words)), roots, least), np.int64).reshape(-1, 2)
         a, b = keys[found[:, 0]], keys[found[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
