@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,19 +60,69 @@ def greedy_rounds(plants: DataFrame, sites: DataFrame, candidates: DataFrame) ->
     """
     ranked = checkpointed(candidates.withColumn("turn", F.row_number().over(Window.partitionBy("plant").orderBy("distance", "bus_distance", "gid"))))
     turns = ranked.agg(F.max("turn")).first()[0] or 0
-    wanted, free, builds = checkpointed(plants.select("plant", F.col("capacity").alias("wanted"))), checkpointed(sites.select("gid", "capacity")), None
+    wanted, free, builds = _wants(plants), checkpointed(sites.select("gid", "capacity")), []
     for turn in range(1, turns + 1):
-        asking = ranked.filter(F.col("turn") == turn).join(wanted.filter("wanted > 1e-9"), "plant")
-        built = checkpointed(contention_round(asking, free))
-        builds = built if builds is None else builds.unionByName(built)
-        taken, got = built.groupBy("gid").agg(F.sum("built").alias("t")), built.groupBy("plant").agg(F.sum("built").alias("g"))
-        free = checkpointed(free.join(taken, "gid", "left").select("gid", (F.col("capacity") - F.coalesce("t", F.lit(0.0))).alias("capacity")))
-        wanted = checkpointed(wanted.join(got, "plant", "left").select("plant", (F.col("wanted") - F.coalesce("g", F.lit(0.0))).alias("wanted")))
+        wanted, free, built = _turn(ranked.filter(F.col("turn") == turn), wanted, free)
+        builds.append(built)
         if wanted.filter("wanted > 1e-9").isEmpty():
             break
-    if builds is None:
-        builds = plants.sparkSession.createDataFrame([], "plant long, gid long, built double")
-    return builds, wanted.filter("wanted > 1e-9").select("plant", F.col("wanted").alias("short"))
+    return _all_builds(plants, builds), wanted.filter("wanted > 1e-9").select("plant", F.col("wanted").alias("short"))
+
+
+def _wants(plants: DataFrame) -> DataFrame:
+    return checkpointed(plants.select("plant", F.col("capacity").alias("wanted")))
+
+
+def _all_builds(plants: DataFrame, builds: list[DataFrame]) -> DataFrame:
+    if not builds:
+        return plants.sparkSession.createDataFrame([], "plant long, gid long, built double")
+    return reduce(DataFrame.unionByName, builds)
+
+
+def _turn(proposals: DataFrame, wanted: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What plants want and sites have after a round of proposals (plant, gid, distance, bus_distance), and what it built."""
+    built = checkpointed(contention_round(proposals.join(wanted.filter("wanted > 1e-9"), "plant"), free))
+    taken, got = built.groupBy("gid").agg(F.sum("built").alias("t")), built.groupBy("plant").agg(F.sum("built").alias("g"))
+    free = checkpointed(free.join(taken, "gid", "left").select("gid", (F.col("capacity") - F.coalesce("t", F.lit(0.0))).alias("capacity")))
+    wanted = checkpointed(wanted.join(got, "plant", "left").select("plant", (F.col("wanted") - F.coalesce("g", F.lit(0.0))).alias("wanted")))
+    return wanted, free, built
+
+
+def greedy_builds(plants: DataFrame, sites: DataFrame, market: str = "market", k: int = 8, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The rounds of ``greedy_rounds`` over all sites of a plant's market, nearest first: in round i every plant that still wants asks its i-th site.
+
+    plants: (market, plant, lat, lon, capacity); sites: (market, gid, lat, lon,
+    capacity). Distances are compared to ``digits`` decimals, the smaller gid
+    first of equals. A plant knows its k nearest sites; when the rounds have
+    used what some hungry plant knows, the hungry ones learn twice as many, so
+    no plant meets all sites unless it needs them, and none is left out. Gives
+    (plant, gid, built), and (plant, short) of plants whose market is used up.
+    Null places take no part. An empty table gives no builds.
+    """
+    here = [F.col("lat"), F.col("lon")]
+    most = sites.dropna(subset=["lat", "lon"]).groupBy(market).agg(F.count("*").alias("most"))
+    order = Window.partitionBy("plant").orderBy("distance", "gid")
+    wanted, free, builds, turn = _wants(plants), checkpointed(sites.select("gid", "capacity")), [], 0
+    while True:
+        hungry = checkpointed(plants.join(wanted.filter("wanted > 1e-9").select("plant"), "plant", "left_semi"))
+        near = nearest(hungry, sites, here, here, "plant", "gid", k + 1, by=market).withColumn("distance", F.round("distance", digits))
+        # One more than needed, so that sites at the distance of the last one are told from it.
+        last = near.filter(F.col("rank") == k + 1).select("plant", F.col("distance").alias("last"))
+        known = near.join(last, "plant", "left").filter(F.col("last").isNull() | (F.col("distance") < F.col("last")))
+        known = checkpointed(known.select("plant", "gid", "distance", F.lit(0.0).alias("bus_distance"), F.row_number().over(order).alias("turn")))
+        count = known.groupBy("plant").agg(F.count("*").alias("knows"))
+        told = hungry.join(most, market).join(count, "plant", "left").select((F.coalesce("knows", F.lit(0)) < F.col("most")).alias("open"), F.coalesce("knows", F.lit(0)).alias("knows"))
+        partly, whole = told.agg(F.min(F.when(F.col("open"), F.col("knows"))), F.max("knows")).first()
+        while turn < (whole or 0 if partly is None else partly):
+            turn += 1
+            wanted, free, built = _turn(known.filter(F.col("turn") == turn), wanted, free)
+            builds.append(built)
+            if wanted.filter("wanted > 1e-9").isEmpty():
+                partly = None
+                break
+        if partly is None:
+            return _all_builds(plants, builds), wanted.filter("wanted > 1e-9").select("plant", F.col("wanted").alias("short"))
+        k *= 2
 
 
 def served_in_order(plants: DataFrame, candidates: DataFrame, share: bool = True) -> DataFrame:

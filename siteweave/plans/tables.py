@@ -198,31 +198,24 @@ def contention_round(plants, sites):
     return allocation.contention_round(asked, sites.select("gid", "capacity")).withColumn("built", F.round("built", 4))
 
 
-#: One round in SQL: what plants still want and sites still have follows from the builds of the rounds before.
-_ROUND = """
-w{n} AS MATERIALIZED (SELECT plant, capacity / 50 - coalesce((SELECT sum(built) FROM b{p} b WHERE b.plant = q.plant), 0) AS wanted FROM plant_rows q),
-f{n} AS MATERIALIZED (SELECT gid, capacity - coalesce((SELECT sum(built) FROM b{p} b WHERE b.gid = t.gid), 0) AS free FROM site_rows t),
-a{n} AS (
-    SELECT plant, gid, wanted, free, coalesce(sum(wanted) OVER (PARTITION BY gid ORDER BY distance, plant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
-    FROM ranked JOIN w{n} USING (plant) JOIN f{n} USING (gid) WHERE turn = {n} AND wanted > 1e-9
-),
-b{n} AS MATERIALIZED (SELECT plant, gid, built FROM b{p} UNION ALL SELECT plant, gid, least(wanted, greatest(0, free - prev)) FROM a{n})"""
-
-
 @query("""
-WITH plant_rows AS (SELECT * FROM {plants}), site_rows AS (SELECT * FROM {sites}),
-ranked AS MATERIALIZED (
-    SELECT *, row_number() OVER (PARTITION BY plant ORDER BY distance, gid) AS turn FROM (
-        SELECT p.plant, s.gid, round(sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), 6) AS distance FROM plant_rows p JOIN site_rows s USING (nation)
-        QUALIFY row_number() OVER (PARTITION BY p.plant ORDER BY sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), s.gid) <= 4
+WITH RECURSIVE ranked AS (
+    SELECT plant, gid, distance, wanted, free, row_number() OVER (PARTITION BY plant ORDER BY distance, gid) AS turn
+    FROM (SELECT p.plant, s.gid, p.capacity / 50 AS wanted, s.capacity AS free, round(sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)), 6) AS distance FROM {plants} p JOIN {sites} s USING (nation))
+), rounds AS (
+    SELECT 0 AS n, *, CAST(0 AS DOUBLE) AS built FROM ranked
+    UNION ALL
+    SELECT n + 1, plant, gid, distance, wanted - sum(now) OVER (PARTITION BY plant), free - sum(now) OVER (PARTITION BY gid), turn, now FROM (
+        SELECT *, CASE WHEN asks THEN least(wanted, greatest(0, free - coalesce(sum(CASE WHEN asks THEN wanted ELSE 0 END) OVER (PARTITION BY gid ORDER BY distance, plant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS now
+        FROM (SELECT *, turn = n + 1 AND wanted > 1e-9 AS asks FROM rounds WHERE n < (SELECT max(turn) FROM ranked))
     )
-),
-b0 AS (SELECT plant, gid, CAST(0 AS DOUBLE) AS built FROM ranked WHERE turn = 0),""" + ",".join(_ROUND.format(n=n, p=n - 1) for n in range(1, 5)) + """
-SELECT plant, gid, round(built, 6) AS built FROM b4 WHERE round(built, 6) > 0
+)
+SELECT plant, gid, round(built, 6) AS built FROM rounds WHERE round(built, 6) > 0
 """, plants=PLANTS, sites=SITES)
 def greedy_round_allocation(plants, sites):
-    """Each plant asks its four nearest sites of its nation in turn until all that it wants is built."""
-    builds, _ = allocation.greedy_rounds(plants.select("plant", (F.col("capacity") / 50).alias("capacity")), sites.select("gid", "capacity"), _nearest_of_nation(plants, sites, 4))
+    """Each plant asks the sites of its nation in turn, nearest first, until all that it wants is built or no site is left."""
+    wanted = plants.select("nation", "plant", "lat", "lon", (F.col("capacity") / 50).alias("capacity"))
+    builds, _ = allocation.greedy_builds(wanted, sites, "nation", k=4)
     return builds.withColumn("built", F.round("built", 6)).filter("built > 0")
 
 

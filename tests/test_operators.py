@@ -98,6 +98,32 @@ def test_greedy_rounds(spark):
     assert rows(short) == [(2, 1.0)]
 
 
+@pytest.mark.parametrize("k", [1, 3, 64])
+def test_greedy_builds_reach_every_site(spark, k):
+    """The rounds go on through all sites of a market, however few a plant knows at first; sites at one distance included."""
+    rng = random.Random(3)
+    plants = [(rng.choice("mn"), p, float(rng.randrange(4)), float(rng.randrange(4)), rng.choice([3.0, 9.0, 200.0])) for p in range(12)] + [("lone", 99, 1.0, 1.0, 5.0), ("m", 98, None, 1.0, 5.0)]
+    sites = [(rng.choice("mn"), g, float(rng.randrange(4)), float(rng.randrange(4)), rng.choice([2.0, 7.0])) for g in range(40)]
+    free, wanted, want = {s[1]: s[4] for s in sites}, {p[1]: p[4] for p in plants}, {}
+    turns = {p[1]: sorted((round(math.dist(p[2:4], s[2:4]), 6), s[1]) for s in sites if s[0] == p[0]) for p in plants if p[2] is not None}
+    for turn in range(40):
+        asking = {}
+        for p, near in turns.items():
+            if turn < len(near) and wanted[p] > 1e-9:
+                asking.setdefault(near[turn][1], []).append((near[turn][0], p))
+        for g, who in asking.items():
+            for _, p in sorted(who):
+                built = min(wanted[p], free[g])
+                if built > 0:
+                    want[p, g] = built
+                    free[g] -= built
+                    wanted[p] -= built
+    of = spark.createDataFrame(plants, "market string, plant long, lat double, lon double, capacity double")
+    builds, short = allocation.greedy_builds(of, spark.createDataFrame(sites, "market string, gid long, lat double, lon double, capacity double"), k=k)
+    assert {(r["plant"], r["gid"]): r["built"] for r in builds.collect()} == want
+    assert {r["plant"]: r["short"] for r in short.collect()} == {p: w for p, w in wanted.items() if w > 1e-9}
+
+
 @pytest.mark.parametrize("share", [True, False])
 def test_sequential_builds(spark, share):
     """In order of place, each plant fills its nearest sites with what those before it left; against brute force."""
@@ -124,10 +150,10 @@ def test_greedy_round_query_against_brute_force(spark):
     plants, sites = PLANTS.df(spark, where).collect(), SITES.df(spark, where).collect()
     turns = {}
     for p in plants:
-        near = sorted((math.sqrt((p["lat"] - s["lat"]) ** 2 + (p["lon"] - s["lon"]) ** 2), s["gid"]) for s in sites if s["nation"] == p["nation"])[:4]
+        near = sorted((math.sqrt((p["lat"] - s["lat"]) ** 2 + (p["lon"] - s["lon"]) ** 2), s["gid"]) for s in sites if s["nation"] == p["nation"])
         turns[p["plant"]] = sorted((round(d, 6), g) for d, g in near)
     wanted, free, want = {p["plant"]: p["capacity"] / 50 for p in plants}, {s["gid"]: s["capacity"] for s in sites}, {}
-    for turn in range(4):
+    for turn in range(max(map(len, turns.values()))):
         asking = {}
         for p, near in turns.items():
             if turn < len(near) and wanted[p] > 1e-9:
