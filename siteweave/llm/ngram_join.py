@@ -13,9 +13,10 @@ cost: fewer, larger segments meet by chance (both empty) less often, but give a
 key for each of their shingles.
 
 Sets that share a key are compared by size and by the parity of their shingles
-in 64 classes, which differ in no more classes than the sets in shingles; what
+in 32 classes, which differ in no more classes than the sets in shingles; what
 passes makes crowds, whose texts travel once and are compared exactly. Equal
-sets are one set throughout.
+sets are one set throughout. A bucket is read up to a bound; the keys of larger
+ones are named in the same pass, and their rows dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.llm.common import checkpointed
@@ -103,10 +104,10 @@ def band_sizes(docs: DataFrame, least: int = LEAST) -> dict[int, tuple[int, int]
     return {r["band"]: (r["n"], r["s"]) for r in rows.collect()}
 
 
-def parity(shingles: np.ndarray) -> int:
-    """Bit i is the parity of the number of shingles in class i of 64."""
-    odd = np.bincount((shingles & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
+def sketch(shingles: np.ndarray) -> int:
+    """Twice the size in the upper 32 bits; bit i of the lower ones is the parity of the number of shingles in class i of 32."""
+    odd = np.bincount((shingles & np.uint64(31)).astype(np.int64), minlength=32) & 1
+    return 2 * len(shingles) << 32 | int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint32)[0])
 
 
 class Signer:
@@ -142,7 +143,7 @@ class Signer:
 
 
 def shingled(docs: DataFrame, words: int, signer: Signer | None) -> DataFrame:
-    """(doc_id, th, n, k1, k2) of each row: a hash of its text, the size of its set and 128 bits of the set's hash; with a signer also parity and both kinds of keys. n is 0 without words."""
+    """(doc_id, th, n, k1, k2) of each row: a hash of its text, the size of its set and 128 bits of the set's hash; with a signer also its sketch and both kinds of keys. n is 0 without words."""
 
     def listed(arrays: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *[len(x) for x in arrays]]).astype(np.int32)
@@ -150,80 +151,110 @@ def shingled(docs: DataFrame, words: int, signer: Signer | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, odd, whole, less = [], [], [], [], [], []
+            n, k1, k2, meta, whole, less = [], [], [], [], [], []
             for x in shingle_sets(batch.column(2), words):
                 size = 0 if np.array_equal(x, EMPTY) else len(x)
                 n.append(size)
                 k1.append(x.sum(dtype=np.uint64) + np.uint64(size))
                 k2.append(mix(x ^ _OTHER).sum(dtype=np.uint64))
                 if signer:
-                    odd.append(parity(x))
+                    meta.append(sketch(x))
                     keys = signer.keys(x) if size else (x[:0], x[:0])
                     whole.append(keys[0])
                     less.append(keys[1])
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(mix(np.array(k, np.uint64)).view(np.int64)) for k in (k1, k2)]]
             if signer:
-                columns += [pa.array(odd, pa.int64()), listed(whole), listed(less)]
+                columns += [pa.array(meta, pa.int64()), listed(whole), listed(less)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, th long, n long, k1 long, k2 long" + (", odd long, whole array<long>, less array<long>" if signer else "")
+    schema = "doc_id long, th long, n long, k1 long, k2 long" + (", meta long, whole array<long>, less array<long>" if signer else "")
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
 def distinct_sets(docs: DataFrame, words: int, signer: Signer) -> DataFrame:
-    """(node, k1, k2, n, odd, whole, less, rep, least) of each distinct set that has a shingle: a number, its sketch and keys, one of its rows, and its smallest doc_id."""
+    """(node, k1, k2, meta, whole, less, rep, least) of each distinct set that has a shingle: a number, its sketch and keys, one of its rows, and its smallest doc_id."""
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
-    rows = shingled(docs, words, signer).filter("n > 0").groupBy("k1", "k2").agg(rep, *[F.first(c).alias(c) for c in ("n", "odd", "whole", "less")])
+    rows = shingled(docs, words, signer).filter("n > 0").groupBy("k1", "k2").agg(rep, *[F.first(c).alias(c) for c in ("meta", "whole", "less")])
     # Numbers are fixed once the rows are written.
     return checkpointed(rows.withColumn("least", F.col("rep.doc_id")).withColumn("node", F.monotonically_increasing_id()))
 
 
 def bucket_keys(sets: DataFrame) -> DataFrame:
-    """(value, node, size, odd): a row for each key; size is negative for subsets with one shingle less."""
-    size = F.col("n").cast("int")
-    keys = F.concat(F.transform("whole", lambda v: F.struct(v.alias("value"), size.alias("size"))), F.transform("less", lambda v: F.struct(v.alias("value"), (-size).alias("size"))))
-    return sets.select("node", "odd", F.inline(keys)).select("value", "node", "size", "odd")
+    """(value, node, meta): a row for each key; the size in meta is odd for subsets with one shingle less."""
+    keys = F.concat(F.transform("whole", lambda v: F.struct(v.alias("value"), F.col("meta"))), F.transform("less", lambda v: F.struct(v.alias("value"), (F.col("meta") + (1 << 32)).alias("meta"))))
+    return sets.select("node", F.inline(keys)).select("value", "node", "meta")
 
 
 def buckets(keyed: DataFrame, block: int = BUCKET) -> DataFrame:
-    """(cross, node, size, odd, own) arrays of each bucket of several sets; one of more than ``block`` comes as its blocks and, with cross true, pairs of blocks."""
-    crowded = checkpointed(keyed.groupBy("value").agg(F.count("*").alias("many")).filter(F.col("many") > block).select("value", F.ceil(F.col("many") / block).cast("int").alias("blocks")))
+    """(value, node, meta): arrays of each bucket of several sets, of the first ``block`` and one more at most."""
+    first = keyed.withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("node"))).filter(F.col("at") <= block + 1)
+    met = first.groupBy("value").agg(F.collect_list(F.struct("node", "meta")).alias("m")).filter(F.size("m") > 1)
+    return met.select("value", F.col("m.node").alias("node"), F.col("m.meta").alias("meta"))
+
+
+def block_pairs(keyed: DataFrame, crowded: DataFrame, block: int = BUCKET) -> DataFrame:
+    """(cross, node, meta, own): arrays of the blocks of crowded buckets and, with cross true, of their pairs of blocks. crowded: (value)."""
     many = crowded.count()
-    member = F.struct("node", "size", "odd")
-    if many:
-        dealt = keyed.join(F.broadcast(crowded) if many <= SMALL else crowded, "value", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = dealt.groupBy("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "size", "odd", "own")).alias("m"))
-        met = met.select((F.col("i") != F.col("j")).alias("cross"), "m")
-    else:
-        met = keyed.withColumn("own", F.lit(0)).groupBy("value").agg(F.collect_list(member).alias("m")).select(F.lit(False).alias("cross"), F.transform("m", lambda x: x.withField("own", F.lit(0))).alias("m"))
-    return met.filter(F.size("m") > 1).select("cross", *[F.col(f"m.{c}").alias(c) for c in ("node", "size", "odd", "own")])
+    inside = checkpointed(keyed.join(F.broadcast(crowded) if many <= SMALL else crowded, "value"))
+    blocks = inside.groupBy("value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = inside.join(F.broadcast(blocks) if many <= SMALL else blocks, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.groupBy("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "meta", "own")).alias("m"))
+    return met.filter(F.size("m") > 1).select((F.col("i") != F.col("j")).alias("cross"), *[F.col(f"m.{c}").alias(c) for c in ("node", "meta", "own")])
+
+
+def near_pairs(lengths: np.ndarray, node: np.ndarray, meta: np.ndarray, least: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of one bucket each that sizes and parities allow. apart: a number for each position; only pairs with different ones count, below 0 all."""
+    size, part, odd = meta >> 33, (meta >> 32 & 1).astype(bool), meta.astype(np.uint32)
+    for a, b in pairs_within(lengths):
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        stay = (100 * low >= least * high) & ~(part[a] & part[b]) & (node[a] != node[b])
+        if apart is not None:
+            stay &= (apart[a] < 0) | (apart[a] != apart[b])
+        a, b, low = a[stay], b[stay], low[stay]
+        near = np.bitwise_count(odd[a] ^ odd[b]) <= low * (100 - least) // least
+        yield a[near], b[near]
+
+
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b), a < b, that join what the pairs join."""
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in pairs:
+        ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = ends[roots_of(len(ends), at[: len(a)], at[len(a) :])]
+        ones.append(node[ends[root != ends]])
+        twos.append(node[root[root != ends]])
+    a, b = np.concatenate(ones), np.concatenate(twos)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def candidates(sets: DataFrame, least: int = LEAST, block: int = BUCKET) -> DataFrame:
     """(a, b): edges whose components hold all pairs of sets that share a key and that sizes and parities allow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, (node, meta) = np.asarray(batch.column(1).value_lengths()), (np.asarray(c.flatten()) for c in batch.columns[1:])
+            large = lengths > block
+            keep = np.repeat(~large, lengths)
+            a, b = forest(near_pairs(lengths[~large], node[keep], meta[keep], least), node[keep])
+            values = np.asarray(batch.column(0))[large]
+            # A key of a crowded bucket comes as an edge without an end.
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, values])), pa.array(np.concatenate([b, values]), mask=np.arange(len(a) + len(values)) >= len(a))], names=["a", "b"])
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.asarray(batch.column(1).value_lengths())
-            node, size, odd, own = (np.asarray(c.flatten()) for c in batch.columns[1:])
+            lengths, (node, meta, own) = np.asarray(batch.column(1).value_lengths()), (np.asarray(c.flatten()) for c in batch.columns[1:])
             cross = np.repeat(np.asarray(batch.column(0).to_numpy(zero_copy_only=False)), lengths)
-            part, whole = size < 0, np.abs(size).astype(np.int64)
-            ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in pairs_within(lengths):
-                low, high = np.minimum(whole[a], whole[b]), np.maximum(whole[a], whole[b])
-                stay = (100 * low >= least * high) & ~(part[a] & part[b]) & (~cross[a] | (own[a] != own[b])) & (node[a] != node[b])
-                a, b, low = a[stay], b[stay], low[stay]
-                near = np.bitwise_count((odd[a] ^ odd[b]).view(np.uint64)) <= low * (100 - least) // least
-                ends, at = np.unique(np.concatenate([a[near], b[near]]), return_inverse=True)
-                root = ends[roots_of(len(ends), at[: len(at) // 2], at[len(at) // 2 :])]
-                ones.append(node[ends[root != ends]])
-                twos.append(node[root[root != ends]])
-            a, b = np.concatenate(ones), np.concatenate(twos)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return buckets(bucket_keys(sets), block).mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(near_pairs(lengths, node, meta, least, np.where(cross, own, -1)), node)], names=["a", "b"])
+
+    keyed = bucket_keys(sets)
+    found = checkpointed(buckets(keyed, block).mapInArrow(in_buckets, "a long, b long").distinct())
+    crowded = found.filter("b IS NULL").select(F.col("a").alias("value"))
+    edges = found.filter("b IS NOT NULL")
+    if crowded.isEmpty():
+        return edges
+    return edges.unionByName(block_pairs(keyed, crowded, block).mapInArrow(in_blocks, "a long, b long"))
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int = SHINGLE, least: int = LEAST, block: int = BUCKET, crowd: int = BLOCK) -> DataFrame:

@@ -199,15 +199,19 @@ def test_allocation_follows_cost():
 
 
 def test_large_buckets_come_in_blocks(spark):
-    """A bucket beyond the block size loses no pair and repeats none."""
-    keyed = spark.range(50).select(F.lit(1).cast("long").alias("value"), F.col("id").alias("node"), F.lit(20).alias("size"), F.lit(0).cast("long").alias("odd"))
+    """Buckets beyond the bound are named and come in blocks, in which no pair is lost and none is repeated; their links are found."""
+    keyed = spark.range(50).select(F.lit(1).cast("long").alias("value"), F.col("id").alias("node"), F.lit(20 << 33).cast("long").alias("meta"))
+    assert [len(r["node"]) for r in ngram_join.buckets(keyed, 8).collect()] == [9]
     pairs = Counter()
-    for r in ngram_join.buckets(keyed, 8).collect():
+    for r in ngram_join.block_pairs(keyed, keyed.select("value").distinct(), 8).collect():
         for i, a in enumerate(r["node"]):
             for j in range(i):
                 if not r["cross"] or r["own"][i] != r["own"][j]:
                     pairs[frozenset((a, r["node"][j]))] += 1
     assert len(pairs) == 50 * 49 // 2 and set(pairs.values()) == {1}
+    sets = keyed.select("node", "meta", F.array("value").alias("whole"), F.array().cast("array<long>").alias("less"))
+    linked = ngram_join.components(ngram_join.candidates(sets, block=8)).collect()
+    assert sorted((r["node"], r["root"]) for r in linked) == [(i, 0) for i in range(1, 50)]
 
 
 # Divergence
