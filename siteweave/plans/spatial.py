@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siteweave.functions.projections import Conic, corrected_points
 from siteweave.functions.spatial import cell_centre, cell_of, haversine_km, min_max, project_on_segment
 from siteweave.operators import raster
 from siteweave.operators import spatial_joins as sj
@@ -165,3 +166,55 @@ def min_max_scaling(sites):
 def bbox_scan(sites):
     features = sites.select("gid", (F.col("lon") - 1).alias("minx"), (F.col("lat") - 1).alias("miny"), (F.col("lon") + 1).alias("maxx"), (F.col("lat") + 1).alias("maxy"))
     return features_in(features, -110.0, 33.0, -95.0, 42.0).select("gid")
+
+
+#: Albers' conic with parallels 29.5 and 45.5 from (37.5, -96), and Lambert's with 33 and 45 from (39, -96); in SQL by the same formulas.
+ALBERS = Conic.of("+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=37.5 +lon_0=-96 +x_0=0 +y_0=0 +datum=NAD83 +units=m +no_defs")
+LAMBERT = Conic.of("+proj=lcc +lat_1=33 +lat_2=45 +lat_0=39 +lon_0=-96 +x_0=1000 +y_0=-2000 +ellps=GRS80 +units=m")
+_Q = "((1 - e * e) * (sin({p}) / (1 - pow(e * sin({p}), 2)) - ln((1 - e * sin({p})) / (1 + e * sin({p}))) / (2 * e)))"
+_M = "(cos({p}) / sqrt(1 - pow(e * sin({p}), 2)))"
+_T = "(tan(pi() / 4 - {p} / 2) / pow((1 - e * sin({p})) / (1 + e * sin({p})), e / 2))"
+
+
+@query(f"""
+WITH k AS (SELECT sqrt(0.006694380022903416e0) AS e, 6378137e0 AS a, radians(29.5e0) AS p1, radians(45.5e0) AS p2, radians(37.5e0) AS p0),
+n AS (SELECT *, (pow({_M.format(p='p1')}, 2) - pow({_M.format(p='p2')}, 2)) / ({_Q.format(p='p2')} - {_Q.format(p='p1')}) AS n FROM k),
+c AS (SELECT *, pow({_M.format(p='p1')}, 2) + n * {_Q.format(p='p1')} AS c FROM n),
+r AS (SELECT *, a * sqrt(c - n * {_Q.format(p='p0')}) / n AS r0 FROM c),
+s AS (SELECT gid, a, n, r0, a * sqrt(c - n * {_Q.format(p='radians(lat)')}) / n AS r, n * radians(lon + 96) AS t FROM r, {{sites}})
+SELECT gid, round(r * sin(t), 3) AS x, round(r0 - r * cos(t), 3) AS y FROM s
+""", sites=SITES)
+def albers_places(sites):
+    x, y = ALBERS.forward(F.col("lat"), F.col("lon"))
+    return sites.select("gid", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"""
+WITH k AS (SELECT sqrt(0.006694380022903416e0) AS e, 6378137e0 AS a, radians(33e0) AS p1, radians(45e0) AS p2, radians(39e0) AS p0),
+n AS (SELECT *, ln({_M.format(p='p1')} / {_M.format(p='p2')}) / ln({_T.format(p='p1')} / {_T.format(p='p2')}) AS n FROM k),
+c AS (SELECT *, {_M.format(p='p1')} / (n * pow({_T.format(p='p1')}, n)) AS f FROM n),
+s AS (SELECT gid, n, a * f * pow({_T.format(p='p0')}, n) AS r0, a * f * pow({_T.format(p='radians(lat)')}, n) AS r, n * radians(lon + 96) AS t FROM c, {{sites}})
+SELECT gid, round(1000 + r * sin(t), 3) AS x, round(r0 - r * cos(t) - 2000, 3) AS y FROM s
+""", sites=SITES)
+def lambert_places(sites):
+    x, y = LAMBERT.forward(F.col("lat"), F.col("lon"))
+    return sites.select("gid", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+_PHI = f"""list_reduce(range(0, 9), lambda p, i: p + pow(1 - pow(e * sin(p), 2), 2) / (2 * cos(p)) * (q / (1 - e * e) - sin(p) / (1 - pow(e * sin(p), 2)) + ln((1 - e * sin(p)) / (1 + e * sin(p))) / (2 * e)), asin(q / 2))"""
+
+
+@query(f"""
+WITH k AS (SELECT sqrt(0.006694380022903416e0) AS e, 6378137e0 AS a, radians(29.5e0) AS p1, radians(45.5e0) AS p2, radians(37.5e0) AS p0),
+n AS (SELECT *, (pow({_M.format(p='p1')}, 2) - pow({_M.format(p='p2')}, 2)) / ({_Q.format(p='p2')} - {_Q.format(p='p1')}) AS n FROM k),
+c AS (SELECT *, pow({_M.format(p='p1')}, 2) + n * {_Q.format(p='p1')} AS c FROM n),
+r AS (SELECT *, a * sqrt(c - n * {_Q.format(p='p0')}) / n AS r0 FROM c),
+spots AS (SELECT gid, e, a, n, c, r0, -2300000 + (gid % 30000 % 52 + 0.5e0) * 90 * 1000 AS x, 1600000 - (gid % 30000 // 52 + 0.5e0) * 90 * 64 AS y FROM r, {{orders}}),
+s AS (SELECT gid, e, n, (c - pow(sqrt(x * x + pow(r0 - y, 2)) * n / a, 2)) / n AS q, atan2(x, r0 - y) AS t FROM spots)
+SELECT gid, round({_PHI}, 8) AS phi, round(-96 + degrees(t) / n, 6) AS lon FROM s
+""", orders=ORDERS)
+def corrected_supply_points(orders):
+    """Latitudes (in radians) and longitudes of supply-curve points, by their place in the grid of the raster on Albers' map."""
+    points = orders.select("gid", (F.col("gid") % 30000).alias("sc_point_gid"))
+    out = corrected_points(points, ALBERS, 52 * 64, 64, -2300000.0, 90.0 * 1000 / 64, 1600000.0, -90.0)
+    return out.select("gid", F.round(F.radians("lat"), 8).alias("phi"), F.round("lon", 6).alias("lon"))

@@ -78,4 +78,31 @@ def test_what_is_not_read(tmp_path):
     tiff(tmp_path / "c.tif", {**shape(1, 1, 1, 8, 1, 5), 278: (4, [1])}, [b"\0"])
     data = (tmp_path / "c.tif").read_bytes()
     with pytest.raises(ValueError, match="compression 5"):
-        list(rasters.blocks_of(data, rasters.tags_of(data)))
+        rasters.blocks_of(rasters.tags_of(data))
+
+
+def test_blocks_are_dealt_out_and_left_out(spark, tmp_path):
+    """Partitions hold a few tiles each; conditions read only the tiles they need, and cells are right either way."""
+    values = np.arange(64 * 80, dtype="<i4").reshape(64, 80)
+    tiles = [values[y : y + 16, x : x + 16].tobytes() for y in range(0, 64, 16) for x in range(0, 80, 16)]
+    # A tile that isn't asked for may be damaged.
+    tiles[0] = zlib.compress(b"no")
+    tiff(tmp_path / "d.tif", {**shape(64, 80, 1, 32, 2, 8), 322: (3, [16]), 323: (3, [16])}, [t if k == 0 else zlib.compress(t) for k, t in enumerate(tiles)])
+    df = rasters.read_geotiff(spark, str(tmp_path / "d.tif"), partition=2 * 16 * 16 * 8)
+    assert df.rdd.getNumPartitions() == 10
+    window = df.filter("row >= 20 AND row < 50 AND col BETWEEN 17 AND 40 AND band = 1")
+    assert cells(window) == {(1, r, c): float(values[r, c]) for r in range(20, 50) for c in range(17, 41)}
+    assert cells(df.filter("row = 63 AND col IN (0, 79)")) == {(1, 63, 0): float(values[63, 0]), (1, 63, 79): float(values[63, 79])}
+    assert df.filter("row > 100").count() == 0 and df.filter("col > 15 AND value < 17").count() == 1
+    reader = rasters.CellReader([f"file:{tmp_path}/d.tif"], 16 * 16 * 8)
+    assert len(reader.partitions()) == 20
+    reader.low, reader.high = {"row": 16, "col": 70}, {"row": 31}
+    assert [(p.blocks[0].row, p.blocks[0].col) for p in reader.partitions()] == [(16, 64)]
+
+
+def test_many_files_and_none(spark, tmp_path):
+    for k in range(3):
+        tiff(tmp_path / f"{k}.tif", {**shape(2, 2, 1, 8, 1, 1), 278: (4, [2])}, [bytes([k, 1, 2, 3])])
+    out = rasters.read_geotiff(spark, str(tmp_path))
+    assert out.groupBy("path").count().count() == 3 and out.filter("row = 0 AND col = 0").count() == 3
+    assert rasters.geotiff_profiles(spark, str(tmp_path)).count() == 3
