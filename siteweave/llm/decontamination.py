@@ -156,6 +156,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The documents without any hit."""
-    found = hits(docs, items, window, gram).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    """The documents without any hit.
+
+    Null and empty texts have no words and stay; rows that repeat a doc_id and
+    text stay or go together. Columns pass through under any name. No documents
+    give no rows, no items all documents.
+    """
+    found = hits(docs, items, window, gram).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("k"))
+    return rows.join(found, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left_anti").select("row.*")

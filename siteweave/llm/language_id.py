@@ -315,14 +315,16 @@ def keep_identified(docs: DataFrame, net: Network | None = None, least: float |
         samples = training_sample(docs)
         net = fit(samples)
         least = least_certain(net, samples) if least is None else least
-    names, letter, least = docs.columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), least or 0.0
+    letter, least = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), least or 0.0
     if not net.langs:
         return docs.filter(letter)
+    # A row travels as one column, whatever its own columns are called.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", letter.alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = document_probabilities(net, batch.column(names.index("text"))).max(1, initial=0)
-            keep = np.asarray(batch.column(len(names)).cast(pa.int8())).astype(bool) & (best >= least)
-            yield batch.select(list(range(len(names)))).filter(pa.array(keep))
+            best = document_probabilities(net, batch.column(1)).max(1, initial=0)
+            keep = np.asarray(batch.column(2).cast(pa.int8())).astype(bool) & (best >= least)
+            yield batch.select([0]).filter(pa.array(keep))
 
-    return docs.select(*docs.columns, letter.alias("__letter")).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

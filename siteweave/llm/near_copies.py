@@ -22,7 +22,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.common import checkpointed
@@ -81,18 +81,23 @@ def wide_fingerprint(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * out > len(shingles), bitorder="little").view(np.uint64)
 
 
+def text_key() -> list[Column]:
+    """128 bits of a text's hash."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+
+
 def sketches(docs: DataFrame, lanes: int) -> DataFrame:
-    """(key, least, w0, w1, ...) of each distinct text: its hash, its smallest doc_id (null only without any) and its lanes."""
+    """(key, k1, k2, least, w0, w1, ...) of each distinct text: a number, fixed once the rows are written, 128 bits of its hash, its smallest doc_id (null only without any) and its lanes."""
     salts = np.random.default_rng(42).integers(0, 1 << 64, lanes, dtype=np.uint64)
     names = [f"w{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(x, salts) for x in shingle_sets(batch.column(2))], np.uint64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T]], names=["doc_id", "key", *names])
+            found = np.array([wide_fingerprint(x, salts) for x in shingle_sets(batch.column(3))], np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T]], names=["doc_id", "k1", "k2", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id long, key long, {', '.join(f'{n} long' for n in names)}")
-    return rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in names])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text").mapInArrow(run, f"doc_id long, k1 long, k2 long, {', '.join(f'{n} long' for n in names)}")
+    return rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("key", F.monotonically_increasing_id())
 
 
 def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, block: int = BUCKET) -> DataFrame:
@@ -120,11 +125,12 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
     return bucket_blocks(keyed, ["key", "x", "y", "z"], block).mapInArrow(run, "a long, b long").distinct()
 
 
-def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST, words: int = SHINGLE) -> DataFrame:
-    """(a, b): the texts of large crowds that are similar to their crowd's centre b. texts: (key, crowd, text); large: (crowd)."""
-    inside = texts.join(large, "crowd", "left_semi")
+def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST, words: int = SHINGLE, few: bool = False) -> DataFrame:
+    """(a, b): the texts of large crowds that are similar to their crowd's centre b. texts: (key, crowd, text); large: (crowd). few: keys of texts were counted to be few enough for a broadcast, so that texts needn't move to meet them."""
+    told = F.broadcast if few else lambda df: df
+    inside = texts.join(told(large), "crowd", "left_semi")
     drawn = inside.groupBy("crowd").agg(F.min(F.struct(F.xxhash64(F.lit("centre"), "key").alias("draw"), "key")).alias("c")).select("crowd", F.col("c.key").alias("b"))
-    centres = texts.join(drawn.withColumnRenamed("b", "key"), ["crowd", "key"]).select("crowd", F.col("key").alias("b"), F.col("text").alias("centre"))
+    centres = texts.join(told(drawn.withColumnRenamed("b", "key")), ["crowd", "key"]).select("crowd", F.col("key").alias("b"), F.col("text").alias("centre"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -165,14 +171,15 @@ def links_among(sets: list[np.ndarray], roots: np.ndarray, least: float = LEAST)
     return out
 
 
-def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float = LEAST, block: int = BLOCK, words: int = SHINGLE) -> DataFrame:
-    """(a, b): links that, with those to centres, join the similar texts of each crowd. texts: (key, crowd, text); centred: (a, b) as from centre_links."""
+def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float = LEAST, block: int = BLOCK, words: int = SHINGLE, few: bool = False) -> DataFrame:
+    """(a, b): links that, with those to centres, join the similar texts of each crowd. texts: (key, crowd, text); centred: (a, b) as from centre_links; few: as there."""
+    told = F.broadcast if few else lambda df: df
     if centred is None:
         members = texts.withColumn("root", F.col("key")).withColumn("near", F.lit(False))
     else:
         # A centre is similar to itself.
         known = centred.unionByName(centred.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("key"), F.col("b").alias("root"))
-        members = texts.join(known, "key", "left").withColumn("near", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "key"))
+        members = texts.join(told(known), "key", "left").withColumn("near", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "key"))
     blocks = lambda flag: F.ceil(F.count_if(flag) / F.lit(block)).cast("int")
     sizes = members.groupBy("crowd").agg(blocks(~F.col("near")).alias("opens"), blocks(F.col("near")).alias("nears")).filter("opens > 0")
     own = F.pmod(F.xxhash64("key"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("opens"))).cast("int")
@@ -181,7 +188,7 @@ def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float
     # Open texts meet each other and those near the centre, which don't meet again among themselves.
     open_pairs = each(F.col("opens"), lambda o: met(0, F.least("own", o), F.greatest("own", o)))
     pairs = F.when(F.col("near"), each(F.col("opens"), lambda o: met(1, o, F.col("own")))).otherwise(F.concat(open_pairs, each(F.col("nears"), lambda c: met(1, F.col("own"), c))))
-    dealt = members.join(sizes, "crowd").withColumn("own", own).select("key", "root", "crowd", "text", F.inline(pairs))
+    dealt = members.join(told(sizes), "crowd").withColumn("own", own).select("key", "root", "crowd", "text", F.inline(pairs))
 
     def run(table: pa.Table) -> pa.Table:
         keys, roots = table["key"].to_numpy(), table["root"].to_numpy()
@@ -193,10 +200,11 @@ def crowd_links(texts: DataFrame, centred: DataFrame | None = None, least: float
 
 
 def similar_components(docs: DataFrame, sketched: DataFrame, parts: int, lanes: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """(node, root) of the text hashes that have a link; root is the smallest of the component and has no row of its own."""
+    """(node, root) of the keys of texts that have a link; root is the smallest of the component and has no row of its own."""
     crowds = components(candidates(sketched, parts, lanes))
     members = crowds.union(crowds.select("root", "root").distinct()).toDF("key", "crowd")
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(members, "key").groupBy("key").agg(F.first("crowd").alias("crowd"), F.first("text").alias("text"))
+    members = members.join(sketched.select("key", "k1", "k2"), "key")
+    texts = docs.select(*text_key(), "text").join(members, ["k1", "k2"]).groupBy("key").agg(F.first("crowd").alias("crowd"), F.first("text").alias("text"))
     texts = checkpointed(texts)
     large = checkpointed(texts.groupBy("crowd").count().filter(F.col("count") > block).select("crowd"))
     if large.isEmpty():
@@ -214,10 +222,10 @@ def keep_one_row(docs: DataFrame) -> DataFrame:
     parts, lanes = tables_for(docs.count())
     sketched = checkpointed(sketches(docs, lanes))
     roots = similar_components(docs, sketched, parts, lanes)
-    labelled = sketched.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    kept = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("k"))
+    labelled = sketched.select("key", "k1", "k2", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k1", "k2")).alias("k"))
     # An id as text without null, so that the join and the choice of one row are dealt out by the same columns.
     name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("none"))
-    kept = kept.select(name(F.col("k.least")).alias("id"), F.col("k.key").alias("key"))
-    rows = docs.select(name(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("key"), F.struct(*docs.columns).alias("row"))
-    return rows.join(kept, ["id", "key"]).dropDuplicates(["id", "key"]).select("row.*")
+    kept = kept.select(name(F.col("k.least")).alias("id"), "k.k1", "k.k2")
+    rows = docs.select(name(F.col("doc_id")).alias("id"), *text_key(), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("row.*")

@@ -8,11 +8,27 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siteweave.llm import near_copies, packing
-from tests.llm.test_llm import brute_fingerprint, brute_lines, components_of, corpus
+from tests.llm.test_llm import brute_lines, corpus
+
+
+def one_of_each(rows):
+    """One row of each component of texts whose sets of five-word shingles have a similarity of 0.8."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return [min((x for x, q in zip(rows, root) if q == r), key=lambda x: (x[0] is None, x[0])) for r in dict.fromkeys(root)]
 
 
 def test_pipeline(spark, tmp_path):
     rows = [x for n, x in enumerate(corpus()) if x not in corpus()[:n]]
+    rng = random.Random(1)
+    words = [f"k{rng.randrange(10**6)}" for _ in range(120)]
+    # Near copies at 0.92 and 0.72, which four bits of a SimHash don't tell.
+    rows += [(500, " ".join(words)), (501, " ".join([*words, "a5", "b5", "c5", "d5", "e5", "f5", "g5", "h5", "i5", "j5"])), (502, " ".join([*words[:100], *[f"m{i}" for i in range(18)]]))]
     passage = "quo vadis domine sed libera nos a malo semper et ubique"
     rows += [(400, "x1 x2 x3 x4 x5 x6 " + passage + " y1 y2 y3"), (401, "Quo, VADIS " + passage[10:])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -22,8 +38,7 @@ def test_pipeline(spark, tmp_path):
     left = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
     cleaned = brute_lines(left)
     left = [(i, cleaned[i]) for i, _ in left]
-    of = components_of({i: brute_fingerprint(t) for i, t in left}, 4)
-    left = [(i, t) for i, t in left if of[i] == i]
+    left = one_of_each(left)
     grams = passage.split()
     windows = {tuple(grams[k : k + 10]) for k in range(len(grams) - 9)}
     words = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
@@ -49,6 +64,22 @@ def test_stages_return_documents(spark):
         assert docs.columns == columns
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns of any name, repeated rows and empty tables pass each stage."""
+    spark.createDataFrame([(1, "quo vadis domine sed libera nos a malo semper et ubique")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row", "letter", "__letter", "id", "__id", "key", "__key", "k1", "k2", "i", "k", "crowd", "node", "near"]
+    texts = [(1, "alpha beta gamma delta " * 5), (1, "alpha beta gamma delta " * 5), (2, "one line\nand more"), (None, "some other words here"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", *range(len(names))) for i, t in texts], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 2, None]
+    assert all(r["near"] == len(names) - 1 for r in left.collect())
+    assert len({r["doc_id"] for r in corpus_pipeline.packed(spark, left, str(tmp_path)).collect()}) == 3
+
+
 def test_near_dedup_keeps_one_row_of_similar_texts(spark):
     rng = random.Random(4)
     base = [[f"v{rng.randrange(5000)}" for _ in range(300)] for _ in range(12)]
