@@ -45,6 +45,8 @@ ROW = 64
 BUCKET = 4096
 #: Rows of a table that may be broadcast (about 40 bytes each).
 SMALL = 800_000
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 #: Largest set size for which bands are made; the last band has no end.
 LARGEST = 1 << 40
 SALTS = 16
@@ -207,7 +209,7 @@ def block_pairs(keyed: DataFrame, crowded: DataFrame, block: int = BUCKET) -> Da
 def near_pairs(lengths: np.ndarray, node: np.ndarray, meta: np.ndarray, least: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs of one bucket each that sizes and parities allow. apart: a number for each position; only pairs with different ones count, below 0 all."""
     size, part, odd = meta >> 33, (meta >> 32 & 1).astype(bool), meta.astype(np.uint32)
-    for a, b in pairs_within(lengths):
+    for a, b in pairs_within(lengths, PAIRS):
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         stay = (100 * low >= least * high) & ~(part[a] & part[b]) & (node[a] != node[b])
         if apart is not None:
@@ -263,14 +265,15 @@ def links(docs: DataFrame, sets: DataFrame, words: int = SHINGLE, least: int = L
     members = crowds.union(crowds.select("root", "root").distinct()).toDF("node", "crowd")
     places = checkpointed(sets.select("node", "rep.*").join(members, "node").select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "th", F.col("node").alias("key"), "crowd"))
     rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    found = rows.join(F.broadcast(places) if places.count() <= SMALL else places, ["none", "id", "th"])
+    few = places.count() <= SMALL
+    found = rows.join(F.broadcast(places) if few else places, ["none", "id", "th"])
     texts = checkpointed(found.groupBy("key").agg(F.first("crowd").alias("crowd"), F.first("text").alias("text")))
     large = checkpointed(texts.groupBy("crowd").count().filter(F.col("count") > crowd).select("crowd"))
     share = least / 100
     if large.isEmpty():
-        return components(crowd_links(texts, None, share, crowd, words))
-    centred = checkpointed(centre_links(texts, large, share, words))
-    return components(centred.unionByName(crowd_links(texts, centred, share, crowd, words)))
+        return components(crowd_links(texts, None, share, crowd, words, few))
+    centred = checkpointed(centre_links(texts, large, share, words, few))
+    return components(centred.unionByName(crowd_links(texts, centred, share, crowd, words, few)))
 
 
 def similar_documents(docs: DataFrame, words: int = SHINGLE, least: int = LEAST, row: float = ROW) -> DataFrame:
