@@ -1,19 +1,14 @@
-"""Least-cost paths over cost rasters: windows around sources, or whole rasters by relaxation."""
+"""Least-cost paths over cost rasters in windows around sources; ``relaxation`` has whole rasters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import sqrt
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteweave.functions.spatial import DIRECTIONS
-from siteweave.session import checkpointed
+from siteweave.operators.relaxation import STEPS, relaxed_costs
 
 
 def clip_windows(sources: DataFrame, targets: DataFrame, buffer: float = 1.05) -> DataFrame:
@@ -33,9 +28,6 @@ def clipped_cells(cells: DataFrame, windows: DataFrame, tile: int = 64) -> DataF
     return w.join(placed, ["tr", "tc"]).filter(inside).drop("tr", "tc", "sr", "sc", "radius")
 
 
-STEPS = [(r, c, sqrt(r * r + c * c)) for _, r, c in DIRECTIONS]
-
-
 def least_costs(cost: np.ndarray, start: tuple[int, int]) -> np.ndarray:
     """Least cumulative costs from the start; an edge costs the mean of its cells times its length, cells of cost 0 or less are closed.
 
@@ -128,88 +120,8 @@ def path_totals(paths: DataFrame, cells: DataFrame, layers: list[str], invariant
     return out.withColumn("cost", total)
 
 
-def relaxed_costs(cells: DataFrame, sources: DataFrame, cost: str = "routing", tile: int = 128) -> DataFrame:
-    """(row, col, best): least cumulative cost from the nearest source over a whole raster; null where none leads.
-
-    The raster is held in square tiles, each relaxed inside by one task. Then
-    only the borders of tiles whose borders improved travel to the tiles next
-    to them, until none improves; tiles are cut by reliable checkpoints, so
-    any part of the raster can be on any executor. sources: (row, col).
-    """
-    start = sources.select("row", "col").distinct().withColumn("__s", F.lit(True))
-    placed = cells.select("row", "col", F.col(cost).cast("double").alias("c")).join(start, ["row", "col"], "left")
-    tiles = placed.select(F.floor(F.col("row") / tile).cast("int").alias("ty"), F.floor(F.col("col") / tile).cast("int").alias("tx"), "row", "col", "c", F.when(F.col("__s") & (F.col("c") > 0), 0.0).otherwise(float("inf")).alias("best"))
-    kinds = "ty int, tx int, costs binary, best binary, moved boolean"
-
-    def settle(costs: np.ndarray, best: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        """Relaxes a tile with a margin of one cell, whose costs and values are the neighbours'."""
-        flat, values, width = costs.ravel(), best.ravel(), costs.shape[1]
-        waiting = np.flatnonzero(np.isfinite(values)) if given is None else given
-        while len(waiting):
-            later = []
-            for r, c, length in STEPS:
-                to = waiting + r * width + c
-                ok = (to >= 0) & (to < len(flat)) & (np.abs(to % width - waiting % width) <= 1)
-                i, j = waiting[ok], to[ok]
-                new = values[i] + (flat[i] + flat[j]) / 2 * length
-                better = (flat[i] > 0) & (flat[j] > 0) & (new < values[j] - 1e-12)
-                np.minimum.at(values, j[better], new[better])
-                later.append(j[better])
-            waiting = np.unique(np.concatenate(later))
-        return values.reshape(costs.shape)
-
-    def first(key: tuple, rows: pa.Table) -> pa.Table:
-        costs, best = np.full((tile, tile), -1.0), np.full((tile, tile), np.inf)
-        y, x = np.asarray(rows["row"]) - key[0].as_py() * tile, np.asarray(rows["col"]) - key[1].as_py() * tile
-        costs[y, x] = np.nan_to_num(np.asarray(rows["c"]), nan=-1.0)
-        best[y, x] = np.asarray(rows["best"])
-        best = settle(costs, best, None)
-        return pa.table({"ty": pa.array([key[0].as_py()], pa.int32()), "tx": pa.array([key[1].as_py()], pa.int32()), "costs": [costs.tobytes()], "best": [best.tobytes()], "moved": [bool(np.isfinite(best).any())]})
-
-    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each tile's edge rows, columns and corners for the tile that they lie next to."""
-        cut = {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}
-        for batch in batches:
-            out = []
-            for ty, tx, costs, best in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                c, b = (np.frombuffer(v).reshape(tile, tile) for v in (costs, best))
-                for r, k, _ in STEPS:
-                    out.append((ty + r, tx + k, -r, -k, c[cut[r], cut[k]].tobytes(), b[cut[r], cut[k]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 6, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["ty", "tx", "r", "k", "costs", "best"])
-
-    def exchange(own: pa.Table, given: pa.Table) -> pa.Table:
-        if not len(own) or not len(given):
-            return own.set_column(4, "moved", pa.array([False] * len(own), pa.bool_()))
-        costs, best = np.full((tile + 2, tile + 2), -1.0), np.full((tile + 2, tile + 2), np.inf)
-        held, before = (np.frombuffer(own[n][0].as_py()).reshape(tile, tile) for n in ("costs", "best"))
-        costs[1:-1, 1:-1], best[1:-1, 1:-1] = held, before
-        side = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
-        for r, k, c, b in zip(*[given[n].to_pylist() for n in ("r", "k", "costs", "best")]):
-            shape = best[side[r], side[k]].shape
-            costs[side[r], side[k]], best[side[r], side[k]] = np.frombuffer(c).reshape(shape), np.frombuffer(b).reshape(shape)
-        margin = np.ones(best.shape, bool)
-        margin[1:-1, 1:-1] = False
-        best = settle(costs, best, np.flatnonzero((margin & np.isfinite(best)).ravel()))[1:-1, 1:-1]
-        moved = bool((best < before).any())
-        return own.set_column(3, "best", pa.array([np.ascontiguousarray(best).tobytes()], pa.binary())).set_column(4, "moved", pa.array([moved], pa.bool_()))
-
-    state = checkpointed(tiles.groupBy("ty", "tx").applyInArrow(first, kinds))
-    while not state.filter("moved").isEmpty():
-        sent = state.filter("moved").drop("moved").mapInArrow(borders, "ty int, tx int, r int, k int, costs binary, best binary")
-        state = checkpointed(state.groupBy("ty", "tx").cogroup(sent.groupBy("ty", "tx")).applyInArrow(exchange, kinds))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ty, tx, costs, best in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                c, b = np.frombuffer(costs), np.frombuffer(best)
-                some = np.flatnonzero(c > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(some // tile + ty * tile, pa.int32()), pa.array(some % tile + tx * tile, pa.int32()), pa.array(b[some], mask=~np.isfinite(b[some]))], names=["row", "col", "best"])
-
-    return state.drop("moved").mapInArrow(unpacked, "row int, col int, best double")
-
-
 def port_distances(ocean: DataFrame, ports: DataFrame, cell_cost: float = 90.0) -> DataFrame:
-    """(row, col, km): distance by sea to the nearest port's cell; -1 on land, null where no port leads to. ocean: (row, col, dist_to_coast > 0 at sea); ports: (row, col)."""
+    """(row, col, km): distance by sea to the nearest port's cell; -1 on land and where no port leads to. ocean: (row, col, dist_to_coast > 0 at sea); ports: (row, col)."""
     costs = ocean.withColumn("routing", F.when(F.col("dist_to_coast") > 0, cell_cost).otherwise(-1.0))
     best = relaxed_costs(costs, ports)
     return ocean.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.coalesce(F.col("best") / 1000, F.lit(-1.0)).alias("km"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions import costs
-from siteweave.operators import clustering, routing, spur_lines, transmission
+from siteweave.operators import clustering, relaxation, routing, spur_lines, transmission
 from siteweave.plans.registry import CELLS, LINES, NATIONS, ORDERS, PLANTS, SITES, VECTORS, View, query
 
 FEATURES = View("orders", {
@@ -99,10 +99,20 @@ def _surface(cells: DataFrame) -> DataFrame:
 @query(RELAX + "SELECT c.row, c.col, round(best, 6) AS best FROM c JOIN d ON c.id = d.id", cells=CELLS)
 def grid_least_cost(cells):
     surface = _surface(cells)
-    best = routing.relaxed_costs(surface, surface.filter("row % 20 = 7 AND col % 20 = 9 AND routing > 0"))
+    best = relaxation.relaxed_costs(surface, surface.filter("row % 20 = 7 AND col % 20 = 9 AND routing > 0"))
     return best.filter("best is not null").withColumn("best", F.round("best", 6))
 
 
+@query(RELAX + "SELECT c.id AS path, round(best, 6) AS cost, best > 0 AS moves FROM c JOIN d ON c.id = d.id WHERE c.row % 3 = 1", cells=CELLS)
+def whole_raster_paths(cells):
+    """What the cells of the traced path from every third row to the nearest source cost together, all steps between neighbours."""
+    surface = _surface(cells)
+    sources = surface.filter("row % 20 = 7 AND col % 20 = 9 AND routing > 0")
+    ends = surface.filter("row % 3 = 1").select((F.col("row") * 50 + F.col("col")).alias("path"), "row", "col")
+    out = relaxation.path_costs(relaxation.whole_raster_paths(surface, sources, ends, tile=32), surface)
+    return out.filter("longest < 1.5").select("path", F.round("cost", 6).alias("cost"), (F.col("cells") > 1).alias("moves"))
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT row, col, row * 50 + col AS id, land > 1 AS sea FROM {cells}), g AS (SELECT * FROM c WHERE sea),
 e AS (SELECT a.id AS a, b.id AS b, 90 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) AS w FROM g a JOIN g b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),

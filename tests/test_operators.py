@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siteweave.functions import costs
 from siteweave.functions.spatial import project_on_segment
-from siteweave.operators import allocation, cleaning, clustering, exclusion_rules, nodes, offshore, raster, routing, spatial_joins, spur_lines, timeseries, transmission
+from siteweave.operators import allocation, cleaning, clustering, exclusion_rules, nodes, offshore, raster, relaxation, routing, spatial_joins, spur_lines, timeseries, transmission
+from siteweave.session import checkpointed
 from siteweave.schema import coordinate_columns, rename_absent, rename_prefixes, require, select_present
 from siteweave.sources import tables
 from siteweave.streaming import streams
@@ -77,7 +78,7 @@ def test_least_cost_paths_and_totals(spark):
     paths = routing.least_cost_paths(cells, sources, targets, 1.5)
     assert rows(paths.filter("step is null"), "target") == [("wall",)]
     end = paths.filter("target = 't'").orderBy(F.desc("step")).first()
-    relaxed = routing.relaxed_costs(cells, sources)
+    relaxed = relaxation.relaxed_costs(cells, sources)
     assert end["cumulative"] == pytest.approx(relaxed.filter("row = 0 and col = 4").first()["best"])
     total = routing.path_totals(paths.filter("target = 't'"), cells, ["routing"], cell_km=1.0).first()
     assert total["dist_km"] == pytest.approx(end["cumulative"]) and total["cost"] == pytest.approx(end["cumulative"])
@@ -183,7 +184,7 @@ def test_tiles_of_any_size_give_the_same_costs(spark):
                 offers = [want[r + y, c + x] + (cost[r, c] + cost[r + y, c + x]) / 2 * n for y, x, n in routing.STEPS if 0 <= r + y < 23 and 0 <= c + x < 31 and cost[r + y, c + x] > 0]
                 assert want[r, c] == pytest.approx(min(offers, default=np.inf))
     for tile in (5, 64):
-        got = {(r["row"], r["col"]): r["best"] for r in routing.relaxed_costs(cells, spark.createDataFrame([(3, 4)], "row int, col int"), tile=tile).collect()}
+        got = {(r["row"], r["col"]): r["best"] for r in relaxation.relaxed_costs(cells, spark.createDataFrame([(3, 4)], "row int, col int"), tile=tile).collect()}
         assert len(got) == (cost > 0).sum() and all(want[k] == pytest.approx(v) if v is not None else np.isinf(want[k]) for k, v in got.items())
 
 
@@ -355,3 +356,46 @@ def test_tau_b_by_sorting():
         assert got == want or got == pytest.approx(want)
     ranks = np.array([rng.randrange(50) for _ in range(300)])
     assert timeseries.inversions(ranks) == sum(int(ranks[i] > ranks[j]) for j in range(300) for i in range(j))
+
+
+def test_paths_over_a_whole_raster(spark):
+    """Paths of all ends at once, over tiles of any size: they end at a source, step between neighbours, and cost what the cell's cost says."""
+    rng = np.random.default_rng(9)
+    cost = np.where(rng.random((26, 34)) < 0.3, -1.0, rng.integers(1, 9, (26, 34)).astype(float))
+    cost[3, 4] = cost[20, 30] = 2.0
+    cost[10:13, 10:13] = -1.0
+    cost[11, 11] = 1.0  # shut in
+    cells = spark.createDataFrame([(r, c, float(cost[r, c]) if (r, c) != (0, 0) else None) for r in range(26) for c in range(34)], "row int, col int, routing double")
+    cost[0, 0] = -1.0
+    sources = spark.createDataFrame([(3, 4), (20, 30), (20, 30)], "row int, col int")
+    best = np.minimum(routing.least_costs(cost, (3, 4)), routing.least_costs(cost, (20, 30)))
+    places = [(f"p{r}-{c}", r, c) for r in range(0, 26, 3) for c in range(0, 34, 2)] + [("source", 3, 4), ("shut", 11, 11), ("none", None, 3), ("outside", 99, 99), ("again", 0, 2)]
+    ends = spark.createDataFrame(places, "path string, row int, col int")
+    for tile in (5, 16, 64):
+        found = {}
+        for r in relaxation.whole_raster_paths(cells, sources, ends, tile=tile).orderBy("path", "step").collect():
+            found.setdefault(r["path"], []).append((r["step"], r["row"], r["col"]))
+        for name, row, col in places:
+            if row is None or row > 25 or not np.isfinite(best[row, col]) or cost[row, col] <= 0:
+                assert name not in found
+                continue
+            steps = found[name]
+            assert [s for s, _, _ in steps] == list(range(len(steps))) and steps[0][1:] == (row, col) and steps[-1][1:] in ((3, 4), (20, 30))
+            paid = 0.0
+            for (_, a, b), (_, c, d) in zip(steps, steps[1:]):
+                assert max(abs(a - c), abs(b - d)) == 1
+                paid += (cost[a, b] + cost[c, d]) / 2 * math.hypot(a - c, b - d)
+            assert paid == pytest.approx(best[row, col])
+    assert relaxation.whole_raster_paths(cells, sources.limit(0), ends).count() == 0
+    assert relaxation.whole_raster_paths(cells.limit(0), sources, ends).count() == 0
+
+
+def test_only_active_tiles_are_written(spark, monkeypatch):
+    """A corridor of tiles beside many that nothing reaches: rounds write the corridor's tiles alone."""
+    cells = spark.createDataFrame([(r, c, 1.0 if r < 4 else -1.0) for r in range(16) for c in range(24)], "row int, col int, routing double")
+    written = []
+    monkeypatch.setattr(relaxation, "checkpointed", lambda df: written.append(kept := checkpointed(df)) or kept)
+    relaxation.relaxed_tiles(cells, spark.createDataFrame([(0, 0)], "row int, col int"), tile=4)
+    rounds = [w.count() for w in written if w.columns == ["ty", "tx", "costs", "best", "round"]]
+    # All 24 tiles first, then one tile of the corridor in each round, none in the last; in between and at the end changes are put together.
+    assert [n for n in rounds if n < 24] == [1, 1, 1, 1, 1, 0]
