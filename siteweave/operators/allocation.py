@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,21 +179,3 @@ def sequential_builds(plants: DataFrame, sites: DataFrame, market: str = "market
 def shared_sites(builds: DataFrame) -> DataFrame:
     """(gid, n): sites that several plants build at."""
     return builds.groupBy("gid").agg(F.countDistinct("plant").alias("n")).filter("n > 1")
-
-
-def stateful_remaining(requests: DataFrame, capacities: dict[int, float]) -> DataFrame:
-    """For streams of (gid, wanted): what each site still gives, its remaining capacity kept as state; any number of sites, unknown ones give nothing."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left = state.get[0] if state.exists else float(capacities.get(key[0], 0.0))
-        for rows in parts:
-            out = []
-            for wanted in rows["wanted"]:
-                built = min(left, float(wanted))
-                left -= built
-                out.append((key[0], float(wanted), built))
-            yield pd.DataFrame(out, columns=["gid", "wanted", "built"])
-        state.update((left,))
-
-    return requests.groupBy("gid").applyInPandasWithState(take, "gid long, wanted double, built double", "left double", "append", GroupStateTimeout.NoTimeout)

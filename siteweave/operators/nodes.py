@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from siteweave.functions.text import class_of, zone_of
 from siteweave.operators.allocation import merge_small
+from siteweave.operators.quantiles import percentiles
 from siteweave.operators.spatial_joins import nearest_by_degrees
 
 
@@ -60,9 +61,9 @@ def bus_builds(buses: DataFrame, builds: DataFrame, curve: DataFrame) -> DataFra
 
 
 def percentile_distance(df: DataFrame, distance: str, share: float = 0.9, keys: tuple[str, ...] = (), miles: bool = False) -> DataFrame:
-    """(keys, distance): the exact percentile of distances, in km."""
+    """(keys, distance): the exact percentile of distances, in km, however many of them a group has."""
     value = F.col(distance) * 1.6 if miles else F.col(distance)
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias(distance))
+    return percentiles(df, value, [share], keys).withColumnRenamed("p0", distance)
 
 
 def node_map(points: DataFrame, nodes: DataFrame, table: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteweave.functions.spatial import distance, haversine_km, on_sphere
+from siteweave.operators.quantiles import percentiles
 from siteweave.session import checkpointed
 
 
@@ -93,7 +94,7 @@ def site_pairs(a: DataFrame, b: DataFrame, factor: float = 1.5) -> DataFrame:
     a_larger = a.count() >= b.count()
     q, t = (a, b) if a_larger else (b, a)
     near = nearest_by_degrees(q.select(F.col("gid").alias("q"), "lat", "lon"), t.select(F.col("gid").alias("t"), "lat", "lon"), "q", "t")
-    limit = near.agg(F.percentile("distance", F.lit(0.5))).first()[0]
+    limit = percentiles(near, "distance", [0.5]).first()[0]
     names = ("q", "t") if a_larger else ("t", "q")
     kept = near.filter(F.col("distance") <= (limit if limit is not None else 0.0) * factor)
     return kept.select(F.col(names[0]).alias("a_gid"), F.col(names[1]).alias("b_gid"), "distance")

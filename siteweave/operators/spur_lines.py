@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import ceil, hypot
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +24,36 @@ def sink_radius(points: DataFrame, features: DataFrame, sinks: int = 2, buffer:
 
 
 def features_within(windows: DataFrame, features: DataFrame, tile: int = 64, growth: float = 1.2) -> tuple[DataFrame, DataFrame]:
-    """Windows wide enough to hold a feature, and (source, gid) of the features within each one's circle. Circles without a feature grow."""
-    done, left, found, nothing = [], windows, [], features.isEmpty()
+    """Windows wide enough to hold a feature, and (source, gid) of the features within each one's circle.
+
+    Circles without a feature grow until they reach all features. Points and
+    features without a place take no part and come in neither table; without
+    features the windows stay as they are.
+    """
+    placed = features.select("gid", "row", "col").dropna()
+    left, ends = windows.dropna(subset=["row", "col", "radius"]), [f(c) for c in ("row", "col") for f in (F.min, F.max)]
+    there, here = placed.agg(*ends).first(), left.agg(*ends).first()
+    nothing = there[0] is None or here[0] is None
+    # No circle of this radius misses a feature.
+    reach = 0.0 if nothing else hypot(*[max(there[i + 1], here[i + 1]) - min(there[i], here[i]) for i in (0, 2)]) + 1
+    done, found, widest = [], [], False
     while True:
         span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius")) / tile), F.floor((F.col(c) + F.col("radius")) / tile)))
         asked = left.select("source", F.col("row").alias("sr"), F.col("col").alias("sc"), "radius", span("row").alias("ty"), "col").withColumn("tx", span("col")).drop("col")
-        placed = features.select("gid", "row", "col", F.floor(F.col("row") / tile).alias("ty"), F.floor(F.col("col") / tile).alias("tx"))
+        tiled = placed.select("*", F.floor(F.col("row") / tile).alias("ty"), F.floor(F.col("col") / tile).alias("tx"))
         inside = F.pow(F.col("row") - F.col("sr"), 2) + F.pow(F.col("col") - F.col("sc"), 2) <= F.pow("radius", 2)
-        met = checkpointed(asked.join(placed, ["ty", "tx"]).filter(inside).select("source", "gid").distinct())
+        met = checkpointed(asked.join(tiled, ["ty", "tx"]).filter(inside).select("source", "gid").distinct())
         some = met.select("source").distinct()
         found.append(met)
+        if nothing or widest:
+            done.append(left)
+            break
         done.append(left.join(some, "source", "left_semi"))
         left = checkpointed(left.join(some, "source", "left_anti"))
-        if nothing or left.isEmpty():
+        if left.isEmpty():
             break
-        left = left.withColumn("radius", F.greatest(F.col("radius") + 1, F.ceil(F.col("radius") * growth)).cast("int"))
+        left = left.withColumn("radius", F.least(F.greatest(F.col("radius") + 1, F.ceil(F.col("radius") * growth)), F.lit(ceil(reach))).cast("int"))
+        widest = left.filter(F.col("radius") < reach).isEmpty()
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, found)
 
 

@@ -1,9 +1,13 @@
-"""The grouped time-series operators over streams."""
+"""The grouped time-series operators over streams, joins of streams, and state that starts from a table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from siteweave.operators.timeseries import resample
 
@@ -33,3 +37,71 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 def write_parquet(stream: DataFrame, path: str, checkpoint: str):
     """Appends a stream to parquet files, with its progress in the checkpoint folder; stops when all that has arrived is written."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def forecast_errors(forecasts: DataFrame, actuals: DataFrame, within: str = "10 minutes", late: str = "1 hour", how: str = "inner") -> DataFrame:
+    """(gid, ts, forecast, actual_ts, actual, error): each forecast with the actual values of its gid up to ``within`` after it.
+
+    Both are (gid, ts, value), streams or tables. Rows up to ``late`` behind
+    count, later ones are dropped; state is kept only as long as a partner can
+    come. With ``leftOuter`` a forecast without a partner comes once none can
+    come any more. Rows with nulls in gid or ts have no partner.
+    """
+    f = forecasts.select(F.col("gid"), F.col("ts"), F.col("value").alias("forecast")).withWatermark("ts", late)
+    a = actuals.select(F.col("gid").alias("actual_gid"), F.col("ts").alias("actual_ts"), F.col("value").alias("actual")).withWatermark("actual_ts", late)
+    near = F.expr(f"gid = actual_gid AND actual_ts >= ts AND actual_ts <= ts + INTERVAL {within}")
+    return f.join(a, near, how).select("gid", "ts", "forecast", "actual_ts", "actual", (F.col("forecast") - F.col("actual")).alias("error"))
+
+
+class RemainingCapacity(StatefulProcessor):
+    """Serves requests (gid, ts, wanted) from what a site has left; requests after it closes get nothing. State starts from a table (gid, capacity, closes); unknown sites give nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.site = handle, handle.getValueState("site", "left double, closes long")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        """The table's row of a site; of several the first, a null capacity is none."""
+        row = initialState.iloc[0]
+        closes = None if pd.isna(row["closes"]) else int(row["closes"].timestamp() * 1000)
+        self.site.update((0.0 if pd.isna(row["capacity"]) else float(row["capacity"]), closes))
+        if closes is not None:
+            self.handle.registerTimer(closes)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        left, closes = self.site.get() or (0.0, None)
+        for part in rows:
+            out = []
+            # Requests of a batch come in order of time, the smaller one first of equals.
+            for ts, wanted in part.sort_values(["ts", "wanted"])[["ts", "wanted"]].itertuples(index=False):
+                shut = closes is not None and ts.timestamp() * 1000 > closes
+                built = 0.0 if shut or pd.isna(wanted) else min(left, max(0.0, float(wanted)))
+                left -= built
+                out.append((key[0], wanted, built, False))
+            yield pd.DataFrame(out, columns=["gid", "wanted", "built", "closed"])
+        self.site.update((left, closes))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The stream's time has passed the site's end: what it has left is told once."""
+        left, closes = self.site.get() or (0.0, None)
+        self.site.update((0.0, closes))
+        yield pd.DataFrame({"gid": [key[0]], "wanted": [None], "built": [left], "closed": [True]}).astype({"wanted": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def remaining_capacity(requests: DataFrame, sites: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(gid, wanted, built, closed): what each request of a stream (gid, ts, wanted) gets of its site's capacity, and, closed, what a site has left when the stream's time has passed its ``closes``.
+
+    sites: a table (gid, capacity, closes timestamp or null), spread over the
+    state store by gid, so that any number of sites can have state. The session
+    must keep state in RocksDB (``ROCKSDB``).
+    """
+    initial = sites.select("gid", F.col("capacity").cast("double").alias("capacity"), "closes").groupBy("gid")
+    timed = requests.select("gid", "ts", F.col("wanted").cast("double").alias("wanted")).withWatermark("ts", late)
+    kind = dict(requests.dtypes)["gid"]
+    return timed.groupBy("gid").transformWithStateInPandas(RemainingCapacity(), f"gid {kind}, wanted double, built double, closed boolean", "Append", "EventTime", initial)
+
+
+#: The setting under which state of this kind is kept.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

@@ -202,6 +202,19 @@ def test_features_within_growing_circles(spark):
     assert rows(met, "source", "gid") == [(1, 7), (2, 8)] and wide.filter("source = 2").first()["radius"] >= 10
 
 
+def test_circles_end_and_nulls_take_no_part(spark):
+    """Circles grow until they hold a feature, even far away; points and features without a place are left out."""
+    windows = spark.createDataFrame([(1, 0, 0, 1), (2, None, 5, 3), (3, 2, 2, 1)], "source int, row int, col int, radius int")
+    features = spark.createDataFrame([(7, 300, 400), (8, None, 4), (9, 4, None)], "gid int, row int, col int")
+    wide, met = spur_lines.features_within(windows, features)
+    assert rows(met, "source", "gid") == [(1, 7), (3, 7)] and {r["source"]: r["radius"] for r in wide.collect()}.keys() == {1, 3}
+    assert all(500 <= r["radius"] <= 502 for r in wide.filter("source = 1").collect())
+    wide, met = spur_lines.features_within(windows, features.filter("gid > 7"))
+    assert met.count() == 0 and rows(wide, "source", "radius") == [(1, 1), (3, 1)]
+    wide, met = spur_lines.features_within(windows.filter("source = 2"), features)
+    assert met.count() == 0 and wide.count() == 0
+
+
 def test_regional_costs_stay_in_the_zone(spark):
     cells = spark.createDataFrame([(r, c, 1.0, 1.0) for r in range(6) for c in range(6)], "row int, col int, routing double, cost double")
     points = spark.createDataFrame([(1, 0, 0, "a"), (2, 5, 5, "b")], "source int, row int, col int, zone string")
@@ -284,14 +297,6 @@ def test_writers_and_discovery(spark, tmp_path):
     assert rename_prefixes(spark.createDataFrame([(1, 2, 3)], "capacity int, mean_cf int, gid int"), {"cap": "pv_cap", "mean": "pv_res_gid"}).columns == ["pv_cap", "pv_res_gid", "gid"]
 
 
-def test_remaining_capacity_of_streams(spark, tmp_path):
-    spark.createDataFrame([(1, 4.0), (1, 4.0), (2, 1.0), (3, 1.0)], "gid long, wanted double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    requests = spark.readStream.schema("gid long, wanted double").parquet(str(tmp_path / "in"))
-    query = allocation.stateful_remaining(requests, {1: 6.0, 2: 5.0}).writeStream.outputMode("append").format("memory").queryName("built").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert rows(spark.table("built").groupBy("gid").agg(F.sum("built"))) == [(1, 6.0), (2, 1.0), (3, 0.0)]
-
-
 def test_drawn_counts_are_rounded_up(spark):
     df = spark.createDataFrame([(1, 4.0, 8), (2, 4.0, 8)], "gid int, capacity double, count int").withColumn("wanted", F.lit(5.0)).withColumn("k", F.lit(1))
     assert rows(allocation.drawn(df, ["k"], "wanted", [F.col("gid")]), "gid", "used", "n_used") == [(1, 4.0, 8), (2, 1.0, 2)]
