@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 from siteweave.operators.spatial_joins import nearest, nearest_by_degrees
 from siteweave.session import checkpointed
 
+#: Pairs of plant and site up to which a market is served by one task.
+SMALL_MARKET = 20_000_000
+
 
 def filled(df: DataFrame, keys: list[str], capacity: str, request: str, order: list[Column], out: str = "built") -> DataFrame:
     """Adds what is built of each resource when a request is filled in the order given."""
@@ -102,7 +107,7 @@ def greedy_builds(plants: DataFrame, sites: DataFrame, market: str = "market", k
     order = Window.partitionBy("plant").orderBy("distance", "gid")
     wanted, free, builds, turn = _wants(plants), checkpointed(sites.select("gid", "capacity")), [], 0
     while True:
-        hungry = checkpointed(plants.join(wanted.filter("wanted > 1e-9").select("plant"), "plant", "left_semi"))
+        hungry = checkpointed(plants.dropna(subset=["lat", "lon"]).join(wanted.filter("wanted > 1e-9").select("plant"), "plant", "left_semi"))
         near = nearest(hungry, sites, here, here, "plant", "gid", k + 1, by=market).withColumn("distance", F.round("distance", digits))
         # One more than needed, so that sites at the distance of the last one are told from it.
         last = near.filter(F.col("rank") == k + 1).select("plant", F.col("distance").alias("last"))
@@ -124,54 +129,155 @@ def greedy_builds(plants: DataFrame, sites: DataFrame, market: str = "market", k
 
 
 def served_in_order(plants: DataFrame, candidates: DataFrame, share: bool = True) -> DataFrame:
-    """(plant, gid, built) as if plants came one after the other in order of ``place`` and each filled its candidates in order of ``turn``.
+    """(plant, gid, turn, built) as if plants came one after the other in order of ``place`` and each filled its candidates in order of ``turn``.
 
     plants: (plant, place, wanted), places distinct; candidates: (plant, gid,
-    turn, capacity). Every plant starts as if it were alone; then, round after
-    round, each site says what the plants before a plant leave it and each
-    plant fills its candidates anew, until nothing changes. The first plants
-    in order are right after one round, and every round settles the next ones
-    at least. Sites and plants are windows of their own, so no task holds a
-    market. Without ``share`` a site serves one plant only.
+    turn, capacity) and, if only plants of one market can meet, market. Every
+    plant starts as if it were alone; then, round after round, each site says
+    what the plants before a plant leave it and each plant fills its
+    candidates anew, until nothing changes. Plants before a market's first
+    change are final: they leave the rounds with what they took, and so do
+    markets without any change. Sites and plants are windows of their own, so
+    no task holds a market. Without ``share`` a site serves one plant only,
+    and of its own turns at a site a plant uses the first.
     """
-    state = candidates.join(plants.select("plant", "place", "wanted"), "plant").withColumn("built", F.lit(0.0))
-    before = Window.partitionBy("gid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    state = candidates if "market" in candidates.columns else candidates.withColumn("market", F.lit(0))
+    state = state.join(plants.select("plant", "place", "wanted"), "plant").withColumn("built", F.lit(0.0))
+    before = Window.partitionBy("gid").orderBy("place", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("gid").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("plant").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum("built").over(before), F.lit(0.0))
-    free = F.greatest(F.lit(0.0), F.col("capacity") - taken) if share else F.when(taken > 0, 0.0).otherwise(F.col("capacity"))
-    state = checkpointed(state.select("plant", "gid", "turn", "capacity", "place", "wanted", "built"))
+    taken = lambda w: F.coalesce(F.sum("built").over(w), F.lit(0.0))
+    if share:
+        free = F.greatest(F.lit(0.0), F.col("capacity") - taken(before))
+    else:
+        first = F.row_number().over(Window.partitionBy("plant", "gid").orderBy("turn")) == 1
+        free = F.when((taken(others) > 0) | ~first, 0.0).otherwise(F.col("capacity"))
+    state = checkpointed(state.select("market", "plant", "gid", "turn", "capacity", "place", "wanted", "built"))
+    done = []
     while True:
         offered = state.withColumn("free", free)
         left = F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce(F.sum("free").over(earlier), F.lit(0.0)))
         now = checkpointed(offered.withColumn("new", F.least(left, F.col("free"))))
-        if now.filter(F.abs(F.col("new") - F.col("built")) > 1e-9).isEmpty():
-            return now.filter("built > 0").select("plant", "gid", "built")
-        state = now.withColumn("built", F.col("new")).drop("free", "new")
-
-
-def sequential_builds(plants: DataFrame, sites: DataFrame, market: str = "market", share: bool = True, k: int = 8) -> DataFrame:
+        changed = now.filter(F.abs(F.col("new") - F.col("built")) > 1e-9).groupBy("market").agg(F.min("place").alias("first"))
+        changed = checkpointed(changed)
+        split = now.drop("free").join(changed, "market", "left").withColumn("final", F.col("first").isNull() | (F.col("place") < F.col("first")))
+        split = checkpointed(split)
+        done.append(split.filter("final AND built > 0").select("plant", "gid", "turn", "built"))
+        if changed.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        used = split.filter("final").groupBy("gid").agg(F.sum("built").alias("used"))
+        rest = split.filter("NOT final").join(used, "gid", "left")
+        kept = F.greatest(F.lit(0.0), F.col("capacity") - F.coalesce("used", F.lit(0.0))) if share else F.when(F.coalesce("used", F.lit(0.0)) > 0, 0.0).otherwise(F.col("capacity"))
+        state = checkpointed(rest.select("market", "plant", "gid", "turn", kept.alias("capacity"), "place", "wanted", F.col("new").alias("built")))
+
+
+def _in_one_task(plants: DataFrame, sites: DataFrame, market: str, share: bool) -> DataFrame:
+    """(plant, gid, built) of markets small enough for a task each."""
+    kinds = {**dict(plants.dtypes), **dict(sites.dtypes)}
+
+    def serve(line: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        free, size, gid, lat, lon = (places[c].to_numpy() for c in ("capacity", "capacity", "gid", "lat", "lon"))
+        free = free.astype(float).copy()
+        for p in line.sort_values("place").itertuples():
+            wanted = p.wanted
+            far = np.sqrt((p.lat - lat) * (p.lat - lat) + (p.lon - lon) * (p.lon - lon))
+            for i in np.lexsort((gid, -size, far)):
+                if wanted <= 1e-12:
+                    break
+                built = min(wanted, free[i])
+                if built > 0:
+                    out.append((p.plant, gid[i], built))
+                    free[i] = free[i] - built if share else 0.0
+                    wanted -= built
+        return pd.DataFrame(out, columns=["plant", "gid", "built"]).astype({"built": float})
+
+    return plants.groupBy(market).cogroup(sites.groupBy(market)).applyInPandas(serve, f"plant {kinds['plant']}, gid {kinds['gid']}, built double")
+
+
+def sequential_builds(plants: DataFrame, sites: DataFrame, market: str = "market", share: bool = True, k: int = 8, small: int = SMALL_MARKET) -> DataFrame:
     """(plant, gid, built): in each market plants in order of ``place`` fill their nearest sites, larger sites first of equals.
 
     plants: (market, plant, place, lat, lon, wanted); sites: (market, gid, lat,
-    lon, capacity). A plant knows its ``k`` nearest sites; while some plants
-    are short and have sites that they don't know, k doubles and all is served
-    anew, so that no plant meets all sites of a market unless it needs them.
+    lon, capacity). A market of at most ``small`` pairs of plant and site is
+    served by one task. In larger ones a plant knows its ``k`` nearest sites;
+    while some plants are short and have sites that they don't know, k doubles
+    and all is served anew, so that no plant meets all sites of a market
+    unless it needs them. Null places take no part.
     """
     here = [F.col("lat"), F.col("lon")]
+    plants, sites = (df.dropna(subset=["lat", "lon"]) for df in (plants, sites))
     most = sites.groupBy(market).agg(F.count("*").alias("most"))
+    pairs = plants.groupBy(market).agg(F.count("*").alias("n")).join(most, market).filter(F.col("n") * F.col("most") > small)
+    large = checkpointed(pairs.select(market))
+    whole = _in_one_task(plants.join(large, market, "left_anti"), sites.join(large, market, "left_anti"), market, share)
+    if large.isEmpty():
+        return whole
+    plants, sites = (checkpointed(df.join(large, market, "left_semi")) for df in (plants, sites))
     order = Window.partitionBy("plant").orderBy("distance", F.desc("capacity"), "gid")
     while True:
         # One more than needed, so that sites at the distance of the last one are told from it.
-        near = nearest(plants, sites, here, here, "plant", "gid", k + 1, by=market).join(sites.select("gid", "capacity"), "gid")
+        near = nearest(plants, sites, here, here, "plant", "gid", k + 1, by=market).join(sites.select("gid", "capacity", F.col(market).alias("market")), "gid")
         last = near.filter(F.col("rank") == k + 1).select("plant", F.col("distance").alias("last"))
         known = near.join(last, "plant", "left").filter(F.col("last").isNull() | (F.col("distance") < F.col("last")))
-        known = checkpointed(known.withColumn("turn", F.row_number().over(order)).select("plant", "gid", "turn", "capacity"))
-        built = served_in_order(plants.select("plant", "place", "wanted"), known, share)
+        known = checkpointed(known.withColumn("turn", F.row_number().over(order)).select("plant", "gid", "turn", "capacity", "market"))
+        built = served_in_order(plants.select("plant", "place", "wanted"), known, share).drop("turn")
         got = built.groupBy("plant").agg(F.sum("built").alias("got"))
         knows = known.groupBy("plant").agg(F.count("*").alias("knows"))
         short = plants.join(most, market).join(got, "plant", "left").join(knows, "plant", "left")
         short = short.filter((F.col("wanted") - F.coalesce("got", F.lit(0.0)) > 1e-9) & (F.coalesce("knows", F.lit(0)) < F.col("most")))
         if short.isEmpty():
+            return whole.unionByName(built)
+        k *= 2
+
+
+def sequential_resource_builds(plants: DataFrame, resources: DataFrame, market: str = "market", share: bool = True, k: int = 8, small: int = SMALL_MARKET) -> DataFrame:
+    """(plant, gid, res_gid, built): as sequential_builds, where a supply-curve point holds several resources and a plant draws the one with most capacity left first, the smaller res_gid of equals.
+
+    resources: (market, gid, lat, lon, res_gid, capacity), a row for each
+    resource of a point. With ``share`` plants divide a resource; without, a
+    resource that any plant has built is closed in every point that lists it,
+    also for the same plant. A resource is listed in one market only. Null
+    places take no part.
+    """
+    plants, resources = (df.dropna(subset=["lat", "lon"]) for df in (plants, resources))
+    points = resources.groupBy(market, "gid", "lat", "lon").agg(F.sum("capacity").alias("capacity"))
+    if share:
+        builds = sequential_builds(plants, points, market, True, k, small).join(plants.select("plant", "place"), "plant")
+        kinds = {**dict(plants.dtypes), **dict(resources.dtypes)}
+
+        def draw(line: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            """A point's resources, by those plants that build at it."""
+            out, held = [], held.sort_values("res_gid")
+            left, res = held["capacity"].to_numpy().astype(float).copy(), held["res_gid"].to_numpy()
+            for p in line.sort_values("place").itertuples():
+                wanted = p.built
+                for i in np.argsort(-left, kind="stable"):
+                    if wanted <= 1e-12:
+                        break
+                    built = min(wanted, left[i])
+                    if built > 0:
+                        out.append((p.plant, p.gid, res[i], built))
+                        left[i] -= built
+                        wanted -= built
+            return pd.DataFrame(out, columns=["plant", "gid", "res_gid", "built"]).astype({"built": float})
+
+        return builds.groupBy("gid").cogroup(resources.groupBy("gid")).applyInPandas(draw, f"plant {kinds['plant']}, gid {kinds['gid']}, res_gid {kinds['res_gid']}, built double")
+    here = [F.col("lat"), F.col("lon")]
+    most = points.groupBy(market).agg(F.count("*").alias("most"))
+    order = Window.partitionBy("plant").orderBy("distance", F.desc("whole"), "gid", F.desc("capacity"), "res_gid")
+    whole = resources.select("gid", "res_gid", "capacity").join(points.select("gid", F.col("capacity").alias("whole"), F.col(market).alias("market")), "gid")
+    while True:
+        near = nearest(plants, points, here, here, "plant", "gid", k + 1, by=market)
+        last = near.filter(F.col("rank") == k + 1).select("plant", F.col("distance").alias("last"))
+        known = checkpointed(near.join(last, "plant", "left").filter(F.col("last").isNull() | (F.col("distance") < F.col("last"))).select("plant", "gid", "distance"))
+        asked = checkpointed(known.join(whole, "gid").withColumn("turn", F.row_number().over(order)))
+        served = served_in_order(plants.select("plant", "place", "wanted"), asked.select("plant", F.col("res_gid").alias("gid"), "turn", "capacity", "market"), False)
+        built = checkpointed(served.select("plant", "turn", "built").join(asked.select("plant", "turn", "gid", "res_gid"), ["plant", "turn"]).select("plant", "gid", "res_gid", "built"))
+        got = built.groupBy("plant").agg(F.sum("built").alias("got"))
+        knows = known.groupBy("plant").agg(F.count("*").alias("knows"))
+        short = plants.join(most, market).join(got, "plant", "left").join(knows, "plant", "left")
+        if short.filter((F.col("wanted") - F.coalesce("got", F.lit(0.0)) > 1e-9) & (F.coalesce("knows", F.lit(0)) < F.col("most"))).isEmpty():
             return built
         k *= 2
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions import costs
-from siteweave.operators import clustering, relaxation, routing, spur_lines, transmission
+from siteweave.operators import burning, clustering, relaxation, routing, spur_lines, transmission
 from siteweave.plans.registry import CELLS, LINES, NATIONS, ORDERS, PLANTS, SITES, VECTORS, View, query
 
 FEATURES = View("orders", {
@@ -113,6 +113,24 @@ def whole_raster_paths(cells):
     return out.filter("longest < 1.5").select("path", F.round("cost", 6).alias("cost"), (F.col("cells") > 1).alias("moves"))
 
 
+@query(RELAX + """, l AS (SELECT gid, gid * 2 + 0.5e0 AS x1, gid % 9 + 0.25e0 AS y1, gid * 2 + 7.75e0 AS x2, gid % 9 + 3.5e0 AS y2 FROM {nations}),
+k AS (
+    SELECT DISTINCT l.gid, c.row, c.col FROM l JOIN c ON floor(x1) = c.col AND floor(y1) = c.row OR floor(x2) = c.col AND floor(y2) = c.row
+        OR x1 <= c.col + 0.5e0 AND x2 > c.col + 0.5e0 AND floor(y1 + (c.col + 0.5e0 - x1) / (x2 - x1) * (y2 - y1)) = c.row
+)
+SELECT k.gid, k.row, k.col, round(d.best, 6) AS best FROM k JOIN c ON k.row = c.row AND k.col = c.col JOIN d ON d.id = c.id
+QUALIFY row_number() OVER (PARTITION BY k.gid ORDER BY round(d.best, 6), k.row, k.col) = 1
+""", cells=CELLS, nations=NATIONS)
+def cheapest_line_cells(cells, nations):
+    """Where each nation's line is reached most cheaply from the nearest source: lines become cells, of which the cheapest counts."""
+    surface = _surface(cells)
+    best = relaxation.relaxed_costs(surface, surface.filter("row % 20 = 7 AND col % 20 = 9 AND routing > 0"))
+    lines = nations.select("gid", (F.col("gid") * 2 + 0.5).alias("x1"), (F.col("gid") % 9 + 0.25).alias("y1"), (F.col("gid") * 2 + 7.75).alias("x2"), (F.col("gid") % 9 + 3.5).alias("y2"))
+    reached = burning.burned_lines(lines, burning.Grid(400, 50), shape="gid").join(best, ["row", "col"]).filter("best IS NOT NULL")
+    first = reached.groupBy("gid").agg(F.min(F.struct(F.round("best", 6).alias("best"), "row", "col")).alias("m"))
+    return first.select("gid", "m.row", "m.col", "m.best")
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT row, col, row * 50 + col AS id, land > 1 AS sea FROM {cells}), g AS (SELECT * FROM c WHERE sea),
 e AS (SELECT a.id AS a, b.id AS b, 90 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) AS w FROM g a JOIN g b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),

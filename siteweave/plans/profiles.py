@@ -227,12 +227,19 @@ def sliding_window_means(profiles):
     return out.select("gid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT user_id AS gid, round(min(value), 6) AS low, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id", profiles=PROFILES)
+@query("SELECT user_id AS gid, round(min(value), 6) AS low, round(max(value) - min(value * 3 + 1), 6) AS spread FROM events GROUP BY user_id", profiles=PROFILES)
 def user_statistics(profiles):
-    out = ts.with_statistics(profiles.withColumn("other", F.col("value")), ["gid"], {"low": lambda a, b: F.min(a), "spread": lambda a, b: F.max(a) - F.min(b)}, "value", "other")
+    out = ts.with_statistics(profiles.withColumn("other", F.col("value") * 3 + 1), ["gid"], {"low": lambda a, b: F.min(a), "spread": lambda a, b: F.max(a) - F.min(b)}, "value", "other")
     return out.select("gid", F.round("low", 6).alias("low"), F.round("spread", 6).alias("spread"))
 
 
 @query("SELECT gid, CAST(idx // 8 AS BIGINT) AS idx, CAST(3 AS INTEGER) AS level, round(sum(value), 6) AS value FROM {vectors} GROUP BY gid, idx // 8 UNION ALL SELECT gid, CAST(idx // 4 AS BIGINT), 2, round(sum(value), 6) FROM {vectors} GROUP BY gid, idx // 4 UNION ALL SELECT gid, CAST(idx // 2 AS BIGINT), 1, round(sum(value), 6) FROM {vectors} GROUP BY gid, idx // 2", vectors=VECTORS)
 def block_sums_by_level(vectors):
     return clustering.sums_by_level(vectors, 3).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT f.gid, CAST(f.ts AS VARCHAR) AS ts, CAST(a.ts AS VARCHAR) AS actual_ts, round(f.value - a.value, 6) AS error FROM {solar} f JOIN {wind} a ON f.gid = a.gid AND a.ts >= f.ts AND a.ts <= f.ts + INTERVAL 2 HOUR", solar=SOLAR, wind=WIND)
+def forecast_actual_join(solar, wind):
+    """Each forecast with the actual values of the next two hours, as the join of two streams gives them."""
+    out = streams.forecast_errors(solar, wind, "2 hours")
+    return out.select("gid", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("ts", "actual_ts")], F.round("error", 6).alias("error"))

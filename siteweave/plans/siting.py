@@ -21,9 +21,10 @@ def built_points(curve, builds):
     return out.withColumn("built", F.round("built", 2))
 
 
-@query("SELECT DISTINCT sc_gid FROM {builds} WHERE year = 1998 AND sc_gid NOT IN (SELECT plant FROM {curve})", curve=CURVE, builds=BUILDS)
+@query("SELECT DISTINCT sc_gid FROM {builds} WHERE year = 1998 AND sc_gid NOT IN (SELECT plant FROM {curve} WHERE name <> 'MACHINERY')", curve=CURVE, builds=BUILDS)
 def points_without_curve(curve, builds):
-    return nodes.points_without_curve(curve.select(F.col("plant").alias("sc_gid")), builds, 1998)
+    """Built points that a curve without one of the segments lacks."""
+    return nodes.points_without_curve(curve.filter("name <> 'MACHINERY'").select(F.col("plant").alias("sc_gid")), builds, 1998)
 
 
 @query("SELECT DISTINCT res_gid FROM {lines} WHERE gid IN (SELECT sc_gid FROM {builds})", lines=LINES, builds=BUILDS)
@@ -275,9 +276,13 @@ def feature_extent(sites):
     return sources.extent(sites.select(F.col("gid").alias("id"), (F.col("lon") - 1).alias("minx"), (F.col("lat") - 1).alias("miny"), (F.col("lon") + 1).alias("maxx"), (F.col("lat") + 1).alias("maxy")))
 
 
-@query("SELECT CAST(r * 7 + c AS BIGINT) AS sc_point_gid, CAST(least(r * 8 + 4, 99) AS INTEGER) AS row, CAST(least(c * 8 + 4, 49) AS INTEGER) AS col FROM (SELECT unnest(range(0, 13)) AS r), (SELECT unnest(range(0, 7)) AS c)", cells=CELLS)
+@query("""
+WITH p AS (SELECT CAST(r * 7 + c AS BIGINT) AS sc_point_gid, CAST(least(r * 8 + 4, 399) AS INTEGER) AS row, CAST(least(c * 8 + 4, 49) AS INTEGER) AS col FROM (SELECT unnest(range(0, 50)) AS r), (SELECT unnest(range(0, 7)) AS c))
+SELECT sc_point_gid, row, col, land, price FROM p JOIN {cells} USING (row, col)
+""", cells=CELLS)
 def supply_points(cells):
-    return sources.supply_points(cells.sparkSession, 100, 50, 8)
+    """The layers of the cell in the centre of each supply-curve point."""
+    return sources.supply_points(cells.sparkSession, 400, 50, 8).join(cells, ["row", "col"]).select("sc_point_gid", "row", "col", "land", "price")
 
 
 @query("SELECT row, col, CAST(round(price * 10) AS SMALLINT) AS price, CAST(round(slope * 100) AS SMALLINT) AS slope FROM {cells}", cells=CELLS)
@@ -285,6 +290,15 @@ def quantised_layers(cells):
     return sources.quantised(cells.select("row", "col", "price", "slope"), {"price": 10, "slope": 100})
 
 
-@query("SELECT * FROM (VALUES (1, 69, 3498000e0), (1, 138, 5541000e0), (1, 230, 9171000e0), (1, 500, 15489000e0), (2, 69, 3975000e0), (2, 138, 8870000e0), (2, 230, 17525000e0), (2, 500, 37017000e0), (3, 69, 5700000e0), (3, 138, 7800000e0), (3, 230, 9700000e0), (3, 500, 20300000e0), (4, 69, 3064000e0), (4, 138, 4692000e0), (4, 230, 5732000e0), (4, 500, 20364000e0)) t(region, kv, cost)", nations=NATIONS)
+@query("SELECT n.gid, kv, cost FROM {nations} n JOIN (SELECT * FROM (VALUES (1, 69, 3498000e0), (1, 138, 5541000e0), (1, 230, 9171000e0), (1, 500, 15489000e0), (2, 69, 3975000e0), (2, 138, 8870000e0), (2, 230, 17525000e0), (2, 500, 37017000e0), (3, 69, 5700000e0), (3, 138, 7800000e0), (3, 230, 9700000e0), (3, 500, 20300000e0), (4, 69, 3064000e0), (4, 138, 4692000e0), (4, 230, 5732000e0), (4, 500, 20364000e0)) t(region, kv, cost)) USING (region)", nations=NATIONS)
 def new_substation_costs(nations):
-    return costs.by_region(nations.sparkSession, costs.NEW_SUBSTATION, "kv", "cost")
+    """What a new substation of each voltage costs in each nation of a region with costs."""
+    return nations.select("gid", "region").join(costs.by_region(nations.sparkSession, costs.NEW_SUBSTATION, "kv", "cost"), "region").select("gid", "kv", "cost")
+
+
+FLICKER_RULES = View("part", {"gid": "p_partkey", "kind": "CASE p_size % 3 WHEN 0 THEN 'Shadow Flicker' WHEN 1 THEN 'Roads' ELSE NULL END", "hours": "p_size"})
+
+
+@query("SELECT gid, hours FROM {rules} WHERE kind = 'Shadow Flicker'", rules=FLICKER_RULES)
+def flicker_rules(rules):
+    return rules.filter(exclusion_rules.flicker_mask(F.col("kind"))).select("gid", "hours")

@@ -180,6 +180,32 @@ def sequential_builder(plants, sites):
     return allocation.sequential_builds(wanted, near).withColumn("built", F.round("built", 6)).filter("built > 0")
 
 
+@query("""
+WITH RECURSIVE line AS (SELECT plant, nation, lat, lon, capacity / 100 AS wanted, row_number() OVER (PARTITION BY nation ORDER BY plant) AS place FROM {plants}),
+held AS (SELECT nation, gid, lat, lon, i AS res_gid, round(capacity / (2 + (gid * 5 + i) % 4), 2) AS capacity, sum(round(capacity / (2 + (gid * 5 + i) % 4), 2)) OVER (PARTITION BY gid) AS whole
+    FROM (SELECT *, unnest([gid * 10, gid * 10 + 1, nation * 100000 + 7]) AS i FROM {sites})),
+state AS (
+    SELECT nation, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS plant, gid, res_gid, lat, lon, capacity, whole, FALSE AS closed, CAST(0 AS DOUBLE) AS built FROM held
+    UNION ALL
+    SELECT nation, place, plant, gid, res_gid, lat, lon, capacity, whole, closed OR bool_or(used > 0) OVER (PARTITION BY res_gid), used AS built
+    FROM (
+        SELECT *, least(free, greatest(0, wanted - coalesce(sum(free) OVER (PARTITION BY nation ORDER BY distance, whole DESC, gid, capacity DESC, res_gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used
+        FROM (
+            SELECT *, CASE WHEN closed OR row_number() OVER (PARTITION BY res_gid ORDER BY distance, whole DESC, gid) > 1 THEN 0 ELSE capacity END AS free
+            FROM (SELECT s.nation, p.place, p.plant, s.gid, s.res_gid, s.lat, s.lon, s.capacity, s.whole, s.closed, p.wanted, sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)) AS distance FROM state s JOIN line p ON s.nation = p.nation AND p.place = s.place + 1)
+        )
+    )
+)
+SELECT plant, gid, res_gid, round(built, 6) AS built FROM state WHERE round(built, 6) > 0
+""", plants=PLANTS, sites=SITES)
+def sequential_resources_unshared(plants, sites):
+    """In each nation plants in order of their number draw the resources of their nearest points, each resource once; one resource is listed in all points of a nation."""
+    wanted = plants.select(F.col("nation").alias("market"), "plant", F.col("plant").alias("place"), "lat", "lon", (F.col("capacity") / 100).alias("wanted"))
+    listed = sites.withColumn("res_gid", F.explode(F.array(F.col("gid") * 10, F.col("gid") * 10 + 1, F.col("nation") * 100000 + 7)))
+    held = listed.select(F.col("nation").alias("market"), "gid", "lat", "lon", F.col("res_gid").cast("long").alias("res_gid"), F.round(F.col("capacity") / (2 + (F.col("gid") * 5 + F.col("res_gid")) % 4), 2).alias("capacity"))
+    return allocation.sequential_resource_builds(wanted, held, share=False).withColumn("built", F.round("built", 6)).filter("built > 0")
+
+
 def _nearest_of_nation(plants, sites, k):
     here = [F.col("lat"), F.col("lon")]
     near = spatial_joins.nearest(plants, sites, here, here, "plant", "gid", k, by="nation")

@@ -99,15 +99,51 @@ def test_greedy_rounds(spark):
     assert rows(short) == [(2, 1.0)]
 
 
-@pytest.mark.parametrize("k", [1, 3, 64])
+@pytest.mark.parametrize("share", [True, False])
+def test_resources_of_points(spark, share):
+    """Each point's resources largest first; without sharing a resource is closed in all points that list it; against brute force."""
+    rng = random.Random(7)
+    plants = [(rng.choice("mn"), p, 50 - p, rng.uniform(0, 5), rng.uniform(0, 5), rng.choice([1.0, 4.0, 30.0])) for p in range(15)]
+    points = {g: (rng.choice("mn"), float(rng.randrange(5)), float(rng.randrange(5))) for g in range(20)}
+    held = {(g, (0 if points[g][0] == "m" else 100) + rng.randrange(25)): rng.choice([1.0, 2.0, 2.0, 5.0]) for g in points for _ in range(3)}
+    left, closed, want = dict(held), set(), {}
+    whole = lambda g: sum(c for (h, _), c in held.items() if h == g)
+    for m, p, _, y, x, wanted in sorted(plants, key=lambda r: r[2]):
+        for g in sorted((g for g in points if points[g][0] == m), key=lambda g: (math.sqrt((y - points[g][1]) ** 2 + (x - points[g][2]) ** 2), -whole(g), g)):
+            for r in sorted((r for h, r in held if h == g), key=lambda r: (-left[g, r], r)):
+                built = 0.0 if r in closed and not share else min(wanted, left[g, r])
+                if built > 1e-12:
+                    want[p, g, r] = built
+                    left[g, r] -= built
+                    closed.add(r)
+                    wanted -= built
+    of = spark.createDataFrame(plants, "market string, plant long, place int, lat double, lon double, wanted double")
+    rows_ = [(*points[g][:1], g, *points[g][1:], r, c) for (g, r), c in held.items()]
+    out = allocation.sequential_resource_builds(of, spark.createDataFrame(rows_, "market string, gid long, lat double, lon double, res_gid long, capacity double"), share=share, k=2)
+    assert {(r["plant"], r["gid"], r["res_gid"]): round(r["built"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_final_plants_leave_the_rounds(spark, monkeypatch):
+    """A chain of plants that push each other on: each round holds only what isn't final."""
+    n = 5
+    plants = spark.createDataFrame([(p, p, 1.0) for p in range(n)], "plant long, place int, wanted double")
+    candidates = spark.createDataFrame([(p, g, g + 1, 1.0) for p in range(n) for g in range(n)], "plant long, gid long, turn int, capacity double")
+    sizes = []
+    monkeypatch.setattr(allocation, "checkpointed", lambda df: (kept := checkpointed(df), sizes.append(kept.count()) if kept.columns[-1] == "built" else None)[0])
+    out = allocation.served_in_order(plants, candidates)
+    assert rows(out, "plant", "gid", "built") == [(p, p, 1.0) for p in range(n)]
+    assert sizes[0] == n * n and sizes == sorted(sizes, reverse=True) and sum(sizes) < 0.7 * n * n * len(sizes)
+
+
+@pytest.mark.parametrize("k", [1, 64])
 def test_greedy_builds_reach_every_site(spark, k):
     """The rounds go on through all sites of a market, however few a plant knows at first; sites at one distance included."""
     rng = random.Random(3)
     plants = [(rng.choice("mn"), p, float(rng.randrange(4)), float(rng.randrange(4)), rng.choice([3.0, 9.0, 200.0])) for p in range(12)] + [("lone", 99, 1.0, 1.0, 5.0), ("m", 98, None, 1.0, 5.0)]
-    sites = [(rng.choice("mn"), g, float(rng.randrange(4)), float(rng.randrange(4)), rng.choice([2.0, 7.0])) for g in range(40)]
+    sites = [(rng.choice("mn"), g, float(rng.randrange(4)), float(rng.randrange(4)), rng.choice([2.0, 7.0])) for g in range(14)]
     free, wanted, want = {s[1]: s[4] for s in sites}, {p[1]: p[4] for p in plants}, {}
     turns = {p[1]: sorted((round(math.dist(p[2:4], s[2:4]), 6), s[1]) for s in sites if s[0] == p[0]) for p in plants if p[2] is not None}
-    for turn in range(40):
+    for turn in range(14):
         asking = {}
         for p, near in turns.items():
             if turn < len(near) and wanted[p] > 1e-9:
@@ -125,8 +161,9 @@ def test_greedy_builds_reach_every_site(spark, k):
     assert {r["plant"]: r["short"] for r in short.collect()} == {p: w for p, w in wanted.items() if w > 1e-9}
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("share", [True, False])
-def test_sequential_builds(spark, share):
+def test_sequential_builds(spark, share, small):
     """In order of place, each plant fills its nearest sites with what those before it left; against brute force."""
     rng = random.Random(5)
     plants = [(rng.choice("mn"), p, 100 - p, rng.uniform(0, 5), rng.uniform(0, 5), rng.choice([1.0, 4.0, 9.0])) for p in range(40)]
@@ -140,7 +177,7 @@ def test_sequential_builds(spark, share):
                 free[g] = free[g] - built if share else 0.0
                 wanted -= built
     of = spark.createDataFrame(plants, "market string, plant long, place int, lat double, lon double, wanted double")
-    out = allocation.sequential_builds(of, spark.createDataFrame(sites, "market string, gid long, lat double, lon double, capacity double"), share=share, k=2)
+    out = allocation.sequential_builds(of, spark.createDataFrame(sites, "market string, gid long, lat double, lon double, capacity double"), share=share, k=2, small=small)
     assert {(r["plant"], r["gid"]): round(r["built"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
