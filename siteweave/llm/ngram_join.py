@@ -45,7 +45,8 @@ ROW = 64
 BUCKET = 4096
 #: Rows of a table that may be broadcast (about 40 bytes each).
 SMALL = 800_000
-#: Pairs that are compared at once.
+#: Texts whose sets are made, and pairs that are compared at once.
+ROWS = 128
 PAIRS = 1 << 18
 #: Largest set size for which bands are made; the last band has no end.
 LARGEST = 1 << 40
@@ -151,23 +152,27 @@ def shingled(docs: DataFrame, words: int, signer: Signer | None) -> DataFrame:
         ends = np.cumsum([0, *[len(x) for x in arrays]]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, k1, k2, meta, whole, less = [], [], [], [], [], []
+        for x in shingle_sets(batch.column(2), words):
+            size = 0 if np.array_equal(x, EMPTY) else len(x)
+            n.append(size)
+            k1.append(x.sum(dtype=np.uint64) + np.uint64(size))
+            k2.append(mix(x ^ _OTHER).sum(dtype=np.uint64))
+            if signer:
+                meta.append(sketch(x))
+                keys = signer.keys(x) if size else (x[:0], x[:0])
+                whole.append(keys[0])
+                less.append(keys[1])
+        columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(mix(np.array(k, np.uint64)).view(np.int64)) for k in (k1, k2)]]
+        if signer:
+            columns += [pa.array(meta, pa.int64()), listed(whole), listed(less)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, meta, whole, less = [], [], [], [], [], []
-            for x in shingle_sets(batch.column(2), words):
-                size = 0 if np.array_equal(x, EMPTY) else len(x)
-                n.append(size)
-                k1.append(x.sum(dtype=np.uint64) + np.uint64(size))
-                k2.append(mix(x ^ _OTHER).sum(dtype=np.uint64))
-                if signer:
-                    meta.append(sketch(x))
-                    keys = signer.keys(x) if size else (x[:0], x[:0])
-                    whole.append(keys[0])
-                    less.append(keys[1])
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(mix(np.array(k, np.uint64)).view(np.int64)) for k in (k1, k2)]]
-            if signer:
-                columns += [pa.array(meta, pa.int64()), listed(whole), listed(less)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, len(batch), ROWS):
+                yield told(batch.slice(at, ROWS))
 
     schema = "doc_id long, th long, n long, k1 long, k2 long" + (", meta long, whole array<long>, less array<long>" if signer else "")
     names = [x.split()[0] for x in schema.split(", ")]
