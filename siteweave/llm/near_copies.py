@@ -109,8 +109,12 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, *words = (np.asarray(c.flatten()) for c in batch.columns)
+            sizes = np.asarray(batch.column(0).value_lengths())
+            # Members in order of keys: buckets of one crowd then have mostly one root, and a member few edges in all.
+            order = np.lexsort((keys, np.repeat(np.arange(len(sizes)), sizes)))
+            keys, words = keys[order], [w[order] for w in words]
             ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in pairs_within(np.asarray(batch.column(0).value_lengths())):
+            for a, b in pairs_within(sizes):
                 apart = np.zeros(len(a), np.uint8)
                 for w in words:
                     apart += np.bitwise_count((w[a] ^ w[b]).view(np.uint64))  # of signed values it would count the magnitude's bits
