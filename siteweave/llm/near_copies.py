@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.common import checkpointed
-from siteweave.llm.simhash_dedup import bucket_blocks, components, masked, pairs_within, roots_of, segments
+from siteweave.llm.simhash_dedup import components, masked, pairs_within, roots_of, segments
 from siteweave.llm.words import gram_hashes, mix, pieces, word_hashes, word_spans
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ CHANCE, BUCKET = 4096, 8192
 NEAR = 46
 #: Texts of a block; a crowd of more is dealt out in pairs of blocks.
 BLOCK = 256
+#: Rows of a table of keys that may be broadcast (24 bytes each).
+FEW = 800_000
 #: Columns of shared shingles that meet at once.
 PART = 4096
 #: The shingle of texts without words, which are copies of each other.
@@ -100,6 +102,20 @@ def sketches(docs: DataFrame, lanes: int) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("key", F.monotonically_increasing_id())
 
 
+def lane_buckets(keyed: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """As ``bucket_blocks``; which buckets are crowded is found first, so that rows needn't move to be told, and none is asked if there are no such buckets."""
+    crowded = checkpointed(keyed.groupBy("part", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    many = crowded.count()
+    member = F.struct(*columns)
+    if many:
+        dealt = keyed.join(F.broadcast(crowded) if many <= FEW else crowded, ["part", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64(columns[0]), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = dealt.groupBy("part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m"))
+    else:
+        met = keyed.groupBy("part", "value").agg(F.collect_list(member).alias("m"))
+    return met.filter(F.size("m") > 1).select(*[F.col(f"m.{c}").alias(c) for c in columns])
+
+
 def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, block: int = BUCKET) -> DataFrame:
     """(a, b): edges whose components hold all texts that share a bucket and differ in at most ``near`` bits of three lanes."""
     lane = lambda i: F.col(f"w{i % lanes}")
@@ -126,7 +142,7 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
                 twos.append(keys[root[root != ends]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], names=["a", "b"])
 
-    return bucket_blocks(keyed, ["key", "x", "y", "z"], block).mapInArrow(run, "a long, b long").distinct()
+    return lane_buckets(keyed, ["key", "x", "y", "z"], block).mapInArrow(run, "a long, b long").distinct()
 
 
 def centre_links(texts: DataFrame, large: DataFrame, least: float = LEAST, words: int = SHINGLE, few: bool = False) -> DataFrame:
@@ -207,14 +223,15 @@ def similar_components(docs: DataFrame, sketched: DataFrame, parts: int, lanes:
     """(node, root) of the keys of texts that have a link; root is the smallest of the component and has no row of its own."""
     crowds = components(candidates(sketched, parts, lanes))
     members = crowds.union(crowds.select("root", "root").distinct()).toDF("key", "crowd")
-    members = members.join(sketched.select("key", "k1", "k2"), "key")
-    texts = docs.select(*text_key(), "text").join(members, ["k1", "k2"]).groupBy("key").agg(F.first("crowd").alias("crowd"), F.first("text").alias("text"))
+    members = checkpointed(members.join(sketched.select("key", "k1", "k2"), "key"))
+    few = members.count() <= FEW
+    texts = docs.select(*text_key(), "text").join(F.broadcast(members) if few else members, ["k1", "k2"]).groupBy("key").agg(F.first("crowd").alias("crowd"), F.first("text").alias("text"))
     texts = checkpointed(texts)
     large = checkpointed(texts.groupBy("crowd").count().filter(F.col("count") > block).select("crowd"))
     if large.isEmpty():
-        return components(crowd_links(texts, None, least, block))
-    centred = checkpointed(centre_links(texts, large, least))
-    return components(centred.unionByName(crowd_links(texts, centred, least, block)))
+        return components(crowd_links(texts, None, least, block, few=few))
+    centred = checkpointed(centre_links(texts, large, least, few=few))
+    return components(centred.unionByName(crowd_links(texts, centred, least, block, few=few)))
 
 
 def keep_one_row(docs: DataFrame) -> DataFrame:
