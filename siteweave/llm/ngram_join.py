@@ -12,6 +12,12 @@ there share such a key. ``allocation`` chooses how many segments have t = 1 by
 cost: fewer, larger segments meet by chance (both empty) less often, but give a
 key for each of their shingles.
 
+Large sets pass all other tests by chance, so buckets of empty subsets would
+join unlike sets to crowds whose work grows with the square of the input.
+``spare_segments`` adds e segments to a band's m: then the thresholds that a
+similar pair meets add up to e + 1 at least, and a set with e empty subsets at
+most needs no keys for them. Only the few sets with more keep these keys.
+
 Sets that share a key are compared by size and by the parity of their shingles
 in 32 classes, which differ in no more classes than the sets in shingles; what
 passes makes crowds, whose texts travel once and are compared exactly. Equal
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from math import comb, exp, expm1, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +58,8 @@ PAIRS = 1 << 18
 #: Largest set size for which bands are made; the last band has no end.
 LARGEST = 1 << 40
 SALTS = 16
+#: Pairs that meet by empty subsets only, as a share of the sets of a band.
+STRAY = 1e-4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,6 +107,38 @@ def allocation(sizes: dict[int, tuple[int, int]], least: int = LEAST, row: float
     return out
 
 
+def more_than(mean: float, most: int) -> float:
+    """The probability of more than ``most`` events where ``mean`` are expected."""
+    return -expm1(-mean) if not most else sum(exp(i * log(mean) - mean - lgamma(i + 1)) for i in range(most + 1, most + 60)) if mean else 0.0
+
+
+def sketches_pass(size: int, most: int) -> float:
+    """The probability that the parities of two unlike sets of this size differ in ``most`` classes at most."""
+    odd = (1 - (1 - 2 / 32) ** (2 * size)) / 2
+    return sum(comb(32, i) * odd**i * (1 - odd) ** (32 - i) for i in range(min(most, 32) + 1))
+
+
+def spare_segments(sizes: dict[int, tuple[int, int]], plan: list[tuple[int, int]], least: int = LEAST, stray: float = STRAY) -> list[int]:
+    """Segments to add to each band: the fewest that leave at most ``stray`` pairs by empty subsets for each set, or else those that leave the fewest; half as many as there are at most. sizes: as for ``allocation``."""
+    first, out = bands(least), []
+    for g, (m, k) in enumerate(plan):
+        sets = sizes.get(g, (0, 0))[0] + sizes.get(g + 1, (0, 0))[0]
+        passed = sketches_pass(first[g], differences(first[g], least)) if sets else 0.0
+
+        def pairs(e: int) -> float:
+            # Small sets have the most empty subsets.
+            keep = sets * more_than((m + e - k) * (1 - 1 / (m + e)) ** first[g], e)
+            return keep * keep * (e + 1) ** 2 / (m + e) / 2 * passed
+
+        best = 0
+        for e in range(m // 2 + 1 if sets else 0):
+            best = min(best, e, key=pairs)
+            if pairs(best) <= stray * sets:
+                break
+        out.append(best)
+    return out
+
+
 def band_sizes(docs: DataFrame, least: int = LEAST) -> dict[int, tuple[int, int]]:
     """Documents and words of each band by words (as many as spaces and one), over all rows; at most one row of a band comes to the driver."""
     first = bands(least)
@@ -116,8 +157,9 @@ def sketch(shingles: np.ndarray) -> int:
 class Signer:
     """The keys of a set under an allocation."""
 
-    def __init__(self, plan: list[tuple[int, int]], least: int = LEAST):
-        self.plan, self.least, self.first = plan, least, bands(least)
+    def __init__(self, plan: list[tuple[int, int]], least: int = LEAST, spare: list[int] | None = None):
+        self.spare = spare or [0] * len(plan)
+        self.plan, self.least, self.first = [(m + e, k) for (m, k), e in zip(plan, self.spare)], least, bands(least)
         self.edges: dict[int, np.ndarray] = {}
 
     def groups(self, size: int) -> list[int]:
@@ -128,7 +170,7 @@ class Signer:
         return [b, b - 1] if b and -(-self.least * size // 100) < self.first[b] else [b]
 
     def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the subsets of all segments, and of those with one shingle less where the threshold is 1. shingles: distinct, sorted."""
+        """Hashes of the subsets of all segments, without empty ones where spare segments make up for them, and of those with one shingle less where the threshold is 1. shingles: distinct, sorted."""
         whole, less = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles)])
         for g in self.groups(len(shingles)):
@@ -138,7 +180,10 @@ class Signer:
             at = np.concatenate([[0], np.searchsorted(shingles, self.edges[m]), [len(shingles)]])
             subset = sums[at[1:]] - sums[at[:-1]]
             salt = (np.arange(m, dtype=np.uint64) + np.uint64(1)) * _STEP + mix(np.array([g + 1], np.uint64))
-            whole.append(mix(subset + salt))
+            needed = (np.diff(at) > 0) | (np.arange(m) < k)
+            if m - np.count_nonzero(needed) > self.spare[g]:
+                needed[:] = True
+            whole.append(mix(subset + salt)[needed])
             if k:
                 segment = np.repeat(np.arange(k), np.diff(at[: k + 1]))
                 less.append(mix((subset + salt)[segment] - shingles[: at[k]]))
@@ -292,7 +337,9 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE, least: int = LEAST,
     table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signer = Signer(allocation(band_sizes(docs, least), least, row), least)
+    sizes = band_sizes(docs, least)
+    plan = allocation(sizes, least, row)
+    signer = Signer(plan, least, spare_segments(sizes, plan, least))
     sets = distinct_sets(docs, words, signer)
     roots = links(docs, sets, words, least)
     labelled = sets.select("node", "k1", "k2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -188,6 +188,36 @@ def test_similar_sets_share_a_key(ones):
     assert met > 500
 
 
+def test_spare_segments_lose_no_pair():
+    """With spare segments empty subsets have no keys; drawn similar sets of any size still share one, also where most subsets are empty."""
+    rng, sizes = np.random.default_rng(12), {g: (10**6, 10**8) for g in range(40)}
+    plan = ngram_join.allocation(sizes, row=64.0)
+    spare = ngram_join.spare_segments(sizes, plan)
+    assert max(spare[4:20]) > 1 and ngram_join.spare_segments({}, plan) == [0] * len(plan)
+    signer, plain, met, fewer = ngram_join.Signer(plan, spare=spare), ngram_join.Signer(plan), 0, 0
+    for _ in range(3000):
+        n, top = int(rng.integers(9, 400)), 1 << int(rng.integers(58, 65))
+        a = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        lost, gained = (int(rng.integers(0, n // 9 + 1)) for _ in range(2))
+        b = np.unique(np.concatenate([a[lost:], rng.integers(0, top, gained, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        fewer += len(signer.keys(a)[0]) < sum(m + e for g in signer.groups(len(a)) for (m, _), e in [(plan[g], spare[g])])
+        if 100 * both >= 90 * (len(a) + len(b) - both):
+            assert np.isin(signer.keys(a)[0], signer.keys(b)[0]).any() and np.isin(plain.keys(a)[0], plain.keys(b)[0]).any()
+            met += 1
+    assert met > 500 and fewer > 0
+
+
+def test_unlike_large_sets_make_no_crowds(spark):
+    """Empty subsets, which large unlike sets share by chance, join nothing; with keys for them they do."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(180 + i % 20))) for i in range(3000)], "doc_id long, text string")
+    sizes = ngram_join.band_sizes(docs)
+    plan = ngram_join.allocation(sizes)
+    found = [ngram_join.candidates(ngram_join.distinct_sets(docs, 3, s)).count() for s in (ngram_join.Signer(plan, spare=ngram_join.spare_segments(sizes, plan)), ngram_join.Signer(plan))]
+    assert found[0] <= 2 and found[1] > 20, found
+
+
 def test_allocation_follows_cost():
     """Few sets: only subsets; many small sets: larger segments with one-deletions, thresholds always adding up."""
     first = ngram_join.bands()
