@@ -68,12 +68,12 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 0x20
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and the first word of each row (one more at the end)."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and the first word of each row (one more at the end). space: for each byte, whether it parts words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(bounds), np.int64)
-    inside = ~_space[data]
+    inside = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True
     begins, ends = inside.copy(), inside.copy()

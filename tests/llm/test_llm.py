@@ -277,6 +277,20 @@ def test_words_equal_whole_texts():
         assert ids([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_columns_of_texts_look_up_each_part_once(monkeypatch):
+    """Ids of whole columns, also of empty, null and spaced texts, are the tokenizer's; a part that occurs in many words and cases is asked for once."""
+    ids, rng = packing.WordIds(packing.TOKENIZER), random.Random(9)
+    tokenizer, asked = Tokenizer.from_file(packing.TOKENIZER), Counter()
+    lookup = ids.lookup
+    monkeypatch.setattr(ids, "lookup", lambda found: asked.update([found]) or lookup(found))
+    words = ["alpha", "Alpha,", "(ALPHA)", "beta2alpha", "it's", "'s", "été", "a<|b", "x\x0by", "don't!", "42", "--"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", " \t"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    texts = ["", None, "  ", *texts, " alpha", "Alpha", None, "\n"]
+    got = [part.tolist() for _, flat, bounds in ids.column(pa.array(texts)) for part in np.split(flat, bounds[1:-1])]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked[b"alpha"] == 1 and b"Alpha," not in asked and max(asked.values()) == 1
+
+
 @pytest.mark.parametrize("size", [8 << 20, 4000])
 def test_lm_scoring(docs, none, size):
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
