@@ -1,13 +1,22 @@
 """SimHash near-dedup by similarity: one row of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Two texts at 0.8 differ in a share ``APART`` of their SimHash bits, about ten
-of 64, which no small distance covers, and for which distances to pivots, all
-within a few bits of half the width, discard nothing. So fingerprints are wide
+of 64, which no small distance covers. So fingerprints are wide
 here: several lanes of 64 bits from shingle hashes salted anew. Texts that
 agree in a segment of any lane are candidates; ``tables_for`` chooses segments
 and lanes by the number of texts, so that chance buckets stay small and a pair
 at 0.8 shares a bucket with probability 1 - ``MISSED`` (a nearer pair more
-surely). The Hamming distance over three lanes discards chance pairs.
+surely).
+
+Inside buckets pivot distance tables discard chance pairs. Distances of whole
+lanes to pivots are all within a few bits of half the width and would discard
+nothing at this similarity, so pivots are bytes here: a row of the table holds
+the distance of each byte of three lanes to each pivot. By the triangle
+inequality two bytes differ in at least as many bits as their distances to any
+pivot do, so the sum over all bytes of the largest difference is no more than
+the Hamming distance. Only pairs whose sum is at most ``NEAR`` are compared.
+The distances of all 256 bytes to the pivots are computed once; rows are looked
+up in the bucket, which is cheaper than to carry them.
 
 Candidates make crowds. Only the texts of crowds travel, once: a crowd of more
 than ``BLOCK`` texts first meets one centre, and only texts not similar to it
@@ -38,6 +47,11 @@ MISSED = 0.001
 CHANCE, BUCKET = 4096, 8192
 #: Most differing bits of candidates in three lanes (192 bits; 29 expected at LEAST, with a deviation of 5).
 NEAR = 46
+#: Reference bytes of the pivot table, and the distances of all bytes to them: no pivot is the complement of another, which would tell the same.
+PIVOTS = np.array([0x00, 0x8B, 0xCC], np.uint8)
+PIVOT_DISTANCES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ PIVOTS).astype(np.int8)
+#: Pairs whose rows of the pivot table meet at once.
+ROWS = 1 << 15
 #: Texts of a block; a crowd of more is dealt out in pairs of blocks.
 BLOCK = 256
 #: Rows of a table of keys that may be broadcast (24 bytes each).
@@ -116,6 +130,24 @@ def lane_buckets(keyed: DataFrame, columns: list[str], block: int) -> DataFrame:
     return met.filter(F.size("m") > 1).select(*[F.col(f"m.{c}").alias(c) for c in columns])
 
 
+def pivot_table(lanes: list[np.ndarray]) -> np.ndarray:
+    """A row for each fingerprint: the distances of all bytes of its lanes to the first pivot, then to the next."""
+    found = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) for x in lanes], axis=1)
+    return np.concatenate([PIVOT_DISTANCES[:, p][found] for p in range(len(PIVOTS))], axis=1)
+
+
+def survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the pivot table doesn't prove to differ in more than ``near`` bits."""
+    width, stay = table.shape[1] // len(PIVOTS), np.zeros(len(a), bool)
+    for at in range(0, len(a), ROWS):
+        apart = np.abs(table[a[at : at + ROWS]] - table[b[at : at + ROWS]])
+        most = apart[:, :width]
+        for p in range(1, len(PIVOTS)):
+            most = np.maximum(most, apart[:, p * width : (p + 1) * width])
+        stay[at : at + ROWS] = most.sum(1, dtype=np.int16) <= near
+    return a[stay], b[stay]
+
+
 def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, block: int = BUCKET) -> DataFrame:
     """(a, b): edges whose components hold all texts that share a bucket and differ in at most ``near`` bits of three lanes."""
     lane = lambda i: F.col(f"w{i % lanes}")
@@ -129,8 +161,10 @@ def candidates(sketched: DataFrame, parts: int, lanes: int, near: int = NEAR, bl
             # Members in order of keys: buckets of one crowd then have mostly one root, and a member few edges in all.
             order = np.lexsort((keys, np.repeat(np.arange(len(sizes)), sizes)))
             keys, words = keys[order], [w[order] for w in words]
+            table = pivot_table(words)
             ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in pairs_within(sizes):
+                a, b = survivors(table, a, b, near)
                 apart = np.zeros(len(a), np.uint8)
                 for w in words:
                     apart += np.bitwise_count((w[a] ^ w[b]).view(np.uint64))  # of signed values it would count the magnitude's bits

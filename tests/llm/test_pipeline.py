@@ -161,3 +161,22 @@ def test_wide_fingerprints_find_pairs_at_the_least_similarity():
         chance += meet(a, rng.integers(0, 1 << 64, n, dtype=np.uint64))
     assert hits >= 0.98 * 400 and chance == 0
     assert near_copies.tables_for(10**10)[1] > near_copies.tables_for(10**8)[1] > lanes
+
+
+def test_pivot_tables_discard_chance_pairs_only():
+    """The table never discards a pair within the distance, and nearly all chance pairs."""
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 1 << 64, (3, 4000), dtype=np.uint64)
+    flips = np.zeros((4000, 192), np.uint8)
+    for i in range(4000):
+        flips[i, rng.choice(192, int(rng.integers(0, 70)), replace=False)] = 1
+    other = near ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64).T
+    table = near_copies.pivot_table([np.concatenate([x, y]) for x, y in zip(near, other)])
+    a, b = np.arange(4000), np.arange(4000, 8000)
+    found, _ = near_copies.survivors(table, a, b, near_copies.NEAR)
+    within = flips.sum(1) <= near_copies.NEAR
+    assert np.isin(a[within], found).all() and within.sum() > 2000
+    one, two = rng.integers(0, 4000, (2, 100_000))
+    apart = one != two
+    left, _ = near_copies.survivors(table, one[apart], two[apart], near_copies.NEAR)
+    assert len(left) < 0.01 * apart.sum()
