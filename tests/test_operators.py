@@ -204,6 +204,28 @@ def test_unshared_resources_in_a_task_and_in_rounds(spark, small, seed):
     assert {(r["plant"], r["gid"], r["res_gid"]): r["built"] for r in out.collect()} == want
 
 
+def test_large_markets_take_no_rounds(spark, monkeypatch):
+    """A market whose pairs are many, but whose rows aren't, is served by a task, at places near and far; against brute force."""
+    rng = np.random.default_rng(8)
+    sites = [("m", g, float(y), float(x), float(c)) for g, (y, x, c) in enumerate(zip(rng.integers(0, 60, 5000) / 2, rng.integers(0, 60, 5000) / 2, rng.choice([2.0, 6.0], 5000)))]
+    plants = [("m", p, p, float(y), float(x), 9.0) for p, (y, x) in enumerate(zip(rng.uniform(-40, 70, 4500), rng.uniform(-40, 70, 4500)))]
+    monkeypatch.setattr(allocation, "served_in_order", lambda *a: pytest.fail("rounds"))
+    of = spark.createDataFrame(plants, "market string, plant long, place int, lat double, lon double, wanted double")
+    out = allocation.sequential_builds(of, spark.createDataFrame(sites, "market string, gid long, lat double, lon double, capacity double"))
+    got = {(r["plant"], r["gid"]): r["built"] for r in out.collect()}
+    gid, y, x, size = (np.array([s[i] for s in sites]) for i in (1, 2, 3, 4))
+    free, want = size.copy(), {}
+    for _, p, _, v, u, wanted in plants:
+        some = np.flatnonzero(free > 0)
+        for i in some[np.lexsort((gid[some], -size[some], np.sqrt((v - y[some]) * (v - y[some]) + (u - x[some]) * (u - x[some]))))]:
+            if wanted <= 0:
+                break
+            want[p, gid[i]] = built = min(wanted, free[i])
+            free[i] -= built
+            wanted -= built
+    assert got == want
+
+
 def test_greedy_round_query_against_brute_force(spark):
     from siteweave.plans.registry import PLANTS, QUERIES, SITES
 
