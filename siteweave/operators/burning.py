@@ -10,13 +10,15 @@ jumping, so that the number of rounds is the logarithm of the longest ring.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteweave.functions.spatial import project_on_segment
 from siteweave.operators.polygons import EDGE, lattice_runs, scaled, touched_squares
 from siteweave.session import checkpointed
 
@@ -45,16 +47,31 @@ class Grid:
         on = cells.filter(F.col("row").between(0, self.rows - 1) & F.col("col").between(0, self.cols - 1))
         return on.withColumns({c: F.col(c).cast("int") for c in CELL})
 
+    def clipped(self, runs: DataFrame) -> DataFrame:
+        """What of runs (row, first, last) is on the raster, as ints."""
+        on = runs.filter(F.col("row").between(0, self.rows - 1)).withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(self.cols - 1))})
+        return on.filter("first <= last").withColumns({c: F.col(c).cast("int") for c in ("row", "first", "last")})
+
     def units(self, sides: DataFrame, shift: float = 0.0) -> DataFrame:
         """The edges in columns and rows; with a shift of 0.5 cell centres are whole numbers."""
         return scaled(sides, self.x0 + shift * self.dx, self.dx, self.y0 + shift * self.dy, self.dy)
 
 
+def polygon_runs(sides: DataFrame, grid: Grid, shape: str = "shape") -> DataFrame:
+    """(shape, row, first, last): the runs of cells whose centres are in each polygon."""
+    runs = lattice_runs(grid.units(sides.select(shape, *EDGE), 0.5), [shape], grid.rows)
+    return grid.clipped(runs.withColumnRenamed("line", "row")).select(shape, "row", "first", "last")
+
+
+def run_cells(runs: DataFrame) -> DataFrame:
+    """The runs' cells one by one."""
+    keys = [c for c in runs.columns if c not in ("first", "last")]
+    return runs.select(*keys, F.explode(F.sequence("first", "last")).alias("col"))
+
+
 def burned_polygons(sides: DataFrame, grid: Grid, all_touched: bool = False, shape: str = "shape") -> DataFrame:
     """(shape, row, col): the cells whose centres are in each polygon, with ``all_touched`` also those that its boundary passes."""
-    runs = lattice_runs(grid.units(sides.select(shape, *EDGE), 0.5), [shape], grid.rows)
-    low, high = F.greatest("first", F.lit(0)).cast("int"), F.least("last", F.lit(grid.cols - 1)).cast("int")
-    cells = runs.filter(low <= high).select(shape, F.col("line").cast("int").alias("row"), F.explode(F.sequence(low, high)).alias("col"))
+    cells = run_cells(polygon_runs(sides, grid, shape))
     if not all_touched:
         return cells
     return cells.unionByName(burned_lines(sides, grid, True, shape)).distinct()
@@ -76,22 +93,91 @@ def burned_lines(sides: DataFrame, grid: Grid, all_touched: bool = False, shape:
     return grid.inside(ends.unionByName(passed)).distinct()
 
 
+def near_runs(sides: DataFrame, grid: Grid, distance: Column | float, shape: str = "shape") -> DataFrame:
+    """(shape, row, first, last): of each row the cells whose centres lie within ``distance`` (in map units; may be a column) of an edge, apart for each shape.
+
+    What lies near an edge has one run in a row. It begins where the edge moved
+    aside by the distance, or the circle round an end, crosses the row; whether
+    the cells there belong to it is asked of the cells themselves.
+    """
+    far = distance if isinstance(distance, Column) else F.lit(float(distance))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, *ends = (np.asarray(batch.column(i), dtype=float) for i in range(1, 6))
+            v = (np.array([ends[1], ends[3]]) - grid.y0) / grid.dy
+            low = np.maximum(np.ceil(v.min(0) - d / abs(grid.dy) - 0.5 - 1e-6), 0)
+            high = np.minimum(np.floor(v.max(0) + d / abs(grid.dy) - 0.5 + 1e-6), grid.rows - 1)
+            n = np.where((d >= 0) & (high >= low), high - low + 1, 0)
+            n = np.nan_to_num(n).astype(np.int64)
+            at = np.repeat(np.arange(len(batch)), n)
+            row = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at].astype(np.int64)
+            d, x1, y1, x2, y2 = (c[at] for c in (d, *ends))
+            dx, dy, py = x2 - x1, y2 - y1, grid.y0 + (row + 0.5) * grid.dy
+            length = dx * dx + dy * dy
+
+            def held(col: np.ndarray) -> np.ndarray:
+                px = grid.x0 + (col + 0.5) * grid.dx
+                t = np.clip(np.divide((px - x1) * dx + (py - y1) * dy, length, out=np.zeros(len(col)), where=length > 0), 0.0, 1.0)
+                x, y = x1 + t * dx, y1 + t * dy
+                return (px - x) * (px - x) + (py - y) * (py - y) <= d * d
+
+            found = []
+            for side in (-1, 1):
+                lean = np.divide(np.sign(dy) * dx, np.sqrt(length), out=np.zeros(len(at)), where=length > 0)
+                t = np.divide(py + side * d * lean - y1, dy, out=np.where((dx >= 0) == (side < 0), 0.0, 1.0), where=dy != 0)
+                t = np.clip(t, 0.0, 1.0)
+                up = py - (y1 + t * dy)
+                found.append((x1 + t * dx + side * np.sqrt(np.maximum(0.0, d * d - up * up)) - grid.x0) / grid.dx)
+            first, last = np.ceil(np.minimum(*found) - 0.5), np.floor(np.maximum(*found) - 0.5)
+            begins = np.select([held(first - 1), held(first), held(first + 1)], [first - 1, first, first + 1], np.nan)
+            closes = np.select([held(last + 1), held(last), held(last - 1)], [last + 1, last, last - 1], np.nan)
+            keep = begins <= closes
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[keep])), pa.array(row[keep]), pa.array(begins[keep].astype(np.int64)), pa.array(closes[keep].astype(np.int64))], names=[shape, "row", "first", "last"])
+
+    rows = sides.select(shape, far.cast("double").alias("__d"), *[F.col(c).cast("double").alias(c) for c in EDGE])
+    found = rows.mapInArrow(runs, f"{shape} {dict(sides.dtypes)[shape]}, row long, first long, last long")
+    return merged_runs(grid.clipped(found), [shape, "row"])
+
+
+def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, last): runs that overlap or follow each other as one."""
+    order = Window.partitionBy(*keys).orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = runs.withColumn("__new", F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(order))
+    return told.groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
+
+
 def near_lines(sides: DataFrame, grid: Grid, distance: Column | float, shape: str = "shape") -> DataFrame:
     """(shape, row, col): the cells whose centres lie within ``distance`` (in map units; may be a column) of an edge."""
-    far = distance if isinstance(distance, Column) else F.lit(float(distance))
-    rows = sides.select(shape, *EDGE, far.alias("__d"), *[F.col(c).alias(f"__{c}") for c in EDGE])
-    squares = touched_squares(grid.units(rows).filter("__d >= 0"), reach=F.col("__d") / min(abs(grid.dx), abs(grid.dy)))
-    squares = grid.inside(squares)
-    px, py = F.lit(grid.x0) + (F.col("col") + 0.5) * grid.dx, F.lit(grid.y0) + (F.col("row") + 0.5) * grid.dy
-    x, y = project_on_segment(px, py, *[F.col(f"__{c}") for c in EDGE])
-    return squares.filter((px - x) * (px - x) + (py - y) * (py - y) <= F.col("__d") * F.col("__d")).select(shape, *CELL).distinct()
+    return run_cells(near_runs(sides, grid, distance, shape))
+
+
+def buffer_runs(sides: DataFrame, grid: Grid, distance: float, shape: str = "shape") -> DataFrame:
+    """(shape, row, first, last): runs, apart from each other, of the cells whose centres are in a polygon grown by the distance, or shrunk by a negative one."""
+    inside, near, keys = polygon_runs(sides, grid, shape), near_runs(sides, grid, abs(distance), shape), [shape, "row"]
+    if distance >= 0:
+        return merged_runs(inside.unionByName(near), keys)
+    # Each run near the boundary ends what is inside before it; what is inside after the last one stays.
+    order = Window.partitionBy(*keys).orderBy("at")
+    ends = near.select(*keys, F.inline(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("n"), F.lit(0).alias("i")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).alias("n"), F.lit(0).alias("i")))))
+    ends = ends.unionByName(inside.select(*keys, F.inline(F.array(F.struct(F.col("first").alias("at"), F.lit(0).alias("n"), F.lit(1).alias("i")), F.struct((F.col("last") + 1).alias("at"), F.lit(0).alias("n"), F.lit(-1).alias("i"))))))
+    level = ends.groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.sum("i").alias("i"))
+    level = level.select(*keys, "at", F.sum("n").over(order).alias("n"), F.sum("i").over(order).alias("i"), (F.lead("at").over(order) - 1).alias("last"))
+    return level.filter("n = 0 AND i > 0").select(*keys, F.col("at").alias("first"), "last")
 
 
 def burned_buffers(sides: DataFrame, grid: Grid, distance: float, shape: str = "shape") -> DataFrame:
     """(shape, row, col): the cells whose centres are in a polygon grown by the distance, or shrunk by a negative one."""
-    inside = burned_polygons(sides, grid, shape=shape)
-    near = near_lines(sides, grid, abs(distance), shape)
-    return inside.unionByName(near).distinct() if distance >= 0 else inside.join(near, [shape, *CELL], "left_anti")
+    return run_cells(buffer_runs(sides, grid, distance, shape))
+
+
+def run_counts(runs: DataFrame) -> DataFrame:
+    """(row, col, count): how many runs hold each cell, from where they begin and end; cells without are left out."""
+    ends = runs.select("row", F.inline(F.array(F.struct(F.col("first").alias("col"), F.lit(1).alias("n")), F.struct((F.col("last") + 1).alias("col"), F.lit(-1).alias("n")))))
+    order = Window.partitionBy("row").orderBy("col")
+    level = ends.groupBy(*CELL).agg(F.sum("n").alias("n")).select(*CELL, F.sum("n").over(order).alias("count"), (F.lead("col").over(order) - 1).alias("last"))
+    return level.filter("count > 0").select("row", F.explode(F.sequence("col", "last")).alias("col"), "count")
 
 
 def coverage(sides: DataFrame, grid: Grid, parts: int, shape: str = "shape") -> DataFrame:

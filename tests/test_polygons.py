@@ -227,3 +227,13 @@ def test_pointer_jumping_on_cycles(spark):
             assert found[at] == (ring, k)
             at = nxt[at]
         assert at == ring
+
+
+def test_counts_of_runs(spark):
+    """Cells counted from the ends of runs are those of the runs' cells."""
+    e, grid = polygons.edges(vertices(spark, drawn_rings(6, 3))), Grid(12, 12, -0.25, 1.0, -0.25, 1.0)
+    for distance in (0.7, -0.7):
+        want = {}
+        for _, row, col in cells_of(burning.burned_buffers(e, grid, distance)):
+            want[row, col] = want.get((row, col), 0) + 1
+        assert {(r["row"], r["col"]): r["count"] for r in burning.run_counts(burning.buffer_runs(e, grid, distance)).collect()} == want
