@@ -233,7 +233,8 @@ def crossings(sides: DataFrame, shape: str = "shape") -> DataFrame:
     squares = touched_squares(scaled(sides.select(shape, "ring", "seq", *EDGE), x0, size, y0, size))
     a = squares.select(shape, "row", "col", *[F.col(c).alias(f"{c}_a") for c in ("ring", "seq", *EDGE)])
     b = squares.select(shape, "row", "col", *[F.col(c).alias(f"{c}_b") for c in ("ring", "seq", *EDGE)])
-    pairs = a.join(b, [shape, "row", "col"]).filter(F.struct("ring_a", "seq_a") < F.struct("ring_b", "seq_b"))
+    # Rows that explode count as one when Spark guesses sizes, so it is told not to send one side to all.
+    pairs = a.join(b.hint("merge"), [shape, "row", "col"]).filter(F.struct("ring_a", "seq_a") < F.struct("ring_b", "seq_b"))
     p = {f"{c}{e}": F.col(f"{c}_{e}") for c in EDGE for e in "ab"}
 
     def side(ax, ay, bx, by, x, y):

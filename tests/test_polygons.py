@@ -237,3 +237,10 @@ def test_counts_of_runs(spark):
         for _, row, col in cells_of(burning.burned_buffers(e, grid, distance)):
             want[row, col] = want.get((row, col), 0) + 1
         assert {(r["row"], r["col"]): r["count"] for r in burning.run_counts(burning.buffer_runs(e, grid, distance)).collect()} == want
+
+
+def test_exploded_edges_are_not_broadcast(spark, tmp_path):
+    """A small file whose rows explode looks small to Spark."""
+    spark.range(10).write.parquet(str(tmp_path / "ids"))
+    v = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").alias("shape"), F.lit(0).alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq")).withColumns({"x": F.col("seq") * 1.0, "y": F.col("seq") * 7 % 5 * 1.0})
+    assert "Broadcast" not in polygons.crossings(polygons.edges(v))._jdf.queryExecution().executedPlan().toString()
