@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,23 +206,79 @@ def hottest_capacity(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*CELL).agg(F.max("capacity").alias("capacity"))
 
 
-def contiguous_patches(cells: DataFrame, queen: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """(row, col, by, patch): connected cells, of one value of the columns ``by``, get their smallest (row, col) as patch, by rounds of labels handed to neighbours and reliable checkpoints."""
-    steps = [(r, c) for _, r, c in DIRECTIONS if queen or 0 in (r, c)]
-    offsets = F.array(F.struct(F.lit(0).alias("r"), F.lit(0).alias("c")), *[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps])
-    at = [*CELL, *by]
-    labels = cells.select(*at, F.struct("row", "col").alias("patch"))
+def _labelled(row: np.ndarray, col: np.ndarray, kind: np.ndarray, queen: bool) -> np.ndarray:
+    """The first cell, by row and column, of each cell's patch of one kind, as its number."""
+    width, height = int(np.ptp(col)) + 3, int(np.ptp(row)) + 2
+    key = (kind * height + row - row.min()) * width + col - col.min() + 1
+    cells, first, own = np.unique(key, return_index=True, return_inverse=True)
+    links = []
+    for step in (1, width, *((width - 1, width + 1) if queen else ())):
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        links.append(np.stack([np.flatnonzero(cells[at] == cells + step), at[cells[at] == cells + step]]))
+    a, b = np.concatenate(links, axis=1)
+    # Kinds are apart by a row that holds no cell, so steps don't lead from one to the other.
+    label = np.arange(len(cells))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label != label[label]).any():
+            label = label[label]
+    return first[label[own.ravel()]]
+
+
+def _least_of_linked(links: DataFrame) -> DataFrame:
+    """(node, least): the smallest node that links (node, other), given both ways, lead to, by rounds of labels handed on and followed."""
+    labels = checkpointed(links.groupBy("node").agg(F.least("node", F.min("other")).alias("least")))
     while True:
-        sent = labels.select(*at, "patch", F.explode(offsets).alias("o")).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), *by, "patch")
-        best = sent.groupBy(*at).agg(F.min("patch").alias("new"))
-        # A label is a cell; following it to that cell's own label halves the way each round.
-        follow = labels.select(F.struct("row", "col").alias("new"), *by, F.col("patch").alias("further"))
-        both = labels.join(best, at).join(follow, ["new", *by], "left").select(*at, "patch", F.least("new", F.coalesce("further", "new")).alias("new"))
-        both = checkpointed(both)
+        sent = links.join(labels.select(F.col("node").alias("other"), F.col("least").alias("new")), "other").groupBy("node").agg(F.min("new").alias("new"))
+        # A label is a node; following it to that node's own label halves the way each round.
+        follow = labels.select(F.col("node").alias("new"), F.col("least").alias("further"))
+        now = checkpointed(labels.join(sent, "node").join(follow, "new", "left").select("node", "least", F.least("least", "new", F.coalesce("further", "new")).alias("to")))
+        labels = now.select("node", F.col("to").alias("least"))
         # Labels only fall, so the rounds end.
-        if both.filter("patch != new").isEmpty():
-            return both.select(*at, "patch")
-        labels = both.select(*at, F.col("new").alias("patch"))
+        if now.filter("least != to").isEmpty():
+            return labels
+
+
+def contiguous_patches(cells: DataFrame, queen: bool = True, by: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
+    """(row, col, by, patch): connected cells, of one value of the columns ``by``, get their smallest (row, col) as patch.
+
+    A task labels the cells of a tile; then only labels that meet across borders
+    of tiles are joined, by rounds with reliable checkpoints.
+    """
+    at = [*CELL, *by]
+    kinds = dict(cells.dtypes)
+    tiled = cells.select(*at, *[F.floor(F.col(c) / tile).alias(f"__{c}") for c in CELL]).dropna(subset=at)
+
+    def label(own: pa.Table) -> pa.Table:
+        row, col = (own[c].to_numpy().astype(np.int64) for c in CELL)
+        kind = np.zeros(len(own), dtype=np.int64)
+        for c in by:
+            codes = own[c].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            kind = np.unique(kind * (codes.max() + 1) + codes, return_inverse=True)[1].ravel()
+        to = pa.array(_labelled(row, col, kind, queen))
+        return pa.table({**{c: own[c] for c in at}, "__r": own["row"].take(to), "__c": own["col"].take(to)})
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in at], f"__r {kinds['row']}, __c {kinds['col']}"])
+    labels = checkpointed(tiled.groupBy("__row", "__col").applyInArrow(label, schema))
+    node = F.struct(*by, "__r", "__c")
+    edge = F.lit(False)
+    for c in CELL:
+        edge = edge | F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = labels.filter(edge).select(*at, node.alias("node"))
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for _, r, c in DIRECTIONS if queen or 0 in (r, c)])
+    over = border.select(*by, "node", "row", "col", F.explode(steps).alias("s"))
+    ahead = {c: F.col(c) + F.col(f"s.{n}") for c, n in zip(CELL, "rc")}
+    crosses = [F.floor(ahead[c] / tile) != F.floor(F.col(c) / tile) for c in CELL]
+    over = over.filter(crosses[0] | crosses[1]).select(*by, "node", *[ahead[c].alias(c) for c in CELL])
+    links = checkpointed(over.join(border.withColumnRenamed("node", "other").hint("merge"), at).filter("node != other").select("node", "other").distinct())
+    patch = F.struct(F.col("__r").alias("row"), F.col("__c").alias("col")).alias("patch")
+    if links.isEmpty():
+        return labels.select(*at, patch)
+    least = _least_of_linked(links)
+    found = labels.withColumn("node", node).join(least, "node", "left").withColumns({c: F.coalesce(F.col(f"least.{c}"), F.col(c)) for c in ("__r", "__c")})
+    return found.select(*at, patch)
 
 
 def large_patches(cells: DataFrame, least_cells: int, queen: bool = True) -> DataFrame:

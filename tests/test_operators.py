@@ -57,6 +57,30 @@ def test_nearest_in_crowded_cells(spark, monkeypatch):
     assert sorted(zip(at.tolist(), to.tolist(), n.tolist())) == sorted(want)
 
 
+@pytest.mark.parametrize("queen", [True, False])
+def test_patches_across_tiles(spark, monkeypatch, queen):
+    """A winding patch through many tiles, in few rounds; against a search from cell to cell."""
+    rng = random.Random(2)
+    kind = {(r, c): "wall" if r % 2 and c != (0 if r % 4 == 1 else 19) else "way" for r in range(-7, 40) for c in range(20)}
+    kind |= {(r, c + 30): rng.choice("ab") for r in range(-7, 20) for c in range(20) if rng.random() < 0.8}
+    want, steps = {}, [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r or c) and (queen or 0 in (r, c))]
+    for start in sorted(kind):
+        open_ = [] if start in want else [start]
+        while open_:
+            at = open_.pop()
+            if at not in want:
+                want[at] = start
+                open_ += [n for r, c in steps if kind.get(n := (at[0] + r, at[1] + c)) == kind[at]]
+    seen = []
+    monkeypatch.setattr(raster, "checkpointed", lambda df: seen.append(1) or checkpointed(df))
+    cells = spark.createDataFrame([(*at, k) for at, k in kind.items()], "row int, col int, kind string")
+    got = {(r["row"], r["col"]): tuple(r["patch"]) for r in raster.contiguous_patches(cells, queen, ("kind",), tile=8).collect()}
+    assert got == want
+    seen.clear()
+    raster.contiguous_patches(cells, queen, ("kind",))
+    assert len(seen) < 8
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "b long, lat double, lon double")
     some = spark.createDataFrame([(1, 2.0, 3.0)], "a long, lat double, lon double")
