@@ -25,7 +25,8 @@ def clipped_cells(cells: DataFrame, windows: DataFrame, tile: int = 64) -> DataF
     w = w.withColumn("tc", span("col")).drop("col")
     placed = cells.withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
     inside = (F.abs(F.col("row") - F.col("sr")) <= F.col("radius")) & (F.abs(F.col("col") - F.col("sc")) <= F.col("radius"))
-    return w.join(placed, ["tr", "tc"]).filter(inside).drop("tr", "tc", "sr", "sc", "radius")
+    # Neither side is sent to all: windows explode, and a raster may look small.
+    return w.join(placed.hint("merge"), ["tr", "tc"]).filter(inside).drop("tr", "tc", "sr", "sc", "radius")
 
 
 def least_costs(cost: np.ndarray, start: tuple[int, int]) -> np.ndarray:
@@ -120,6 +121,77 @@ def path_totals(paths: DataFrame, cells: DataFrame, layers: list[str], invariant
     return out.withColumn("cost", total)
 
 
+def tree_sums(cost: np.ndarray, best: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each reached cell, the sums of a value's mean along all steps of its cheapest path, times their lengths; paths as ``traced`` finds them, summed all at once by pointer jumping."""
+    height, width = cost.shape
+    at = np.flatnonzero(np.isfinite(best.ravel()))
+    number = np.full(cost.size, -1)
+    number[at] = np.arange(len(at))
+    row, col = np.divmod(at, width)
+    flat, least = cost.ravel(), best.ravel()
+    nearest, jump, length = np.full(len(at), np.inf), np.arange(len(at)), np.zeros(len(at))
+    for r, c, step in STEPS:
+        inside = (row + r >= 0) & (row + r < height) & (col + c >= 0) & (col + c < width) & (least[at] > 0)
+        to = np.where(inside, at + r * width + c, at)
+        new = np.where(inside & (number[to] >= 0), least[to] + (flat[to] + flat[at]) / 2 * step, np.inf)
+        better = new < nearest
+        nearest[better], jump[better], length[better] = new[better], number[to[better]], step
+    sums = [(v.ravel()[at] + v.ravel()[at[jump]]) / 2 * length for v in values]
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        sums, jump = [x + x[jump] for x in sums], further
+    out = []
+    for x in sums:
+        whole = np.full(cost.size, np.nan)
+        whole[at] = x
+        out.append(whole.reshape(cost.shape))
+    return out
+
+
+def least_cost_totals(cells: DataFrame, sources: DataFrame, targets: DataFrame, layers: list[str], cell_km: float = 0.09, buffer: float = 1.05, cost: str = "routing", windows: DataFrame | None = None) -> DataFrame:
+    """What ``path_totals`` says of ``least_cost_paths`` to targets of one cell each, without the paths: sums run along a window's tree of paths. Targets without a way have no row."""
+    windows = clip_windows(sources, targets, buffer) if windows is None else windows
+    held = clipped_cells(cells.select("row", "col", F.col(cost).cast("double").alias("cost"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{i}") for i, c in enumerate(layers)]), windows)
+    ends = targets.join(sources.select("source", F.col("row").alias("sr"), F.col("col").alias("sc")), "source")
+    names = ["dist_km", *[f"{c}_cost" for c in layers], *[f"{c}_km" for c in layers]]
+
+    def solve(area: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
+        out = goals[["source", "target"]].iloc[:0].copy()
+        if len(goals) and len(area):
+            r0, c0 = int(area["row"].min()), int(area["col"].min())
+            rows, cols = area["row"].to_numpy() - r0, area["col"].to_numpy() - c0
+
+            def filled(name: str, empty: float) -> np.ndarray:
+                grid = np.full((int(rows.max()) + 1, int(cols.max()) + 1), empty)
+                grid[rows, cols] = area[name].fillna(empty)
+                return grid
+
+            grid, start = filled("cost", -1.0), (int(goals["sr"].iloc[0]) - r0, int(goals["sc"].iloc[0]) - c0)
+            y, x = goals["row"].to_numpy() - r0, goals["col"].to_numpy() - c0
+            inside = lambda y, x: (y >= 0) & (y < grid.shape[0]) & (x >= 0) & (x < grid.shape[1])
+            if inside(*start):
+                best = least_costs(grid, start)
+                values = [filled(f"__{i}", 0.0) for i in range(len(layers))]
+                sums = tree_sums(grid, best, [np.ones(grid.shape), *values, *[(v > 0).astype(float) for v in values]])
+                reached = inside(y, x)
+                reached[reached] = np.isfinite(best[y[reached], x[reached]])
+                out, y, x = goals.loc[reached, ["source", "target"]].copy(), y[reached], x[reached]
+                for name, v in zip(names, sums):
+                    out[name] = v[y, x] * (cell_km if name.endswith("_km") else 1.0)
+        return out.reindex(columns=["source", "target", *names]).astype({n: float for n in names})
+
+    ends = ends.select(*[F.col(c).alias(c) for c in ends.columns])  # columns of their own, as both sides stem from the sources
+    kinds = {**dict(sources.dtypes), **dict(targets.dtypes)}
+    schema = f"source {kinds['source']}, target {kinds['target']}, " + ", ".join(f"`{n}` double" for n in names)
+    out = held.groupBy("source").cogroup(ends.groupBy("source")).applyInPandas(solve, schema)
+    total = F.lit(0.0)
+    for c in layers:
+        total = total + F.col(f"{c}_cost")
+    return out.withColumn("cost", total)
+
+
 def port_distances(ocean: DataFrame, ports: DataFrame, cell_cost: float = 90.0) -> DataFrame:
     """(row, col, km): distance by sea to the nearest port's cell; -1 on land and where no port leads to. ocean: (row, col, dist_to_coast > 0 at sea); ports: (row, col)."""
     costs = ocean.withColumn("routing", F.when(F.col("dist_to_coast") > 0, cell_cost).otherwise(-1.0))

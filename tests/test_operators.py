@@ -81,6 +81,19 @@ def test_patches_across_tiles(spark, monkeypatch, queen):
     assert len(seen) < 8
 
 
+def test_totals_without_paths(spark):
+    """Sums along the tree of paths are those of the paths, also of targets without a way and of the source itself."""
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(r, c, rng.choice([-1.0, 1.5, rng.uniform(1, 9)]), rng.choice([None, 0.0, rng.uniform(0, 5)])) for r in range(30) for c in range(12)], "row int, col int, routing double, charged double")
+    sources = spark.createDataFrame([(g, rng.randrange(30), rng.randrange(12)) for g in range(6)], "source long, row int, col int")
+    targets = spark.createDataFrame([(g, t, rng.randrange(30), rng.randrange(12)) for g in range(6) for t in range(9)], "source long, target int, row int, col int").unionByName(sources.withColumn("target", F.lit(99)))
+    want = routing.path_totals(routing.least_cost_paths(cells, sources, targets), cells, ["routing", "charged"])
+    got = routing.least_cost_totals(cells, sources, targets, ["routing", "charged"])
+    assert set(got.columns) == set(want.columns)
+    rounded = lambda df: rows(df.select("source", "target", *[F.round(c, 9).alias(c) for c in sorted(set(df.columns) - {"source", "target"})]))
+    assert rounded(got) == rounded(want) and len(rounded(got)) > 20
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "b long, lat double, lon double")
     some = spark.createDataFrame([(1, 2.0, 3.0)], "a long, lat double, lon double")
