@@ -94,6 +94,19 @@ def test_totals_without_paths(spark):
     assert rounded(got) == rounded(want) and len(rounded(got)) > 20
 
 
+def test_points_of_a_cell_share_ways(spark, monkeypatch):
+    """Each pair of cells is routed once, however many points and features stand on them, and all pairs of these come out."""
+    seen, totals = [], routing.least_cost_totals
+    monkeypatch.setattr(routing, "least_cost_totals", lambda cells, sources, targets, *a, **k: seen.append((sources.count(), targets.count())) or totals(cells, sources, targets, *a, **k))
+    cells = spark.createDataFrame([(r, c, 1.0 + (r * 7 + c) % 5) for r in range(9) for c in range(9)], "row int, col int, cost double").withColumn("routing", F.col("cost"))
+    points = spark.createDataFrame([(g, 2 + g % 2, 3) for g in range(10)], "source long, row int, col int")
+    features = spark.createDataFrame([(g, "Substation", 1, 69, 500, 5 - g % 2, 4) for g in range(8)], "gid long, category string, region int, min_volts int, max_volts int, row int, col int")
+    out = spur_lines.supply_point_costs(cells, points, features, "400MW", radius=5).select("source", "gid", "dist_km", "trans_cap_cost").collect()
+    assert seen == [(2, 4)]
+    assert {(r["source"], r["gid"]) for r in out} == {(p, f) for p in range(10) for f in range(8)} and len(out) == 80
+    assert len({(r["source"] % 2, r["gid"] % 2, r["trans_cap_cost"]) for r in out}) == 4
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "b long, lat double, lon double")
     some = spark.createDataFrame([(1, 2.0, 3.0)], "a long, lat double, lon double")
