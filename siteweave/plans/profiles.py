@@ -241,5 +241,7 @@ def block_sums_by_level(vectors):
 @query("SELECT f.gid, CAST(f.ts AS VARCHAR) AS ts, CAST(a.ts AS VARCHAR) AS actual_ts, round(f.value - a.value, 6) AS error FROM {solar} f JOIN {wind} a ON f.gid = a.gid AND a.ts >= f.ts AND a.ts <= f.ts + INTERVAL 2 HOUR", solar=SOLAR, wind=WIND)
 def forecast_actual_join(solar, wind):
     """Each forecast with the actual values of the next two hours, as the join of two streams gives them."""
+    # Times are written out once for each row and not for each pair.
+    solar, wind = (df.withColumn(name, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")) for df, name in ((solar, "at"), (wind, "actual_at")))
     out = streams.forecast_errors(solar, wind, "2 hours")
-    return out.select("gid", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("ts", "actual_ts")], F.round("error", 6).alias("error"))
+    return out.select("gid", F.col("at").alias("ts"), F.col("actual_at").alias("actual_ts"), F.round("error", 6).alias("error"))

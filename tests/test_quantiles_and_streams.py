@@ -96,3 +96,12 @@ def test_remaining_capacity_starts_from_a_table(spark, tmp_path):
             built.setdefault(r["gid"], []).append(r["built"])
     assert sorted(built[1]) == [0.0, 0.0, 2.0, 4.0] and sorted(built[2]) == [0.0, 0.5, 1.0] and sorted(built[3]) == [0.0, 1.0, 1.5] and built[9] == [0.0]
     assert [(r["gid"], r["built"]) for r in out if r["closed"]] == [(2, 3.5)]
+
+
+def test_forecasts_meet_actuals_of_near_times_only(spark):
+    """Rows of a gid meet by spans of time, in the plan too; further columns stay."""
+    day = [(g, f"2020-01-0{d} {h:02}:30:00", float(h)) for g in (1, 2) for d in (1, 2) for h in range(24)]
+    table = spark.createDataFrame(day, "gid int, at string, value double").withColumn("ts", F.col("at").cast("timestamp"))
+    out = streams.forecast_errors(table, table.drop("at"), "2 hours")
+    assert "actual_span" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 2 * (48 + 47 + 46) and "at" in out.columns
