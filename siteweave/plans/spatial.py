@@ -61,7 +61,7 @@ best AS (
 SELECT p.plant, s.gid, round({APART}, 4) AS distance FROM best p, {{sites}} s WHERE s.lcoe <= p.lcoe * 1.3e0
 """, plants=PLANTS, sites=SITES)
 def radius_lcoe_candidates(plants, sites):
-    return sj.radius_candidates(plants.select("plant", "lat", "lon"), sites.select("gid", "lat", "lon", "lcoe"), 400.0).withColumn("distance", F.round("distance", 4))
+    return sj.radius_candidates(plants.select("plant", "lat", "lon"), sites.select("gid", "lat", "lon", "lcoe"), 400.0, digits=4)
 
 
 CLASSES = [69, 115, 138, 161, 230, 345]

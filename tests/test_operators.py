@@ -107,6 +107,25 @@ def test_points_of_a_cell_share_ways(spark, monkeypatch):
     assert len({(r["source"] % 2, r["gid"] % 2, r["trans_cap_cost"]) for r in out}) == 4
 
 
+def test_radius_candidates_form_no_pairs_of_the_radius(spark, monkeypatch):
+    """Only a plant's two nearest sites are asked for to find its radius; against brute force."""
+    real = spatial_joins.nearest
+    monkeypatch.setattr(spatial_joins, "nearest", lambda *a, within=None, **k: pytest.fail("pairs") if within else real(*a, **k))
+    rng = random.Random(6)
+    plants = [(p, rng.uniform(25, 49), rng.uniform(-124, -67)) for p in range(5)] + [(99, -60.0, 100.0)]
+    sites = [(g, rng.uniform(25, 49), rng.uniform(-124, -67), float(rng.randrange(20, 60))) for g in range(40)]
+    km = lambda a, b: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2))
+    want = set()
+    for p in plants:
+        r = 400.0
+        while sum(km(p, s) <= r for s in sites) < 2:
+            r *= 1.2
+        best = min((s for s in sites if km(p, s) <= r), key=lambda s: (s[3], s[0]))
+        want |= {(p[0], s[0], round(km(best, s), 3)) for s in sites if s[3] <= best[3] * 1.3}
+    out = spatial_joins.radius_candidates(spark.createDataFrame(plants, "plant long, lat double, lon double"), spark.createDataFrame(sites, "gid long, lat double, lon double, lcoe double"), 400.0, digits=3)
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "b long, lat double, lon double")
     some = spark.createDataFrame([(1, 2.0, 3.0)], "a long, lat double, lon double")
